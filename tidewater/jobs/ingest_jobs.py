@@ -1 +1,215 @@
-"""Registered jobs."""
+"""Ingestion-state jobs over the raw feed bound to ``events``.
+
+Binding: source = event_type, source_doc_id = user_id, payload = props,
+fetched_at = ts.  Rows before FEED_SPLIT_TS form the previous state (last
+arrival per key), rows from it on are the incoming batch.
+"""
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tidewater.operators import ingest as I
+from tidewater.registry import job
+from tidewater.sources import tables as T
+from tidewater.sources.oracle_bindings import RAW_FEED_CTE, with_ctes
+
+KEYS = ["source_id", "source_doc_id"]
+FIELDS = ["program_id", "source_portal", "payload", "max_amount", "period_end"]
+ORDER = ["fetched_at", "seq"]
+RUN_TS = dt.datetime(2024, 2, 1)
+FEED_AS_OF = dt.date(2024, 1, 25)
+CLOSE_AS_OF = dt.date(2024, 2, 10)
+DIGEST_SINCE = dt.datetime(2024, 1, 2, 12)
+
+
+def normalized_feed(spark, sf):
+    raw = T.raw_feed_from_events(T.load(spark, sf, "events", ["event_id", "ts", "user_id", "event_type",
+                                                              "value", "props"]))
+    k = F.get_json_object("payload", "$.k").cast("int")
+    return raw.select(
+        *KEYS, "payload", "fetched_at", "seq",
+        F.concat(F.substring(F.upper("source_id"), 1, 2), F.lit("-"), F.col("source_doc_id")).alias("program_id"),
+        F.upper("source_id").alias("source_portal"),
+        (k.cast("long") * 10000).alias("max_amount"),
+        F.date_add(F.to_date("fetched_at"), k).alias("period_end"),
+        I.content_hash(F.col("payload")).alias("content_hash"))
+
+
+def previous_state(feed):
+    pre = feed.where(F.col("fetched_at") < F.lit(T.FEED_SPLIT_TS))
+    last = I.last_arrival(pre.select(*KEYS, *FIELDS, "content_hash", *ORDER), KEYS, ORDER)
+    firsts = pre.groupBy(*KEYS).agg(F.min("fetched_at").alias("created_at"),
+                                    F.max("fetched_at").alias("last_seen_at"))
+    return last.join(firsts, KEYS).select(
+        *KEYS, *FIELDS, "content_hash", "created_at", "last_seen_at",
+        F.col("last_seen_at").alias("synced_at"), I.is_open(F.col("period_end"), FEED_AS_OF).alias("is_open"))
+
+
+def batch(feed):
+    return feed.where(F.col("fetched_at") >= F.lit(T.FEED_SPLIT_TS))
+
+
+def merged(spark, sf):
+    feed = normalized_feed(spark, sf)
+    return I.upsert(previous_state(feed), batch(feed), KEYS, FIELDS, RUN_TS, FEED_AS_OF, ORDER), feed
+
+
+FEED_SQL = with_ctes(RAW_FEED_CTE) + """,
+feed AS (
+  SELECT source_id, source_doc_id, payload, fetched_at, seq,
+         substr(upper(source_id), 1, 2) || '-' || source_doc_id AS program_id,
+         upper(source_id) AS source_portal,
+         CAST(CAST(json_extract_string(payload, '$.k') AS INTEGER) AS BIGINT) * 10000 AS max_amount,
+         CAST(fetched_at AS DATE) + CAST(json_extract_string(payload, '$.k') AS INTEGER) AS period_end,
+         sha256(concat_ws('|', coalesce(payload, ''), 'v4')) AS content_hash
+  FROM raw_feed),
+pre AS (SELECT * FROM feed WHERE fetched_at < TIMESTAMP '2024-01-20 00:00:00'),
+post AS (SELECT * FROM feed WHERE fetched_at >= TIMESTAMP '2024-01-20 00:00:00'),
+prev AS (
+  SELECT l.source_id, l.source_doc_id, l.program_id, l.source_portal, l.payload, l.max_amount, l.period_end,
+         l.content_hash, f.created_at, f.last_seen_at, f.last_seen_at AS synced_at,
+         coalesce(l.period_end >= DATE '2024-01-25', true) AS is_open
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, source_doc_id
+                                                    ORDER BY fetched_at DESC, seq DESC) AS rn FROM pre) WHERE rn = 1) l
+  JOIN (SELECT source_id, source_doc_id, min(fetched_at) AS created_at, max(fetched_at) AS last_seen_at
+        FROM pre GROUP BY 1, 2) f USING (source_id, source_doc_id)),
+blast AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, source_doc_id
+                                              ORDER BY fetched_at DESC, seq DESC) AS rn FROM post) WHERE rn = 1),
+merged AS (
+  SELECT coalesce(s.source_id, b.source_id) AS source_id,
+         coalesce(s.source_doc_id, b.source_doc_id) AS source_doc_id,
+         b.content_hash IS NOT NULL AND s.content_hash IS DISTINCT FROM b.content_hash AS changed,
+         b.content_hash IS NOT NULL AS in_batch, s.source_id IS NOT NULL AS in_state,
+         s.program_id AS s_program_id, b.program_id AS b_program_id, s.source_portal AS s_portal,
+         b.source_portal AS b_portal, s.payload AS s_payload, b.payload AS b_payload,
+         s.max_amount AS s_amount, b.max_amount AS b_amount, s.period_end AS s_end, b.period_end AS b_end,
+         s.content_hash AS s_hash, b.content_hash AS b_hash, s.created_at, s.last_seen_at, s.synced_at
+  FROM prev s FULL OUTER JOIN blast b USING (source_id, source_doc_id)),
+state AS (
+  SELECT source_id, source_doc_id,
+         CASE WHEN changed THEN b_program_id ELSE s_program_id END AS program_id,
+         CASE WHEN changed THEN b_portal ELSE s_portal END AS source_portal,
+         CASE WHEN changed THEN b_payload ELSE s_payload END AS payload,
+         CASE WHEN changed THEN b_amount ELSE s_amount END AS max_amount,
+         CASE WHEN changed THEN b_end ELSE s_end END AS period_end,
+         CASE WHEN changed THEN b_hash ELSE s_hash END AS content_hash,
+         CASE WHEN in_batch AND NOT in_state THEN TIMESTAMP '2024-02-01 00:00:00' ELSE created_at END AS created_at,
+         CASE WHEN in_batch THEN TIMESTAMP '2024-02-01 00:00:00' ELSE last_seen_at END AS last_seen_at,
+         CASE WHEN changed THEN TIMESTAMP '2024-02-01 00:00:00' ELSE synced_at END AS synced_at,
+         CASE WHEN in_batch AND NOT in_state THEN 'inserted' WHEN in_state AND changed THEN 'updated'
+              WHEN in_batch THEN 'unchanged' ELSE 'untouched' END AS outcome
+  FROM merged),
+state2 AS (SELECT *, coalesce(period_end >= DATE '2024-01-25', true) AS is_open FROM state)
+"""
+
+STATE_COLS = KEYS + FIELDS + ["content_hash", "created_at", "last_seen_at", "synced_at", "outcome", "is_open"]
+
+
+@job("i2_upsert", sql=FEED_SQL + f"SELECT {', '.join(STATE_COLS)} FROM state2")
+def i2_upsert(spark, sf):
+    m, _ = merged(spark, sf)
+    return m.select(*STATE_COLS)
+
+
+@job("i6_run_summary", sql=FEED_SQL + """,
+rows_out AS (
+  SELECT 'batch' AS run_id, p.seq,
+         CASE WHEN p.seq = b.seq THEN s.outcome ELSE 'superseded' END AS outcome
+  FROM post p JOIN blast b USING (source_id, source_doc_id) JOIN state2 s USING (source_id, source_doc_id))
+SELECT run_id, count(*) AS fetched,
+       count(*) FILTER (WHERE outcome IN ('inserted', 'updated')) AS upserted,
+       count(*) FILTER (WHERE outcome IN ('unchanged', 'superseded', 'invalid')) AS skipped,
+       count(*) FILTER (WHERE outcome = 'error') AS errors,
+       CAST(NULL AS VARCHAR) AS first_error,
+       CASE WHEN count(*) FILTER (WHERE outcome = 'error') = 0 THEN 'success'
+            WHEN count(*) FILTER (WHERE outcome IN ('inserted', 'updated')) > 0 THEN 'partial'
+            ELSE 'failed' END AS status
+FROM rows_out GROUP BY 1""")
+def i6_run_summary(spark, sf):
+    m, feed = merged(spark, sf)
+    b = batch(feed)
+    last = b.groupBy(*KEYS).agg(F.max_by("seq", F.struct(*ORDER)).alias("last_seq"))
+    rows = b.select(*KEYS, "seq").join(last, KEYS).join(m.select(*KEYS, "outcome"), KEYS)
+    outcomes = rows.select(F.lit("batch").alias("run_id"), "seq",
+                           F.when(F.col("seq") == F.col("last_seq"), F.col("outcome"))
+                            .otherwise(F.lit("superseded")).alias("outcome"),
+                           F.lit(None).cast("string").alias("error"))
+    return I.run_summary(outcomes)
+
+
+@job("s7_archive_raw", sql=FEED_SQL + """
+SELECT DISTINCT source_id, source_doc_id, content_hash, payload FROM post
+WHERE source_doc_id IS NOT NULL
+  AND (source_id, source_doc_id, content_hash) NOT IN (SELECT source_id, source_doc_id, content_hash FROM pre)""")
+def s7_archive_raw(spark, sf):
+    feed = normalized_feed(spark, sf)
+    pre = feed.where(F.col("fetched_at") < F.lit(T.FEED_SPLIT_TS))
+    new = I.archive_raw(pre, batch(feed))
+    return new.select("source_id", "source_doc_id", "content_hash", "payload")
+
+
+@job("i8_next_since", sql=with_ctes(RAW_FEED_CTE) + """
+SELECT max(CASE WHEN regexp_matches(CAST(fetched_at AS VARCHAR), '^\\d{4}-\\d{2}-\\d{2}')
+                THEN CAST(substr(CAST(fetched_at AS VARCHAR), 1, 10) AS TIMESTAMP) END) AS max_published,
+       CAST(coalesce(CAST(max(CASE WHEN regexp_matches(CAST(fetched_at AS VARCHAR), '^\\d{4}-\\d{2}-\\d{2}')
+                THEN CAST(substr(CAST(fetched_at AS VARCHAR), 1, 10) AS DATE) END) - INTERVAL 7 DAY AS DATE),
+                DATE '2024-02-01' - INTERVAL 30 DAY) AS DATE) AS since
+FROM raw_feed""")
+def i8_next_since(spark, sf):
+    feed = normalized_feed(spark, sf).select(F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+    out = I.next_since(feed, RUN_TS.date())
+    return out.select("max_published", F.col("since").cast("date").alias("since"))
+
+
+@job("i10_new_digest", sql=FEED_SQL + """
+SELECT program_id, source_portal, period_end, created_at FROM state2
+WHERE created_at >= TIMESTAMP '2024-01-02 12:00:00'
+ORDER BY period_end ASC NULLS LAST, program_id ASC LIMIT 30""")
+def i10_new_digest(spark, sf):
+    m, _ = merged(spark, sf)
+    return I.new_digest(m, DIGEST_SINCE).select("program_id", "source_portal", "period_end", "created_at")
+
+
+@job("i11_backfill_latest", sql=FEED_SQL + """,
+latest AS (SELECT source_id, source_doc_id, payload AS latest FROM (
+             SELECT *, row_number() OVER (PARTITION BY source_id, source_doc_id ORDER BY fetched_at DESC, seq DESC) AS rn
+             FROM feed WHERE payload IS NOT NULL AND trim(payload) <> '') WHERE rn = 1)
+SELECT p.source_id, p.source_doc_id,
+       CASE WHEN l.latest IS NOT NULL AND p.payload IS DISTINCT FROM l.latest THEN l.latest ELSE p.payload END AS payload,
+       l.latest IS NOT NULL AND p.payload IS DISTINCT FROM l.latest AS backfilled
+FROM prev p LEFT JOIN latest l USING (source_id, source_doc_id)""")
+def i11_backfill_latest(spark, sf):
+    feed = normalized_feed(spark, sf)
+    latest = I.latest_nonempty(feed, KEYS, "payload", "fetched_at", "seq")
+    out = I.backfill_latest(previous_state(feed), latest, KEYS, "payload")
+    return out.select(*KEYS, "payload", "backfilled")
+
+
+@job("i13_portal_summary", sql=FEED_SQL + """
+SELECT source_portal, count(*) AS total, count(*) FILTER (WHERE is_open) AS open FROM state2 GROUP BY 1""")
+def i13_portal_summary(spark, sf):
+    m, _ = merged(spark, sf)
+    return I.portal_summary(m)
+
+
+@job("i5_close_expired", sql=FEED_SQL + """
+SELECT source_id, source_doc_id,
+       is_open AND period_end IS NOT NULL AND period_end < DATE '2024-02-10' AS closed_now,
+       CASE WHEN is_open AND period_end IS NOT NULL AND period_end < DATE '2024-02-10' THEN false ELSE is_open END AS is_open
+FROM state2""")
+def i5_close_expired(spark, sf):
+    m, _ = merged(spark, sf)
+    out = I.close_expired(m.withColumn("auto_ingested", F.lit(True)), CLOSE_AS_OF)
+    return out.select(*KEYS, "closed_now", "is_open")
+
+
+@job("i9_delta_report", sql=FEED_SQL + """
+SELECT b.n AS before_total, a.n AS after_total, a.n - b.n AS new, greatest(0, u.n - (a.n - b.n)) AS updated
+FROM (SELECT count(*) AS n FROM prev) b, (SELECT count(*) AS n FROM state2) a,
+     (SELECT count(*) AS n FROM state2 WHERE outcome IN ('inserted', 'updated')) u""")
+def i9_delta_report(spark, sf):
+    m, feed = merged(spark, sf)
+    return I.delta_report(previous_state(feed), m, m.where(F.col("outcome").isin("inserted", "updated")))

@@ -1 +1,17 @@
-"""Registered jobs."""
+"""Streaming re-aims, registered in their batch form (T3) over ``events``."""
+from __future__ import annotations
+
+from tidewater.registry import job
+from tidewater.sources import tables as T
+from tidewater.streaming.streams import burst_windows
+
+BURST_LIMIT = 1  # requests per client per 10-minute window before a burst is reported
+
+
+@job("t3_burst_windows", sql=f"""
+SELECT user_id AS client, time_bucket(INTERVAL '10 minutes', ts) AS window_start,
+       time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS window_end, count(*) AS requests
+FROM events GROUP BY 1, 2 HAVING count(*) > {BURST_LIMIT}""")
+def t3_burst_windows(spark, sf):
+    """Clients with more than BURST_LIMIT requests in a 10-minute tumbling window."""
+    return burst_windows(T.load(spark, sf, "events", ["user_id", "ts"]), limit=BURST_LIMIT)

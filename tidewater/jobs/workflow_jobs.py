@@ -1 +1,30 @@
-"""Registered jobs."""
+"""Document-workflow jobs (P-series) over orders bound as applications."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewater.operators import workflow as W
+from tidewater.registry import job
+from tidewater.sources import tables as T
+
+
+@job("p9_draft_slides", sql="""
+SELECT o_orderkey AS plan_id, CAST(s.order_no AS INTEGER) AS order_no, s.slide_type
+FROM orders, (VALUES (1, 'cover'), (2, 'problem'), (3, 'solution'), (4, 'market'), (5, 'business_model'),
+                     (6, 'traction'), (7, 'team'), (8, 'financials'), (9, 'ask')) s(order_no, slide_type)""")
+def p9_draft_slides(spark, sf):
+    """Nine ordered slides per plan (one plan per order)."""
+    plans = T.load(spark, sf, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("plan_id"))
+    return W.draft_slides(plans)
+
+
+@job("p5_rubric_scores", sql="""
+SELECT o_orderkey AS id,
+       CAST(least(5, greatest(2, 2 + floor(length(o_orderpriority) / 30))) AS INTEGER) AS problem_score,
+       CAST(least(5, greatest(2, 2 + floor(length(o_orderstatus || ' ' || o_orderpriority) / 30))) AS INTEGER) AS solution_score
+FROM orders""")
+def p5_rubric_scores(spark, sf):
+    o = T.load(spark, sf, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    return o.select(F.col("o_orderkey").alias("id"),
+                    W.rubric(F.col("o_orderpriority")).alias("problem_score"),
+                    W.rubric(F.concat_ws(" ", "o_orderstatus", "o_orderpriority")).alias("solution_score"))

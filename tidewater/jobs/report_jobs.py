@@ -202,3 +202,21 @@ def a8_active_segments(spark, sf):
         F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("code")).cast("int").alias("sort_order"),
         F.lit(True).alias("active"))
     return R.active_codes(codes)
+
+
+# S3 + S5: host allow-list on the listing, then the detail body by id (every fifth detail missing)
+HOSTS = [".org/", "://m."]
+
+
+@job("s5_enrich_pages", sql="""
+WITH listing AS (SELECT page_id, url FROM pages WHERE contains(url, '.org/') OR contains(url, '://m.')),
+     detail AS (SELECT page_id, html FROM pages WHERE page_id % 5 <> 0)
+SELECT l.page_id, l.url, length(coalesce(d.html, '')) AS body_chars
+FROM listing l LEFT JOIN detail d USING (page_id)""")
+def s5_enrich_pages(spark, sf):
+    from tidewater.sources.feeds import enrich, filter_hosts
+    pages = T.load(spark, sf, "pages", ["page_id", "url", "html"])
+    listing = filter_hosts(pages.select("page_id", "url"), "url", HOSTS)
+    detail = pages.where(F.col("page_id") % 5 != 0).select("page_id", "html")
+    out = enrich(listing, detail, "page_id")
+    return out.select("page_id", "url", F.length("html").alias("body_chars"))

@@ -5,13 +5,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import exact_dedup, mixing, url_filter, warc
+from tidewater.llm import (bpe, exact_dedup, langid, mixing, near_dup, quality, suffix_dedup, toxicity, url_filter,
+                           warc)
 
 _QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_near_dup": near_dup.op2_near_dup,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_quality": quality.op7_quality,
+    "op8_langid": langid.op8_langid,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 _SQL = {
     "op1_warc": warc.OP1_SQL,
@@ -36,7 +43,8 @@ def configured(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: configured(fn) for name, fn in _QUERIES.items()}
+    import corpus_pipeline
+    return {name: configured(fn) for name, fn in {**_QUERIES, "pipeline": corpus_pipeline.run}.items()}
 
 
 def oracle_sql() -> dict[str, str]:

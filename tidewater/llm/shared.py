@@ -1,77 +1,20 @@
-"""What several operators of this subpackage need: scratch tables in the shared
-folder, and whole-batch text handling on flat byte arrays.
+"""Whole-batch text handling on flat byte arrays, for several operators of this subpackage.
 
-Text helpers work on the value buffer of an Arrow string column, so a batch of
+The helpers work on the value buffer of an Arrow string column, so a batch of
 documents is one ``uint8`` array plus row offsets; no per-row Python strings.
 """
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.scratch import Scratch  # noqa: F401  (the operators' common import place)
+
 #: Bytes of text that one numpy step handles (a longer single row is handled alone).
 BLOCK_BYTES = 1 << 20
 
 
-# ---------------------------------------------------------------- scratch tables
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; all executors see it.
-
-    Only a local session without that setting gets a folder of its own (tests);
-    on a cluster a missing setting is an error, because executors would write to
-    disks that the others cannot read.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="tidewater-llm-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor never
-    recomputes an iteration.  ``drop`` removes a table that no later read needs."""
-
-    def __init__(self, spark: SparkSession, operator: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/tidewater-llm/{operator}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def folder(self, tag: str) -> str:
-        self.n += 1
-        return f"{self.base}/{self.n:03d}-{tag}"
-
-    def write(self, df: DataFrame, tag: str) -> DataFrame:
-        path = self.folder(tag)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-
-    def release_shuffles(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished jobs: it acts
-        when the driver collects the garbage that referred to them."""
-        import gc
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
 def text_or_empty(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -1,8 +1,9 @@
 """Exact dedup by content sort (native).
 
 Sampled splitters (``repartitionByRange``) deal the normalised texts into key
-ranges; the external sort inside each range puts equal texts side by side and the
-window's neighbour comparison (full bytes, no hash) finds the runs.
+ranges by their first characters and, among equal beginnings, their hash; the external
+sort inside each range puts equal texts side by side and the window's neighbour
+comparison of the full bytes finds the runs.
 
 A text whose copies are more than ``rows / SPLITS`` would make one range too
 large.  Such texts are found first by a pre-aggregated count of 64-bit hashes; there
@@ -19,6 +20,8 @@ from tidewater.llm.shared import Scratch, text_or_empty
 
 #: A text with more than 1/SPLITS of all rows is dealt out in pieces; also the bound on how many such texts exist.
 SPLITS = 2000
+#: Characters of a text in the sampled splitters.
+KEY_CHARS = 32
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -47,8 +50,10 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = (rows.withColumn("h", F.xxhash64("norm")).join(F.broadcast(hot), "h", "left")
                 .withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", F.lit(17)), F.col("pieces")), F.lit(0)).cast("int")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("id", "norm", "piece", F.col("pieces").isNotNull().alias("hot")).repartitionByRange(parts, "norm", "piece")
-    run = Window.partitionBy("norm", "piece").orderBy(F.col("id").asc_nulls_last())
+    # splitters are sampled to the driver: the key is the text's beginning and hash, not a text of any length
+    dealt = (rows.select("id", "norm", "piece", F.col("pieces").isNotNull().alias("hot"), F.substring("norm", 1, KEY_CHARS).alias("lead"), "h")
+                 .repartitionByRange(parts, "lead", "h", "piece"))
+    run = Window.partitionBy("lead", "h", "piece", "norm").orderBy(F.col("id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sorted_rows = dealt.select(
         "id", "hot", "piece", F.row_number().over(run).alias("place"),

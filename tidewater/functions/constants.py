@@ -54,8 +54,6 @@ FIELD_WEIGHTS_X10 = [("name", 50), ("field", 40), ("tags_text", 30),
                      ("summary", 20), ("body_text", 10), ("agency", 2)]
 
 MIN_STRICT_RESULTS = 5
-MAX_EXPANSION_TERMS = 12
-MAX_TOKENS = 8
 
 # --- fixed values: particles and endings stripped from query tokens (endings first, longest first) ---
 ENDINGS = ["하는", "되는", "시키는", "하기", "되기", "한", "된", "할", "될", "해", "돼"]
@@ -66,8 +64,8 @@ PARTICLES = [
     "을", "를", "이", "가", "은", "는", "의", "에", "와", "과", "도", "만", "로", "랑",
 ]
 
-# --- fixed values: tier labels ---
-TIER_LABELS = {4: "exact", 3: "synonym", 2: "partial", 1: "weak"}
+# --- fixed values: tier labels, weakest first ---
+TIERS = ["weak", "partial", "synonym", "exact"]
 
 # --- fixed values: middle dots and ornament brackets removed from queries ---
 MIDDLE_DOTS = "ㆍ·・･•‧∙ᆞᆢ"

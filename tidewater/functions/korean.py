@@ -1,19 +1,60 @@
 """Notice-text normalization as native column expressions.
 
-Every function takes and returns Columns (JVM regex, no Python UDF).  Patterns
-avoid look-ahead so the same rule can be written in RE2 for the SQL oracle.
+Every function takes and returns Columns (JVM regex, no Python UDF).  White space means
+SPACE_CHARS everywhere (no-break and ideographic spaces included), which neither ``\\s`` nor
+``trim`` of the JVM covers.  Nothing is cut by default; ``CATALOGUE_TEXT`` holds the
+lengths that the notice catalogue keeps.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewater.functions.constants import (NATIONAL, ORG_SUFFIXES, OTHER_FUNDING, REGION_LONG, REGIONS,
                                            SIDO_FULL)
 
-WS = r"[ \t\n\r\f,]"
+# --- fixed values: characters that count as white space ---
+SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SP = f"[{SPACE_CHARS}]"
 NUM = r"(\d+(?:\.\d+)?)"
 
+
+def _p(pattern: str) -> str:
+    """A pattern with ``\\s`` read as SPACE_CHARS (patterns below have no ``\\s`` inside brackets)."""
+    return pattern.replace(r"\s", SP)
+
+
+@dataclass(frozen=True)
+class TextLimits:
+    """Lengths to keep; None keeps all."""
+
+    name: int | None = None
+    agency: int | None = None
+    field: int | None = None
+    summary: int | None = None
+    body: int | None = None
+    amount_text: int | None = None
+    labeled: int | None = None
+    period_reach: int | None = None  # characters after a period's label that are searched for dates
+    doc_id: int | None = None
+
+
+# --- fixed values: lengths that the catalogue keeps ---
+CATALOGUE_TEXT = TextLimits(name=200, agency=100, field=100, summary=500, body=2000, amount_text=120, labeled=200,
+                            period_reach=60, doc_id=44)
+
+
+def cut(c: Column, chars: int | None) -> Column:
+    return c if chars is None else F.substring(c, 1, chars)
+
+
+def strip(c: Column) -> Column:
+    """Without white space (SPACE_CHARS) at both ends."""
+    return F.regexp_replace(c, f"^{SP}+|{SP}+\\z", "")
+
+
 # --- fixed values: stage, segment, funding-type and tag rules (order matters) ---
 STAGE_PRE_RE = r"예비\s*창업|창업\s*예정|사업자등록\s*전|아이디어\s*단계"
 STAGE_SMB_RE = r"소상공인|자영업|점포|상인"
@@ -55,11 +96,21 @@ TAG_RULES = [
 ]
 
 HINT_LABELS = ["지원대상", "지원분야", "신청자격", "지원내용"]
-PERIOD_LABEL_RE = r"(?:접수|신청|모집)\s*기간\s*[:：]?\s*([^\n]{0,60})"
+
+# --- fixed values: period, date and amount patterns ---
+PERIOD_LABEL_RE = r"(?:접수|신청|모집)\s*기간\s*[:：]?\s*([^\n]{0,%s})"
 # a trailing 일 is accepted so Korean-style ranges reach the 년/월/일 date rule
 PERIOD_DATE_RE = r"\d{4}\s*[-./년]\s*\d{1,2}\s*[-./월]\s*\d{1,2}일?|\d{8}"
-AMOUNT_TEXT_RE = r"[^.]*?(?:최대|최고|이내)?\s*\d[\d,.]*\s*(?:억|천만|백만|만)\s*원[^.]*"
-AMOUNT_TEXT_NL_RE = r"[^.\n]*?(?:최대|최고|이내)?\s*\d[\d,.]*\s*(?:억|천만|백만|만)\s*원[^.\n]*"
+AMOUNT_CORE_RE = r"(?:최대|최고|이내)?\s*\d[\d,.]*\s*(?:억|천만|백만|만)\s*원[^.]*"
+AMOUNT_CORE_NL_RE = r"(?:최대|최고|이내)?\s*\d[\d,.]*\s*(?:억|천만|백만|만)\s*원[^.\n]*"
+DATE_RES = [r"^(\d{4})(\d{2})(\d{2})(\D|\z)", r"^(\d{4})\s*[-./]\s*(\d{1,2})\s*[-./]\s*(\d{1,2})(\D|\z)",
+            r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"]
+
+# --- fixed values: agency patterns ---
+LOCAL_AGENCY_RE = r"^\[[^\]]+\]\s*([가-힣]{2,10}(?:시|군|구))\s"
+ORG_AGENCY_RE = r"^((?:\((?:사|재|주|복)\))?\s*[가-힣A-Za-z0-9]{2,25}(?:" + "|".join(ORG_SUFFIXES) + r"))(?:의|에서|은|는)\s"
+SIDO_AGENCY_RE = r"^\[([가-힣]{2})\]"
+AGENCY_PLACEHOLDER = "정부 공통(집계)"
 
 
 def _s(c) -> Column:
@@ -70,14 +121,16 @@ def _num(s: Column) -> Column:
     return F.when(s == "", F.lit(None)).otherwise(s).try_cast("decimal(20,4)")
 
 
+def _money(t: Column, unit: str) -> Column:
+    """First number before ``unit``; texts without the unit are not searched for it."""
+    return F.when(t.contains(unit), F.regexp_extract(t, NUM + unit, 1)).otherwise(F.lit(""))
+
+
 def parse_amount(c) -> Column:
     """Amount in won (BIGINT) or NULL."""
-    t = F.regexp_replace(_s(c), WS, "")
-    eok = F.regexp_extract(t, NUM + "억", 1)
-    cm = F.regexp_extract(t, NUM + "천만", 1)
-    bm = F.regexp_extract(t, NUM + "백만", 1)
-    man = F.regexp_extract(t, NUM + "만", 1)
-    won = F.regexp_extract(t, r"(\d{5,})원", 1)
+    t = F.regexp_replace(_s(c), f"[{SPACE_CHARS},]", "")
+    eok, cm, bm, man = (_money(t, u) for u in ("억", "천만", "백만", "만"))
+    won = F.when(t.contains("원"), F.regexp_extract(t, r"(\d{5,})원", 1)).otherwise(F.lit(""))
     use_man = (cm == "") & (bm == "")
     total = (F.coalesce(_num(eok) * 100000000, F.lit(0))
              + F.coalesce(_num(cm) * 10000000, F.lit(0))
@@ -88,27 +141,26 @@ def parse_amount(c) -> Column:
              .when(won != "", won.try_cast("bigint")))
 
 
-AMOUNT_CORE_RE = r"(?:최대|최고|이내)?\s*\d[\d,.]*\s*(?:억|천만|백만|만)\s*원[^.]*"
-AMOUNT_CORE_NL_RE = r"(?:최대|최고|이내)?\s*\d[\d,.]*\s*(?:억|천만|백만|만)\s*원[^.\n]*"
+def first_amount(*cols) -> Column:
+    """The first amount of several texts that is neither NULL nor 0, else the last one's."""
+    return F.coalesce(*[F.nullif(parse_amount(c), F.lit(0).cast("bigint")) for c in cols[:-1]], parse_amount(cols[-1]))
 
 
-def amount_text(c, break_nl: bool = False) -> Column:
-    """The fragment around the first money mention, trimmed, 120 chars.
+def amount_text(c, break_nl: bool = False, chars: int | None = None) -> Column:
+    """The sentence around the first money mention, without white space at its ends.
 
-    Same match as AMOUNT_TEXT_RE (lazy sentence prefix + money mention), computed
-    in linear time: the leftmost money mention, preceded by the text after the
-    last sentence break before it.  (A backtracking engine needs quadratic time
-    for the lazy prefix on long texts without a period.)
+    The leftmost mention with the text after the last sentence break before it (a lazy
+    sentence prefix in one pattern would need quadratic time on texts without a period).
     """
     t = _s(c)
-    core = AMOUNT_CORE_NL_RE if break_nl else AMOUNT_CORE_RE
-    pos = F.regexp_instr(t, F.lit(core))
+    core = _p(AMOUNT_CORE_NL_RE if break_nl else AMOUNT_CORE_RE)
+    pos = F.when(t.contains("원"), F.regexp_instr(t, F.lit(core))).otherwise(F.lit(0))
     prefix = t.substr(F.lit(1), pos - 1)
     tail = F.substring_index(prefix, ".", -1)
     if break_nl:
         tail = F.substring_index(tail, "\n", -1)
     m = F.concat(tail, F.regexp_extract(t, core, 0))
-    return F.when(pos == 0, F.lit(None)).otherwise(F.substring(F.trim(m), 1, 120))
+    return F.when(pos == 0, F.lit(None)).otherwise(cut(strip(m), chars))
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
@@ -118,32 +170,27 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(c) -> Column:
     """Yyyymmdd / y-m-d (. / -) at the start, or y년 m월 d일 anywhere; impossible dates -> NULL."""
-    s = F.trim(_s(c))
-    r1 = r"^(\d{4})(\d{2})(\d{2})(\D|$)"
-    r2 = r"^(\d{4})\s*[-./]\s*(\d{1,2})\s*[-./]\s*(\d{1,2})(\D|$)"
-    r3 = r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"
-    pick = lambda r: _ymd(F.regexp_extract(s, r, 1), F.regexp_extract(s, r, 2), F.regexp_extract(s, r, 3))
-    return (F.when(s.rlike(r1), pick(r1)).when(s.rlike(r2), pick(r2)).when(s.rlike(r3), pick(r3))
-             .otherwise(F.lit(None).cast("date")))
+    s = strip(_s(c))
+    out = F.lit(None).cast("date")
+    for r in reversed([_p(r) for r in DATE_RES]):
+        out = F.when(s.rlike(r), _ymd(F.regexp_extract(s, r, 1), F.regexp_extract(s, r, 2), F.regexp_extract(s, r, 3))).otherwise(out)
+    return out
 
 
-def parse_period(c) -> Column:
-    """struct(start, end); a labelled period line is read only in its next 60 chars."""
+def parse_period(c, reach: int | None = None) -> Column:
+    """struct(start, end); with a labelled period only the rest of its line (``reach`` characters of it)."""
     s = _s(c)
-    target = F.when(s.rlike(PERIOD_LABEL_RE), F.regexp_extract(s, PERIOD_LABEL_RE, 1)).otherwise(s)
-    dates = F.regexp_extract_all(target, F.lit(PERIOD_DATE_RE), 0)
-    return F.struct(
-        F.when(F.size(dates) >= 1, parse_date(F.element_at(dates, 1))).alias("start"),
-        F.when(F.size(dates) >= 2, parse_date(F.element_at(dates, 2))).alias("end"))
+    label = _p(PERIOD_LABEL_RE % ("" if reach is None else reach))
+    target = F.when(s.contains("기간") & s.rlike(label), F.regexp_extract(s, label, 1)).otherwise(s)
+    dates = F.regexp_extract_all(target, F.lit(_p(PERIOD_DATE_RE)), 0)
+    return F.struct(parse_date(F.get(dates, F.lit(0))).alias("start"), parse_date(F.get(dates, F.lit(1))).alias("end"))
 
 
 def split_period(c) -> Column:
     """N5: 'a ~ b', 'a - 2026...', 'a부터 b까지' -> struct(start, end)."""
-    s = F.regexp_replace(_s(c), r"-(\s*\d{4})", "~$1")
-    parts = F.filter(F.transform(F.split(s, "~|부터|까지"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.struct(
-        F.when(F.size(parts) >= 1, parse_date(F.element_at(parts, 1))).alias("start"),
-        F.when(F.size(parts) >= 2, parse_date(F.element_at(parts, 2))).alias("end"))
+    s = F.regexp_replace(_s(c), _p(r"-(\s*\d{4})"), "~$1")
+    parts = F.filter(F.transform(F.split(s, "~|부터|까지"), strip), lambda p: p != "")
+    return F.struct(parse_date(F.get(parts, F.lit(0))).alias("start"), parse_date(F.get(parts, F.lit(1))).alias("end"))
 
 
 def _ordered_set(items: list[Column]) -> Column:
@@ -153,12 +200,12 @@ def _ordered_set(items: list[Column]) -> Column:
 def infer_stages(c) -> Column:
     """Business stages from keyword rules; 'n년 이내' fills the covered buckets."""
     t = _s(c)
-    y = F.regexp_extract(t, STAGE_WITHIN_RE, 1).try_cast("int")
-    has_y = t.rlike(STAGE_WITHIN_RE)
-    early, growth, seven = t.rlike(STAGE_EARLY_RE), t.rlike(STAGE_GROWTH_RE), t.rlike(STAGE_SEVEN_RE)
+    y = F.regexp_extract(t, _p(STAGE_WITHIN_RE), 1).try_cast("int")  # '' (no match) is NULL
+    has_y = y.isNotNull()
+    early, growth, seven = (t.rlike(_p(r)) for r in (STAGE_EARLY_RE, STAGE_GROWTH_RE, STAGE_SEVEN_RE))
     return _ordered_set([
-        F.when(t.rlike(STAGE_PRE_RE), F.lit("예비")),
-        F.when(t.rlike(STAGE_SMB_RE), F.lit("소상공인")),
+        F.when(t.rlike(_p(STAGE_PRE_RE)), F.lit("예비")),
+        F.when(t.rlike(_p(STAGE_SMB_RE)), F.lit("소상공인")),
         F.when(has_y & (y >= 1), F.lit("1년미만")),
         F.when(has_y & (y >= 2), F.lit("1-3년")),
         F.when(has_y & (y >= 4), F.lit("3-7년")),
@@ -172,13 +219,13 @@ def infer_stages(c) -> Column:
 def infer_segments(c) -> Column:
     """Segment codes by rule, fixed order."""
     t = _s(c)
-    return _ordered_set([F.when(t.rlike(r), F.lit(code)) for code, r in SEGMENT_RULES])
+    return _ordered_set([F.when(t.rlike(_p(r)), F.lit(code)) for code, r in SEGMENT_RULES])
 
 
 def infer_region(c) -> Column:
     """National words first, then the first region (short or long form) in list order; default national."""
     t = _s(c)
-    expr = F.when(t.rlike(r"전국|전\s*지역"), F.lit(NATIONAL))
+    expr = F.when(t.rlike(_p(r"전국|전\s*지역")), F.lit(NATIONAL))
     for r in REGIONS:
         cond = t.contains(r)
         for long_form in REGION_LONG.get(r, []):
@@ -192,65 +239,76 @@ def infer_funding_type(blob, title) -> Column:
     b, ti = _s(blob), _s(title)
     expr = None
     for name, r in FUNDING_RULES:
-        cond = (ti != "") & ti.rlike(r)
+        cond = (ti != "") & ti.rlike(_p(r))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     for name, r in FUNDING_RULES:
-        expr = expr.when(b.rlike(r), F.lit(name))
+        expr = expr.when(b.rlike(_p(r)), F.lit(name))
     return expr.otherwise(F.lit(OTHER_FUNDING))
 
 
 def extract_tags(c) -> Column:
     """Independent tag rules, rule order kept."""
     t = _s(c)
-    return F.array_compact(F.array(*[F.when(t.rlike(r), F.lit(tag)) for r, tag in TAG_RULES]))
+    return F.array_compact(F.array(*[F.when(t.rlike(_p(r)), F.lit(tag)) for r, tag in TAG_RULES]))
 
 
-def labeled_field(c, label: str) -> Column:
-    """Value of a 'label: value' line (<= 200 chars), trimmed; '' when absent."""
-    return F.trim(F.regexp_extract(_s(c), label + r"\s*[:：]\s*([^\n]{0,200})", 1))
+def labeled_field(c, label: str, chars: int | None = None) -> Column:
+    """Value of a 'label: value' line without white space at its ends; '' when absent."""
+    t = _s(c)
+    rest = r"\s*[:：]\s*([^\n]{0,%s})" % ("" if chars is None else chars)
+    return F.when(t.contains(label), strip(F.regexp_extract(t, _p(label + rest), 1))).otherwise(F.lit(""))
 
 
-def structured_hints(c) -> Column:
+def structured_hints(c, chars: int | None = None) -> Column:
     """The four labelled lines joined by one space (blank ones skipped)."""
-    parts = [labeled_field(c, lab) for lab in HINT_LABELS]
-    return F.concat_ws(" ", *[F.when(p != "", p) for p in parts])
+    return F.concat_ws(" ", *[F.nullif(labeled_field(c, lab, chars), F.lit("")) for lab in HINT_LABELS])
 
 
 def infer_agency(title, summary, fallback) -> Column:
     """N13: '[..] XX시/군/구' title -> organisation at the start of the summary -> '[XX]' province -> fallback."""
     ti, su = _s(title), _s(summary)
-    local_re = r"^\[[^\]]+\]\s*([가-힣]{2,10}(?:시|군|구))\s"
-    org_re = (r"^((?:\((?:사|재|주|복)\))?\s*[가-힣A-Za-z0-9]{2,25}(?:" + "|".join(ORG_SUFFIXES)
-              + r"))(?:의|에서|은|는)\s")
-    sido_re = r"^\[([가-힣]{2})\]"
-    sido = F.create_map(*[x for k, v in SIDO_FULL.items() for x in (F.lit(k), F.lit(v))])[
-        F.regexp_extract(ti, sido_re, 1)]
-    return (F.when(ti.rlike(local_re), F.regexp_extract(ti, local_re, 1))
-             .when(su.rlike(org_re), F.trim(F.regexp_extract(su, org_re, 1)))
+    local, org = _p(LOCAL_AGENCY_RE), _p(ORG_AGENCY_RE)
+    sido = F.create_map(*[x for k, v in SIDO_FULL.items() for x in (F.lit(k), F.lit(v))])[F.regexp_extract(ti, SIDO_AGENCY_RE, 1)]
+    return (F.when(ti.rlike(local), F.regexp_extract(ti, local, 1))
+             .when(su.rlike(org), strip(F.regexp_extract(su, org, 1)))
              .when(sido.isNotNull(), sido)
              .otherwise(fallback if isinstance(fallback, Column) else F.lit(fallback)))
 
 
-def classify(title, summary, extra) -> Column:
-    """Stages, segments, region, funding type and tags of one notice text."""
+def recover_agency(agency, title, summary, fallback="") -> Column:
+    """N13's gate: a named agency stays; a blank one or the aggregate's placeholder is recovered."""
+    a = strip(_s(agency))
+    return F.when((a != "") & (a != AGENCY_PLACEHOLDER), a).otherwise(infer_agency(title, summary, fallback))
+
+
+def classify_frame(df, title: str, summary: str, extra: str, prefix: str = "") -> "DataFrame":  # noqa: F821
+    """Stages, segments, region, funding type and tags of title, summary and extra text (labelled lines,
+    not a whole body, where one word in passing would flip the class).
+
+    The text is staged as its own column, so it is put together once per row.
+    """
     ti, su, ex = _s(title), _s(summary), _s(extra)
-    blob = F.concat_ws(" ", F.when(ti != "", ti), F.when(su != "", su), F.when(ex != "", ex))
-    stages = infer_stages(blob)
-    segs = infer_segments(blob)
+    out = df.withColumn("_blob", F.concat_ws(" ", F.when(ti != "", ti), F.when(su != "", su),
+                                             F.when(ex != "", ex)))
+    b = F.col("_blob")
+    out = out.withColumn("_st", infer_stages(b)).withColumn("_sg", infer_segments(b))
     default = F.array(*[F.lit(s) for s in ["1년미만", "1-3년", "3-7년", "소상공인"]])
-    stages = F.when((F.size(stages) == 0) & (F.size(segs) == 0) & blob.rlike(BUSINESS_RE), default) \
-              .otherwise(stages)
-    return F.struct(stages.alias("target_stages"), segs.alias("target_segments"),
-                    infer_region(blob).alias("region"), infer_funding_type(blob, ti).alias("funding_type"),
-                    extract_tags(blob).alias("normalized_tags"))
+    return out.select(
+        *df.columns,
+        F.when((F.size("_st") == 0) & (F.size("_sg") == 0) & b.rlike(BUSINESS_RE), default)
+         .otherwise(F.col("_st")).alias(prefix + "target_stages"),
+        F.col("_sg").alias(prefix + "target_segments"),
+        infer_region(b).alias(prefix + "region"),
+        infer_funding_type(b, F.col(title)).alias(prefix + "funding_type"),
+        extract_tags(b).alias(prefix + "normalized_tags"))
 
 
-def program_id(prefix: str, doc, strip_re: str | None = None) -> Column:
-    """Prefixed bounded id (44 chars of the document id)."""
+def program_id(prefix: str, doc, strip_re: str | None = None, chars: int | None = None) -> Column:
+    """Prefixed id.  ``chars`` bounds the document's part; two long ids may then share one."""
     d = _s(doc)
     if strip_re:
         d = F.regexp_replace(d, strip_re, "")
-    return F.concat(F.lit(prefix), F.substring(d, 1, 44))
+    return F.concat(F.lit(prefix), cut(d, chars))
 
 
 def tags_text(c) -> Column:
@@ -271,29 +329,5 @@ def normalize_phone(c) -> Column:
 
 
 def pick(*cols) -> Column:
-    """First non-blank (trimmed) of several aliases, default ''."""
-    return F.coalesce(*[F.when(F.trim(F.col(c).cast("string")) != "", F.trim(F.col(c).cast("string")))
-                        for c in cols], F.lit(""))
-
-
-def classify_frame(df, title: str, summary: str, extra: str, prefix: str = "") -> "DataFrame":  # noqa: F821
-    """N14 on a DataFrame, with the classification text materialized once.
-
-    The text is staged as its own column (and the keyword flags as another)
-    so the optimizer keeps one evaluation per row instead of inlining the
-    concatenation into each of the ~50 rules.
-    """
-    ti, su, ex = _s(title), _s(summary), _s(extra)
-    out = df.withColumn("_blob", F.concat_ws(" ", F.when(ti != "", ti), F.when(su != "", su),
-                                             F.when(ex != "", ex)))
-    b = F.col("_blob")
-    out = out.withColumn("_st", infer_stages(b)).withColumn("_sg", infer_segments(b))
-    default = F.array(*[F.lit(s) for s in ["1년미만", "1-3년", "3-7년", "소상공인"]])
-    return out.select(
-        *df.columns,
-        F.when((F.size("_st") == 0) & (F.size("_sg") == 0) & b.rlike(BUSINESS_RE), default)
-         .otherwise(F.col("_st")).alias(prefix + "target_stages"),
-        F.col("_sg").alias(prefix + "target_segments"),
-        infer_region(b).alias(prefix + "region"),
-        infer_funding_type(b, F.col(title)).alias(prefix + "funding_type"),
-        extract_tags(b).alias(prefix + "normalized_tags"))
+    """First non-blank of several aliases, without white space at its ends; default ''."""
+    return F.coalesce(*[F.nullif(strip((c if isinstance(c, Column) else F.col(c)).cast("string")), F.lit("")) for c in cols], F.lit(""))

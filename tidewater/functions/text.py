@@ -28,5 +28,6 @@ def normalize_query(c: Column) -> Column:
     return F.trim(t)
 
 
-def escape_like(c: Column) -> Column:
-    return F.regexp_replace(c, r"([%_\\])", r"\\$1")
+def leading_int(c: Column) -> Column:
+    """The whole number that a text begins with ('12 people' -> 12), else NULL."""
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int")

@@ -24,27 +24,44 @@ CLOSE_AS_OF = dt.date(2024, 2, 10)
 DIGEST_SINCE = dt.datetime(2024, 1, 2, 12)
 
 
+#: A previous state row whose last event had this value or more counts as closed by hand.
+CLOSED_VALUE = 100.0
+
+
+def raw_feed(spark, sf):
+    return T.raw_feed_from_events(T.load(spark, sf, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"]))
+
+
 def normalized_feed(spark, sf):
-    raw = T.raw_feed_from_events(T.load(spark, sf, "events", ["event_id", "ts", "user_id", "event_type",
-                                                              "value", "props"]))
-    k = F.get_json_object("payload", "$.k").cast("int")
-    return raw.select(
-        *KEYS, "payload", "fetched_at", "seq",
+    """(rows to merge, rejects): an 'error' event has no title and is not normalizable; an amount that
+    cannot be computed (k = 0) is a failing row."""
+    return judged_feed(raw_feed(spark, sf))
+
+
+def judged_feed(raw):
+    """``normalized_feed`` of any raw rows, batch or stream."""
+    k = F.get_json_object("payload", "$.k").try_cast("int")
+    rows = raw.withColumns({
+        "title": F.when(F.col("source_id") != "error", F.upper("source_id")), "k": k,
+        "max_amount": F.try_divide(F.lit(1000000), k).cast("long")})
+    problem = F.when(F.col("max_amount").isNull(), F.concat(F.lit("no amount in "), F.coalesce("payload", F.lit("empty payload"))))
+    good, bad = I.split_valid(rows, ["source_doc_id", "title"], problem)
+    good = good.select(
+        *KEYS, "payload", "fetched_at", "seq", "value",
         F.concat(F.substring(F.upper("source_id"), 1, 2), F.lit("-"), F.col("source_doc_id")).alias("program_id"),
-        F.upper("source_id").alias("source_portal"),
-        (k.cast("long") * 10000).alias("max_amount"),
-        F.date_add(F.to_date("fetched_at"), k).alias("period_end"),
-        I.content_hash(F.col("payload")).alias("content_hash"))
+        F.col("title").alias("source_portal"), "max_amount",
+        F.date_add(F.to_date("fetched_at"), F.col("k")).alias("period_end"), I.content_hash("payload").alias("content_hash"))
+    return good, bad
 
 
 def previous_state(feed):
     pre = feed.where(F.col("fetched_at") < F.lit(T.FEED_SPLIT_TS))
-    last = I.last_arrival(pre.select(*KEYS, *FIELDS, "content_hash", *ORDER), KEYS, ORDER)
+    last = I.last_arrival(pre.select(*KEYS, *FIELDS, "content_hash", "value", *ORDER), KEYS, ORDER)
     firsts = pre.groupBy(*KEYS).agg(F.min("fetched_at").alias("created_at"),
                                     F.max("fetched_at").alias("last_seen_at"))
     return last.join(firsts, KEYS).select(
-        *KEYS, *FIELDS, "content_hash", "created_at", "last_seen_at",
-        F.col("last_seen_at").alias("synced_at"), I.is_open(F.col("period_end"), FEED_AS_OF).alias("is_open"))
+        *KEYS, *FIELDS, "content_hash", "created_at", "last_seen_at", F.col("last_seen_at").alias("synced_at"),
+        (I.is_open(F.col("period_end"), FEED_AS_OF) & (F.col("value") < CLOSED_VALUE)).alias("is_open"))
 
 
 def batch(feed):
@@ -52,57 +69,56 @@ def batch(feed):
 
 
 def merged(spark, sf):
-    feed = normalized_feed(spark, sf)
+    feed, _ = normalized_feed(spark, sf)
     return I.upsert(previous_state(feed), batch(feed), KEYS, FIELDS, RUN_TS, FEED_AS_OF, ORDER), feed
 
 
+# The oracle replays the batch row by row: ``step`` compares each row's hash with the one before it.
 FEED_SQL = with_ctes(RAW_FEED_CTE) + """,
+judged AS (
+  SELECT *, CAST(json_extract_string(payload, '$.k') AS INTEGER) AS k,
+         CASE WHEN CAST(json_extract_string(payload, '$.k') AS INTEGER) = 0 THEN 'error'
+              WHEN source_id = 'error' THEN 'invalid' END AS reject FROM raw_feed),
 feed AS (
-  SELECT source_id, source_doc_id, payload, fetched_at, seq,
-         substr(upper(source_id), 1, 2) || '-' || source_doc_id AS program_id,
-         upper(source_id) AS source_portal,
-         CAST(CAST(json_extract_string(payload, '$.k') AS INTEGER) AS BIGINT) * 10000 AS max_amount,
-         CAST(fetched_at AS DATE) + CAST(json_extract_string(payload, '$.k') AS INTEGER) AS period_end,
-         sha256(concat_ws('|', coalesce(payload, ''), 'v4')) AS content_hash
-  FROM raw_feed),
+  SELECT source_id, source_doc_id, payload, fetched_at, seq, value,
+         substr(upper(source_id), 1, 2) || '-' || source_doc_id AS program_id, upper(source_id) AS source_portal,
+         CAST(1000000 // k AS BIGINT) AS max_amount, CAST(fetched_at AS DATE) + k AS period_end,
+         sha256(CAST(json_object('payload', payload, 'rules_version', 4) AS VARCHAR)) AS content_hash
+  FROM judged WHERE reject IS NULL),
 pre AS (SELECT * FROM feed WHERE fetched_at < TIMESTAMP '2024-01-20 00:00:00'),
 post AS (SELECT * FROM feed WHERE fetched_at >= TIMESTAMP '2024-01-20 00:00:00'),
 prev AS (
   SELECT l.source_id, l.source_doc_id, l.program_id, l.source_portal, l.payload, l.max_amount, l.period_end,
          l.content_hash, f.created_at, f.last_seen_at, f.last_seen_at AS synced_at,
-         coalesce(l.period_end >= DATE '2024-01-25', true) AS is_open
+         l.period_end >= DATE '2024-01-25' AND l.value < 100 AS is_open
   FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, source_doc_id
                                                     ORDER BY fetched_at DESC, seq DESC) AS rn FROM pre) WHERE rn = 1) l
   JOIN (SELECT source_id, source_doc_id, min(fetched_at) AS created_at, max(fetched_at) AS last_seen_at
         FROM pre GROUP BY 1, 2) f USING (source_id, source_doc_id)),
-blast AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, source_doc_id
-                                              ORDER BY fetched_at DESC, seq DESC) AS rn FROM post) WHERE rn = 1),
-merged AS (
-  SELECT coalesce(s.source_id, b.source_id) AS source_id,
-         coalesce(s.source_doc_id, b.source_doc_id) AS source_doc_id,
-         b.content_hash IS NOT NULL AND s.content_hash IS DISTINCT FROM b.content_hash AS changed,
-         b.content_hash IS NOT NULL AS in_batch, s.source_id IS NOT NULL AS in_state,
-         s.program_id AS s_program_id, b.program_id AS b_program_id, s.source_portal AS s_portal,
-         b.source_portal AS b_portal, s.payload AS s_payload, b.payload AS b_payload,
-         s.max_amount AS s_amount, b.max_amount AS b_amount, s.period_end AS s_end, b.period_end AS b_end,
-         s.content_hash AS s_hash, b.content_hash AS b_hash, s.created_at, s.last_seen_at, s.synced_at
-  FROM prev s FULL OUTER JOIN blast b USING (source_id, source_doc_id)),
-state AS (
+step AS (
+  SELECT p.*, v.content_hash AS state_hash,
+         coalesce(lag(p.content_hash) OVER (PARTITION BY p.source_id, p.source_doc_id ORDER BY p.fetched_at, p.seq), v.content_hash)
+           IS DISTINCT FROM p.content_hash AS written,
+         row_number() OVER (PARTITION BY p.source_id, p.source_doc_id ORDER BY p.fetched_at DESC, p.seq DESC) AS back
+  FROM post p LEFT JOIN prev v USING (source_id, source_doc_id)),
+net AS (SELECT source_id, source_doc_id, bool_or(written) AS changed, count(*) AS n, count(*) FILTER (WHERE written) AS n_written
+        FROM step GROUP BY 1, 2),
+final AS (SELECT s.*, n.changed FROM step s JOIN net n USING (source_id, source_doc_id) WHERE s.back = 1),
+state2 AS (
   SELECT source_id, source_doc_id,
-         CASE WHEN changed THEN b_program_id ELSE s_program_id END AS program_id,
-         CASE WHEN changed THEN b_portal ELSE s_portal END AS source_portal,
-         CASE WHEN changed THEN b_payload ELSE s_payload END AS payload,
-         CASE WHEN changed THEN b_amount ELSE s_amount END AS max_amount,
-         CASE WHEN changed THEN b_end ELSE s_end END AS period_end,
-         CASE WHEN changed THEN b_hash ELSE s_hash END AS content_hash,
-         CASE WHEN in_batch AND NOT in_state THEN TIMESTAMP '2024-02-01 00:00:00' ELSE created_at END AS created_at,
-         CASE WHEN in_batch THEN TIMESTAMP '2024-02-01 00:00:00' ELSE last_seen_at END AS last_seen_at,
-         CASE WHEN changed THEN TIMESTAMP '2024-02-01 00:00:00' ELSE synced_at END AS synced_at,
-         CASE WHEN in_batch AND NOT in_state THEN 'inserted' WHEN in_state AND changed THEN 'updated'
-              WHEN in_batch THEN 'unchanged' ELSE 'untouched' END AS outcome
-  FROM merged),
-state2 AS (SELECT *, coalesce(period_end >= DATE '2024-01-25', true) AS is_open FROM state)
+         CASE WHEN b.changed THEN b.program_id ELSE s.program_id END AS program_id,
+         CASE WHEN b.changed THEN b.source_portal ELSE s.source_portal END AS source_portal,
+         CASE WHEN b.changed THEN b.payload ELSE s.payload END AS payload,
+         CASE WHEN b.changed THEN b.max_amount ELSE s.max_amount END AS max_amount,
+         CASE WHEN b.changed THEN b.period_end ELSE s.period_end END AS period_end,
+         CASE WHEN b.changed THEN b.content_hash ELSE s.content_hash END AS content_hash,
+         coalesce(s.created_at, TIMESTAMP '2024-02-01 00:00:00') AS created_at,
+         CASE WHEN b.seq IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE s.last_seen_at END AS last_seen_at,
+         CASE WHEN b.changed THEN TIMESTAMP '2024-02-01 00:00:00' ELSE s.synced_at END AS synced_at,
+         CASE WHEN s.content_hash IS NULL THEN 'inserted' WHEN b.changed THEN 'updated'
+              WHEN b.seq IS NOT NULL THEN 'unchanged' ELSE 'untouched' END AS outcome,
+         CASE WHEN b.changed THEN b.period_end >= DATE '2024-01-25' ELSE s.is_open END AS is_open
+  FROM prev s FULL OUTER JOIN final b USING (source_id, source_doc_id))
 """
 
 STATE_COLS = KEYS + FIELDS + ["content_hash", "created_at", "last_seen_at", "synced_at", "outcome", "is_open"]
@@ -115,29 +131,40 @@ def i2_upsert(spark, sf):
 
 
 @job("i6_run_summary", sql=FEED_SQL + """,
-rows_out AS (
-  SELECT 'batch' AS run_id, p.seq,
-         CASE WHEN p.seq = b.seq THEN s.outcome ELSE 'superseded' END AS outcome
-  FROM post p JOIN blast b USING (source_id, source_doc_id) JOIN state2 s USING (source_id, source_doc_id))
-SELECT run_id, count(*) AS fetched,
-       count(*) FILTER (WHERE outcome IN ('inserted', 'updated')) AS upserted,
-       count(*) FILTER (WHERE outcome IN ('unchanged', 'superseded', 'invalid')) AS skipped,
-       count(*) FILTER (WHERE outcome = 'error') AS errors,
-       CAST(NULL AS VARCHAR) AS first_error,
-       CASE WHEN count(*) FILTER (WHERE outcome = 'error') = 0 THEN 'success'
-            WHEN count(*) FILTER (WHERE outcome IN ('inserted', 'updated')) > 0 THEN 'partial'
-            ELSE 'failed' END AS status
-FROM rows_out GROUP BY 1""")
+bad AS (SELECT * FROM judged WHERE reject IS NOT NULL AND fetched_at >= TIMESTAMP '2024-01-20 00:00:00'),
+c AS (SELECT (SELECT coalesce(sum(n), 0) FROM net) AS merged, (SELECT coalesce(sum(n_written), 0) FROM net) AS upserted,
+             count(*) FILTER (WHERE reject = 'invalid') AS invalid, count(*) FILTER (WHERE reject = 'error') AS errors,
+             'no amount in ' || arg_min(payload, CASE WHEN reject = 'error' THEN seq END) FILTER (WHERE reject = 'error') AS first_error FROM bad)
+SELECT 'batch' AS run_id, CAST(merged + invalid + errors AS BIGINT) AS fetched, CAST(upserted AS BIGINT) AS upserted,
+       CAST(merged - upserted + invalid AS BIGINT) AS skipped, CAST(errors AS BIGINT) AS errors, first_error,
+       CASE WHEN errors = 0 THEN 'success' WHEN upserted > 0 THEN 'partial' ELSE 'failed' END AS status
+FROM c""")
 def i6_run_summary(spark, sf):
-    m, feed = merged(spark, sf)
-    b = batch(feed)
-    last = b.groupBy(*KEYS).agg(F.max_by("seq", F.struct(*ORDER)).alias("last_seq"))
-    rows = b.select(*KEYS, "seq").join(last, KEYS).join(m.select(*KEYS, "outcome"), KEYS)
-    outcomes = rows.select(F.lit("batch").alias("run_id"), "seq",
-                           F.when(F.col("seq") == F.col("last_seq"), F.col("outcome"))
-                            .otherwise(F.lit("superseded")).alias("outcome"),
-                           F.lit(None).cast("string").alias("error"))
-    return I.run_summary(outcomes)
+    feed, rejects = normalized_feed(spark, sf)
+    counts = I.replay_counts(previous_state(feed), batch(feed), KEYS, ORDER)
+    return I.run_summary(counts, batch(rejects), "batch")
+
+
+@job("i7_rejects", sql=FEED_SQL + """
+SELECT source_id, source_doc_id, seq, reject, CASE WHEN reject = 'error' THEN 'no amount in ' || payload END AS error
+FROM judged WHERE reject IS NOT NULL""")
+def i7_rejects(spark, sf):
+    """Rows that failed or cannot be normalized; none of them stops the others."""
+    _, rejects = normalized_feed(spark, sf)
+    return rejects.select(*KEYS, "seq", "reject", "error")
+
+
+@job("i12_backfill_created", sql=FEED_SQL + """
+SELECT source_id, source_doc_id, coalesce(CASE WHEN is_open THEN created_at END, CASE WHEN value_known THEN synced_at END,
+       TIMESTAMP '2024-02-01 00:00:00') AS created_at
+FROM (SELECT *, max_amount > 20000 AS value_known FROM prev)""")
+def i12_backfill_created(spark, sf):
+    """Creation times that a state without them gets: its sync time, else the run's time."""
+    feed, _ = normalized_feed(spark, sf)
+    state = previous_state(feed).withColumns({
+        "created_at": F.when(F.col("is_open"), F.col("created_at")),
+        "synced_at": F.when(F.col("max_amount") > 20000, F.col("synced_at"))})
+    return I.backfill_created(state, RUN_TS).select(*KEYS, "created_at")
 
 
 @job("s7_archive_raw", sql=FEED_SQL + """
@@ -145,21 +172,19 @@ SELECT DISTINCT source_id, source_doc_id, content_hash, payload FROM post
 WHERE source_doc_id IS NOT NULL
   AND (source_id, source_doc_id, content_hash) NOT IN (SELECT source_id, source_doc_id, content_hash FROM pre)""")
 def s7_archive_raw(spark, sf):
-    feed = normalized_feed(spark, sf)
+    feed, _ = normalized_feed(spark, sf)
     pre = feed.where(F.col("fetched_at") < F.lit(T.FEED_SPLIT_TS))
     new = I.archive_raw(pre, batch(feed))
     return new.select("source_id", "source_doc_id", "content_hash", "payload")
 
 
 @job("i8_next_since", sql=with_ctes(RAW_FEED_CTE) + """
-SELECT max(CASE WHEN regexp_matches(CAST(fetched_at AS VARCHAR), '^\\d{4}-\\d{2}-\\d{2}')
-                THEN CAST(substr(CAST(fetched_at AS VARCHAR), 1, 10) AS TIMESTAMP) END) AS max_published,
-       CAST(coalesce(CAST(max(CASE WHEN regexp_matches(CAST(fetched_at AS VARCHAR), '^\\d{4}-\\d{2}-\\d{2}')
-                THEN CAST(substr(CAST(fetched_at AS VARCHAR), 1, 10) AS DATE) END) - INTERVAL 7 DAY AS DATE),
-                DATE '2024-02-01' - INTERVAL 30 DAY) AS DATE) AS since
-FROM raw_feed""")
+SELECT CAST(max(CAST(fetched_at AS DATE)) AS TIMESTAMP) AS max_published,
+       CAST(coalesce(max(CAST(fetched_at AS DATE)) - INTERVAL 7 DAY, DATE '2024-02-01' - INTERVAL 30 DAY) AS DATE) AS since
+FROM raw_feed WHERE source_id <> 'error'""")
 def i8_next_since(spark, sf):
-    feed = normalized_feed(spark, sf).select(F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+    published = F.when(F.col("source_id") == "error", F.lit("date unknown")).otherwise(F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+    feed = raw_feed(spark, sf).select(published.alias("published_at"))
     out = I.next_since(feed, RUN_TS.date())
     return out.select("max_published", F.col("since").cast("date").alias("since"))
 
@@ -170,7 +195,7 @@ WHERE created_at >= TIMESTAMP '2024-01-02 12:00:00'
 ORDER BY period_end ASC NULLS LAST, program_id ASC LIMIT 30""")
 def i10_new_digest(spark, sf):
     m, _ = merged(spark, sf)
-    return I.new_digest(m, DIGEST_SINCE).select("program_id", "source_portal", "period_end", "created_at")
+    return I.new_digest(m, DIGEST_SINCE, I.DIGEST_ROWS).select("program_id", "source_portal", "period_end", "created_at")
 
 
 @job("i11_backfill_latest", sql=FEED_SQL + """,
@@ -182,7 +207,7 @@ SELECT p.source_id, p.source_doc_id,
        l.latest IS NOT NULL AND p.payload IS DISTINCT FROM l.latest AS backfilled
 FROM prev p LEFT JOIN latest l USING (source_id, source_doc_id)""")
 def i11_backfill_latest(spark, sf):
-    feed = normalized_feed(spark, sf)
+    feed, _ = normalized_feed(spark, sf)
     latest = I.latest_nonempty(feed, KEYS, "payload", "fetched_at", "seq")
     out = I.backfill_latest(previous_state(feed), latest, KEYS, "payload")
     return out.select(*KEYS, "payload", "backfilled")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewater.jobs.search_fixture import SEARCHES, searches
 from tidewater.operators import search as S
 from tidewater.plans.lexicon import DOCS_LEXICON
+from tidewater.plans.limits import CATALOGUE_LIMITS
 from tidewater.plans.query_plan import plan_searches
 from tidewater.registry import job
 from tidewater.sources import tables as T
@@ -15,8 +16,8 @@ from tidewater.sources.oracle_bindings import NOTICES_CTE, with_ctes
 
 def run_search(spark, sf):
     frames = DOCS_LEXICON.frames(spark)
-    plan = plan_searches(searches(spark), DOCS_LEXICON, frames)
-    return S.search(searches(spark), T.notices(spark, sf), plan, frames, T.AS_OF), plan
+    plan = plan_searches(searches(spark), DOCS_LEXICON, frames, CATALOGUE_LIMITS)
+    return S.search(T.notices(spark, sf), plan, frames, T.AS_OF), plan
 
 
 # ---------------------------------------------------------------------------
@@ -77,6 +78,11 @@ EXPECTED_META = {1: ("ranked", 1, 0), 2: ("ranked", 2, 0), 3: ("ranked", 1, 0),
                  21: ("browse", 0, 0), 22: ("weak", 0, 0), 23: ("ranked", 4, 0), 24: ("ranked", 1, 0)}
 EXPECTED_WEAK = [(9, 0, "the"), (9, 1, "and"), (22, 0, "under"), (22, 1, "find")]
 
+# (query_id, normalized text, corrections, ignored words, warning)
+EXPECTED_TEXT = [(i, {10: "license", 20: "apache license"}.get(i, q), {10: "licnese>license"}.get(i, ""),
+                  {3: "the", 4: "", 9: "the and", 22: "under find"}.get(i, ""), "generic-only" if i in (9, 22) else "")
+                 for i, q, *_ in SEARCHES]
+
 
 def _q(v):
     if isinstance(v, bool):
@@ -309,8 +315,15 @@ FROM ranked_all r JOIN summary s USING (query_id) LEFT JOIN prims p USING (query
 WHERE r.rnk > (s.page - 1) * s.page_size AND r.rnk <= s.page * s.page_size
 """
 
-SEARCH_SUMMARY_SQL = _search_sql() + """
-SELECT query_id, route, total, total_pages, relaxed, strict_count FROM summary
+SEARCH_SUMMARY_SQL = _search_sql() + f""",
+more(query_id, normalized, corrections, ignored, warning) AS (VALUES
+  {_values(EXPECTED_TEXT)}),
+syn AS (SELECT query_id, group_no, string_agg(term, ',' ORDER BY alt_no, term) AS synonyms FROM plan WHERE kind = 'synonym' GROUP BY 1, 2),
+con AS (SELECT d.query_id, string_agg(d.prim || ':' || coalesce(s.synonyms, '') || ':' || d.df::VARCHAR, '|' ORDER BY d.group_no) AS concepts
+        FROM gdf d LEFT JOIN syn s USING (query_id, group_no) GROUP BY 1)
+SELECT s.query_id, s.route, s.total, s.total_pages, s.relaxed, s.strict_count, m.normalized, m.corrections, m.ignored,
+       m.warning, coalesce(c.concepts, '') AS concepts
+FROM summary s JOIN more m USING (query_id) LEFT JOIN con c USING (query_id)
 """
 
 
@@ -324,7 +337,11 @@ def r28_search(spark, sf):
 @job("r24_search_totals", sql=SEARCH_SUMMARY_SQL)
 def r24_search_totals(spark, sf):
     res, _ = run_search(spark, sf)
-    return res.summary.select("query_id", "route", "total", "total_pages", "relaxed", "strict_count")
+    concepts = F.array_join(F.transform("concepts", lambda c: F.concat_ws(":", c["term"], c["synonyms"], c["df"].cast("string"))), "|")
+    return res.summary.select(
+        "query_id", "route", "total", "total_pages", "relaxed", "strict_count", "normalized",
+        F.array_join("corrections", ",").alias("corrections"), F.array_join("ignored", " ").alias("ignored"),
+        F.coalesce("warning", F.lit("")).alias("warning"), F.coalesce(concepts, F.lit("")).alias("concepts"))
 
 
 @job("r8_group_frequencies", sql=with_ctes(NOTICES_CTE) + f""",
@@ -348,7 +365,7 @@ SELECT g.query_id, g.group_no, g.prim AS "primary", coalesce(d.df, 0) AS df, n.c
 FROM g LEFT JOIN d USING (query_id, group_no) CROSS JOIN n""")
 def r8_group_frequencies(spark, sf):
     frames = DOCS_LEXICON.frames(spark)
-    plan = plan_searches(searches(spark), DOCS_LEXICON, frames)
+    plan = plan_searches(searches(spark), DOCS_LEXICON, frames, CATALOGUE_LIMITS)
     return S.group_frequencies(T.notices(spark, sf), plan).select(
         "query_id", "group_no", "primary", F.col("df").cast("long").alias("df"), "corpus_size", "idf")
 
@@ -383,12 +400,16 @@ def r27_audit_vocabulary(spark, sf):
 plan(query_id, group_no, alt_no, part_no, term, kind, weight, alt_size, prim) AS (VALUES
   {_values(EXPECTED_PLAN)}),
 phr(query_id, phrase_no, phrase) AS (VALUES {_values(EXPECTED_PHRASES)}),
-t AS (SELECT DISTINCT query_id, lower(term) AS lt FROM plan UNION SELECT query_id, lower(phrase) FROM phr),
+t AS (SELECT DISTINCT query_id, lower(term) AS lt FROM plan),
 tt AS (SELECT *, regexp_matches(lt, '^[A-Za-z0-9&.+#-]{{1,3}}$') AS acro,
               '(^|[^a-z0-9])' || regexp_replace(lt, '([^a-z0-9])', '\\\\\\1', 'g') || '([^a-z0-9]|$)' AS pat FROM t)
-SELECT DISTINCT tt.query_id, n.program_id FROM tt JOIN notices n
-  ON CASE WHEN tt.acro THEN regexp_matches(n.search_blob, tt.pat) ELSE contains(n.search_blob, tt.lt) END""")
+SELECT tt.query_id, n.program_id FROM tt JOIN notices n
+  ON CASE WHEN tt.acro THEN regexp_matches(n.search_blob, tt.pat) ELSE contains(n.search_blob, tt.lt) END
+UNION
+SELECT phr.query_id, n.program_id FROM phr JOIN notices n
+  ON contains(lower(coalesce(n.name, '')), lower(phrase)) OR contains(lower(coalesce(n.summary, '')), lower(phrase))
+  OR contains(lower(coalesce(n.field, '')), lower(phrase))""")
 def r26_prefilter(spark, sf):
     frames = DOCS_LEXICON.frames(spark)
-    plan = plan_searches(searches(spark), DOCS_LEXICON, frames)
+    plan = plan_searches(searches(spark), DOCS_LEXICON, frames, CATALOGUE_LIMITS)
     return S.prefilter(T.notices(spark, sf), plan)

@@ -1,17 +1,73 @@
-"""Streaming re-aims, registered in their batch form (T3) over ``events``."""
+"""Streaming jobs (T1-T4): each runs its stream over all available files and returns what it has written."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidewater.jobs import ingest_jobs as J
+from tidewater.jobs.matching_jobs import PAIRS_SQL as MATCH_CTES
+from tidewater.operators import ingest as I
 from tidewater.registry import job
+from tidewater.scratch import Scratch
 from tidewater.sources import tables as T
-from tidewater.streaming.streams import burst_windows
+from tidewater.streaming import streams as S
 
 BURST_LIMIT = 1  # requests per client per 10-minute window before a burst is reported
 
 
+def table_stream(spark, sf, name):
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def finish(query):
+    query.awaitTermination()
+    return query
+
+
 @job("t3_burst_windows", sql=f"""
 SELECT user_id AS client, time_bucket(INTERVAL '10 minutes', ts) AS window_start,
        time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS window_end, count(*) AS requests
 FROM events GROUP BY 1, 2 HAVING count(*) > {BURST_LIMIT}""")
 def t3_burst_windows(spark, sf):
     """Clients with more than BURST_LIMIT requests in a 10-minute tumbling window."""
-    return burst_windows(T.load(spark, sf, "events", ["user_id", "ts"]), limit=BURST_LIMIT)
+    return S.burst_windows(T.load(spark, sf, "events", ["user_id", "ts"]), limit=BURST_LIMIT)
+
+
+@job("t1_stream_upsert", sql=J.FEED_SQL + """,
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, source_doc_id ORDER BY fetched_at DESC, seq DESC) AS r FROM feed) WHERE r = 1)
+SELECT source_id, source_doc_id, program_id, payload, max_amount, period_end, content_hash, TIMESTAMP '2024-02-01 00:00:00' AS created_at,
+       period_end >= DATE '2024-01-25' AS is_open FROM last""")
+def t1_stream_upsert(spark, sf):
+    """The whole feed as a stream into an empty state."""
+    scratch = Scratch(spark, "t1")
+    raw = T.raw_feed_from_events(table_stream(spark, sf, "events"))
+    good, _ = J.judged_feed(raw)
+    root = scratch.folder("state")
+    finish(S.continuous_upsert(good, root, J.KEYS, J.FIELDS, J.ORDER, J.RUN_TS, J.FEED_AS_OF, scratch.folder("checkpoint")))
+    out = spark.read.parquet(S.latest_snapshot(spark, root))
+    return out.select(*J.KEYS, "program_id", "payload", "max_amount", "period_end", "content_hash", "created_at", "is_open")
+
+
+@job("t2_stream_dedup", sql=J.FEED_SQL + "SELECT DISTINCT source_id, source_doc_id, content_hash FROM feed")
+def t2_stream_dedup(spark, sf):
+    """Raw documents of the stream without repetitions inside the bound (60 days cover the feed)."""
+    scratch = Scratch(spark, "t2")
+    good, _ = J.judged_feed(T.raw_feed_from_events(table_stream(spark, sf, "events")))
+    out = scratch.folder("rows")
+    kept = S.dedup_raw(good, bound="60 days").select("source_id", "source_doc_id", "content_hash")
+    finish(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.folder("checkpoint"))
+           .outputMode("append").trigger(availableNow=True).start())
+    return spark.read.parquet(out)
+
+
+@job("t4_match_on_arrival", sql=MATCH_CTES + """
+SELECT program_id, CAST(count(*) AS BIGINT) AS profiles, max(match_score) AS best FROM scored GROUP BY 1""")
+def t4_match_on_arrival(spark, sf):
+    """Arriving notices with the number of profiles that they match, and the best score."""
+    scratch = Scratch(spark, "t4")
+    notices = T.match_notices_from_part(table_stream(spark, sf, "part"))
+    profiles = T.profiles_from_customer(T.load(spark, sf, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
+    out = scratch.folder("rows")
+    finish(S.match_on_arrival(notices, profiles).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.folder("checkpoint"))
+           .outputMode("append").trigger(availableNow=True).start())
+    return spark.read.parquet(out).groupBy("program_id").agg(F.sum("profiles").cast("long").alias("profiles"), F.max("match_score").alias("best"))

@@ -1,23 +1,21 @@
 """Search execution over a table of searches.
 
-One job answers every search of the input table:
-
-1. all terms of all searches (plan terms, phrases, weak words, expansion
-   vocabulary) are collected into one small distinct term table;
-2. ONE pass over the corpus finds every (document, term) blob hit
-   (broadcast nested-loop ``contains``; short acronyms use an ASCII boundary
-   test) and scores the hit per field -> ``hits`` (persisted, reused by every
-   later step so the mode ladder costs no extra corpus scan);
-3. hits -> alternatives -> concept groups -> documents are plain
-   ``groupBy`` aggregations keyed by (query, document) with partial
-   aggregation before each shuffle;
-4. document frequency per group is counted on the unfiltered corpus, IDF is
-   damped and rounded, the strict / half / one threshold is chosen per search
-   from a histogram, and expansion, weak and browse routes are unions;
-5. ranking is a ``row_number`` per search bounded by the deepest pageable row
-   (500 x 50), which Catalyst turns into a partial WindowGroupLimit before the
-   shuffle, so a search matching a third of the corpus never lands whole in
-   one task.
+One run answers every search of the input table in one pass over the corpus:
+
+1. The terms of all searches (plan terms, phrases, weak words, expansion words) form one
+   distinct term table; each term names one of its GRAM-character pieces.  A document's distinct
+   pieces meet them in an equi-join and the few candidates are verified with ``contains``
+   (an ASCII boundary test for acronyms): no document is compared with every term, whatever the
+   number of terms.  A hit carries only the document's id.
+2. Hits -> alternatives -> concept groups are roll-ups under one partitioning by (search,
+   document); the group table is written once.
+3. Document frequencies come from the group table; one score per (search, document) is
+   written once, with the attributes that filters and order need.
+4. Everything per search (strict count, threshold, gates, totals) comes from one small
+   histogram of the scores; ranking reads only scores and that summary.
+5. Ranking keeps the ``page * page_size`` best rows of each search in two steps: per slice of the
+   documents, then over the slices, so a search that matches a third of the corpus never sends
+   its rows to one task.
 
 Scores are exact decimals: field weights x10 are integers, weights are
 DECIMAL(3,2) and IDF DECIMAL(5,4), so sums do not depend on summation order.
@@ -30,24 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.functions.constants import (FIELD_WEIGHTS_X10, MAX_EXPANSION_TERMS,
-                                           MIN_STRICT_RESULTS, NATIONAL, WEIGHT_SYNONYM)
+from tidewater.functions.constants import FIELD_WEIGHTS_X10, MIN_STRICT_RESULTS, NATIONAL, TIERS, WEIGHT_SYNONYM
+from tidewater.operators.common import attach_scalar
 from tidewater.plans.lexicon import LexiconFrames
 from tidewater.plans.query_plan import Plan
-from tidewater.session import MAX_RANK, checkpoint_dir
+from tidewater.scratch import Scratch
 
 ACRONYM_RE = r"^[A-Za-z0-9&.+#-]{1,3}$"
-CARRY = ["program_id", "name", "region", "is_open", "period_end"]
-# Largest term table broadcast to every corpus partition.  Beyond it the hit
-# join runs as a shuffled join of term candidates (see ``term_hits``).
-MAX_BROADCAST_TERMS = 200_000
-MAX_BROADCAST_PLAN_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when its row count (an action on the small plan side) is bounded."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+GRAM = 3
+#: Slices of the documents in the first ranking step.
+SLICES = 64
+FIELDS = [name for name, _ in FIELD_WEIGHTS_X10]
+PHRASE_FIELDS = ["name", "summary", "field"]
 
 
 # ---------------------------------------------------------------------------
@@ -63,84 +55,91 @@ def _pad(c: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(c, "([^a-z0-9])", " $1 "), F.lit(" "))
 
 
-def prepare_corpus(notices: DataFrame) -> DataFrame:
-    """Corpus columns for hit detection: carried attributes, blob and field offsets in the blob."""
-    lens = {c: F.length(F.lower(F.coalesce(F.col(c), F.lit("")))) for c, _ in FIELD_WEIGHTS_X10[:-2]}
-    lens["agency"] = F.length(F.lower(F.coalesce(F.col("agency"), F.lit(""))))
-    n = notices.select(*CARRY, "field", "tags_text", "summary", "agency", "body_text", "search_blob")
-    # blob = name field tags summary agency body (single-space separated)
-    order = ["name", "field", "tags_text", "summary", "agency"]
-    start = F.lit(1)
-    cols = []
-    for c in order:
-        cols.append(start.alias(f"_s_{c}"))
-        cols.append((start + lens[c] - 1).alias(f"_e_{c}"))
-        start = start + lens[c] + 1
-    cols.append(start.alias("_s_body_text"))
-    cols.append(F.length("search_blob").alias("_e_body_text"))
-    return n.select("*", *cols)
-
-
-def _segment_hit(term: str, field: str) -> Column:
-    p = F.expr(f"locate({term}, search_blob, _s_{field})")
-    return (p > 0) & (p + F.length(term) - 1 <= F.col(f"_e_{field}"))
-
+def pieces(text: Column) -> Column:
+    """Distinct GRAM-character pieces of a text, and their shorter beginnings.
 
-def term_hits(corpus: DataFrame, terms: DataFrame) -> DataFrame:
+    The text's end is padded, so every character begins a piece and a term of one or two characters
+    equals the beginning of a piece.
+    """
+    long = F.array_distinct(F.regexp_extract_all(F.concat(text, F.lit("\u0000" * (GRAM - 1))), F.lit("(?s)(?=(.{%d}))" % GRAM), 1))
+    shorter = [F.array_distinct(F.transform(long, lambda p, k=k: F.substring(p, 1, k))) for k in range(1, GRAM)]
+    return F.concat(long, *shorter)
+
+
+def keyed_terms(terms: DataFrame) -> DataFrame:
+    """(lterm, piece, acro, pterm): each distinct lower-cased term with its piece that the fewest
+    terms of the table share (the first of these)."""
+    t = terms.select("lterm").where(F.col("lterm") != "").distinct()
+    size = F.least(F.length("lterm"), F.lit(GRAM))
+    cut = t.select("lterm", F.explode(F.sequence(F.lit(1), F.length("lterm") - size + 1)).alias("at"))
+    cut = cut.select("lterm", "at", F.col("lterm").substr(F.col("at"), F.least(F.length("lterm"), F.lit(GRAM))).alias("piece"))
+    shared = cut.groupBy("piece").agg(F.count_distinct("lterm").alias("n"))
+    best = cut.join(shared, "piece").groupBy("lterm").agg(F.min(F.struct("n", "at", "piece")).alias("b"))
+    return best.select("lterm", F.col("b.piece").alias("piece"), F.col("lterm").rlike(ACRONYM_RE).alias("acro"),
+                       _pad(F.col("lterm")).alias("pterm"))
+
+
+def candidates(notices: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Documents beside the terms whose piece they hold; fields lower-cased once per document."""
+    low = notices.select(
+        "program_id", "search_blob",
+        *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"l_{c}") for c in FIELDS])
+    low = low.select("*", F.explode(pieces(F.col("search_blob"))).alias("piece"))
+    return low.join(keyed, "piece")
+
+
+def term_hits(notices: DataFrame, terms: DataFrame) -> DataFrame:
     """Every (document, term) whose lower-cased blob contains the term.
 
-    ``terms`` has one column ``lterm`` (lower-cased, distinct).  Output:
-    CARRY + lterm, score_x10 (field-weighted score x10, 0 when the hit spans two
-    fields), psf_hit (substring in name, summary or field: the phrase rule).
+    ``terms`` has a column ``lterm`` (lower-cased).  Output: program_id, lterm, score_x10
+    (field-weighted score x10, 0 when the hit spans two fields), psf_hit (plain substring of
+    name, summary or field: the phrase rule).
     """
-    t = terms.select("lterm").where(F.col("lterm") != "").distinct() \
-        .withColumn("acro", F.col("lterm").rlike(ACRONYM_RE))
-    t = bounded_broadcast(t, MAX_BROADCAST_TERMS)
-    plain_t = t.where(~F.col("acro")).select("lterm")
-    acro_t = t.where(F.col("acro")).select("lterm", _pad(F.col("lterm")).alias("pterm"))
-
-    plain = corpus.join(plain_t, F.col("search_blob").contains(F.col("lterm")))
-    score = None
-    for fld, w in FIELD_WEIGHTS_X10:
-        e = F.when(_segment_hit("lterm", fld), F.lit(w)).otherwise(F.lit(0))
-        score = e if score is None else score + e
-    psf = _segment_hit("lterm", "name") | _segment_hit("lterm", "summary") | _segment_hit("lterm", "field")
-    plain = plain.select(*CARRY, "lterm", score.alias("score_x10"), psf.alias("psf_hit"))
-
-    acro = corpus.withColumn("_pblob", _pad(F.col("search_blob"))) \
-        .join(acro_t, F.col("_pblob").contains(F.col("pterm")))
-    ascore = None
-    for fld, w in FIELD_WEIGHTS_X10:
-        src = "tags_text" if fld == "tags_text" else fld
-        e = F.when(_pad(F.lower(F.coalesce(F.col(src), F.lit("")))).contains(F.col("pterm")), F.lit(w)) \
-             .otherwise(F.lit(0))
-        ascore = e if ascore is None else ascore + e
-    acro = acro.select(*CARRY, "lterm", ascore.alias("score_x10"), psf.alias("psf_hit"))
-    return plain.unionByName(acro)
+    c = candidates(notices, keyed_terms(terms))
+    inside = {f: F.when(F.col("acro"), _pad(F.col(f"l_{f}")).contains(F.col("pterm"))).otherwise(F.col(f"l_{f}").contains(F.col("lterm"))) for f in FIELDS}
+    score = sum((F.when(inside[f], F.lit(w)).otherwise(F.lit(0)) for f, w in FIELD_WEIGHTS_X10), F.lit(0))
+    psf = F.lit(False)
+    for f in PHRASE_FIELDS:
+        psf = psf | F.col(f"l_{f}").contains(F.col("lterm"))
+    # an acronym has no space, so it stands in the blob where it stands in a field
+    plain = F.col("search_blob").contains(F.col("lterm"))
+    scored = c.where(plain).select("program_id", "lterm", "acro", score.alias("score_x10"), psf.alias("psf_hit"))
+    return scored.where(~F.col("acro") | (F.col("score_x10") > 0)).drop("acro")
 
 
 # ---------------------------------------------------------------------------
 # Alternatives, groups, documents
 # ---------------------------------------------------------------------------
 
-def _alt_level(hits: DataFrame, plan_terms: DataFrame) -> DataFrame:
-    pt = plan_terms.withColumn("lterm", F.lower("term"))
-    # one shuffle on (query, document): the alternative, group and document
-    # roll-ups below are keyed by supersets of it and need no further exchange;
-    # a hot search still spreads over all partitions by document.
-    j = hits.join(F.broadcast(pt), "lterm").repartition("query_id", "program_id")
-    return j.groupBy("query_id", "group_no", "alt_no", *CARRY).agg(
-        F.first("kind").alias("kind"), F.first("weight").alias("weight"),
-        F.first("alt_size").alias("alt_size"),
-        F.countDistinct(F.when(F.col("score_x10") > 0, F.col("part_no"))).alias("n_pos"),
-        F.countDistinct("part_no").alias("n_blob"),
-        F.min("score_x10").alias("min_score"))
+def plan_roles(terms: DataFrame, role: str) -> DataFrame:
+    return terms.select(
+        "query_id", F.lit(role).alias("role"), "group_no", "alt_no", "part_no", F.lower("term").alias("lterm"),
+        F.col("kind").isin("exact", "compound-joined").alias("literal"), F.col("weight").cast("decimal(3,2)").alias("weight"), "alt_size")
+
 
+def word_roles(words: DataFrame, role: str, term: str, number: str) -> DataFrame:
+    return words.select(
+        "query_id", F.lit(role).alias("role"), F.lit(0).alias("group_no"), F.col(number).alias("alt_no"), F.lit(0).alias("part_no"),
+        F.lower(term).alias("lterm"), F.lit(False).alias("literal"), F.lit(1).cast("decimal(3,2)").alias("weight"), F.lit(1).alias("alt_size"))
 
-def group_df(alt: DataFrame) -> DataFrame:
-    """Documents per (query, group) on the unfiltered corpus: all parts of some alternative hit."""
-    full = alt.where(F.col("n_blob") == F.col("alt_size")).select("query_id", "group_no", "program_id")
-    return full.groupBy("query_id", "group_no").agg(F.countDistinct("program_id").alias("df"))
+
+def group_hits(hits: DataFrame, roles: DataFrame) -> DataFrame:
+    """R5-R7 per (search, document, role, group): best alternative (without idf), exact flag, whether some
+    alternative is hit in full, and the sums that phrases and weak words need.
+
+    A part of an alternative is one term and a (document, term) hit is one row, so counting rows
+    counts parts.  One shuffle on (search, document): the roll-ups are keyed by supersets of it.
+    """
+    j = hits.join(roles, "lterm").repartition("query_id", "program_id")
+    alt = j.groupBy("query_id", "program_id", "role", "group_no", "alt_no").agg(
+        F.first("literal").alias("literal"), F.first("weight").alias("weight"), F.first("alt_size").alias("alt_size"),
+        F.count(F.lit(1)).alias("n_blob"), F.count_if(F.col("score_x10") > 0).alias("n_pos"),
+        F.min("score_x10").alias("low"), F.bool_and(F.col("psf_hit") & (F.col("score_x10") > 0)).alias("phrase"))
+    whole = F.col("n_pos") == F.col("alt_size")
+    return alt.groupBy("query_id", "program_id", "role", "group_no").agg(
+        F.max(F.when(whole, F.col("low").cast("decimal(10,0)") * F.col("weight")).otherwise(F.lit(0).cast("decimal(14,2)"))).alias("best"),
+        F.bool_or(F.col("literal") & whole).alias("exact"), F.bool_or(F.col("n_blob") == F.col("alt_size")).alias("full"),
+        F.count(F.lit(1)).alias("alts"), F.sum("low").alias("low_sum"), F.count_if("phrase").alias("phrases"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -150,40 +149,22 @@ def idf(df: Column, n: Column) -> Column:
     return F.round(safe, 4).cast("decimal(5,4)")
 
 
-def doc_scores(alt: DataFrame, idfs: DataFrame) -> DataFrame:
-    """Group score = best alternative x idf; document = sum, hit and exact counts."""
-    a = alt.select(
-        "query_id", "group_no", *CARRY,
-        F.when(F.col("n_pos") == F.col("alt_size"),
-               F.col("min_score").cast("decimal(10,0)") * F.col("weight"))
-         .otherwise(F.lit(0).cast("decimal(14,2)")).alias("alt_score"),
-        (F.col("kind").isin("exact", "compound-joined") & (F.col("n_pos") == F.col("alt_size"))).alias("alt_exact"))
-    g = a.groupBy("query_id", "group_no", *CARRY).agg(
-        F.max("alt_score").alias("best"), F.bool_or("alt_exact").alias("g_exact"))
-    g = g.join(F.broadcast(idfs), ["query_id", "group_no"], "left") \
-         .withColumn("g_score", F.col("best") * F.coalesce(F.col("idf"), F.lit(1).cast("decimal(5,4)")))
-    return g.groupBy("query_id", *CARRY).agg(
-        F.sum("g_score").alias("g_sum"),
-        F.count_if(F.col("g_score") > 0).alias("n_hit"),
-        F.count_if(F.col("g_exact")).alias("n_exact"),
-        F.array_sort(F.collect_list(F.when(F.col("g_score") > 0, F.col("group_no")))).alias("matched_nos"))
-
-
-def phrase_scores(hits: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Phrase satisfied = substring in name/summary/field and a positive term score; raw scores summed."""
-    p = phrases.withColumn("lterm", F.lower("phrase"))
-    j = hits.join(F.broadcast(p), "lterm").repartition("query_id", "program_id")
-    return j.groupBy("query_id", *CARRY).agg(
-        F.sum("score_x10").alias("p_sum"),
-        F.countDistinct(F.when(F.col("psf_hit") & (F.col("score_x10") > 0), F.col("phrase_no"))).alias("p_ok"))
+def frequencies(groups: DataFrame, plan_terms: DataFrame, notices: DataFrame) -> DataFrame:
+    """Df of each concept over the unfiltered corpus (all parts of some alternative), corpus size, idf."""
+    df = groups.where((F.col("role") == "t") & F.col("full")).groupBy("query_id", "group_no").agg(F.count(F.lit(1)).alias("df"))
+    out = plan_terms.select("query_id", "group_no", "primary").distinct().join(df, ["query_id", "group_no"], "left").fillna(0, ["df"])
+    out = attach_scalar(out, notices.agg(F.count(F.lit(1)).alias("corpus_size")))
+    return out.withColumn("idf", idf(F.col("df"), F.col("corpus_size")))
 
 
 def filters_ok(region: Column, open_only: Column, as_of) -> Column:
-    """R19 + R20 on the carried attributes."""
+    """R19 + R20 on a document's region, is_open and period_end."""
     reg = (region == "") | (F.col("region") == region) | (F.col("region") == NATIONAL)
-    opn = ~open_only | (F.col("is_open") & (F.col("period_end").isNull()
-                                             | (F.col("period_end") >= F.lit(as_of))))
-    return reg & opn
+    return reg & (~open_only | open_now(as_of))
+
+
+def open_now(as_of) -> Column:
+    return F.col("is_open") & (F.col("period_end").isNull() | (F.col("period_end") >= F.lit(as_of)))
 
 
 # ---------------------------------------------------------------------------
@@ -191,41 +172,40 @@ def filters_ok(region: Column, open_only: Column, as_of) -> Column:
 # ---------------------------------------------------------------------------
 
 def expansion_terms(plan: Plan, frames: LexiconFrames) -> DataFrame:
-    """R16 + R17: (query_id, term, rank) of the expansion vocabulary, <= 12 per search.
+    """R16 + R17: (query_id, term, rank, domain_label) of the expansion vocabulary.
 
     Lookup words: group primaries in group order, then every alternative term;
     the first word with a seed wins (exact seed, else the longest seed of >= 2
-    chars contained in a longer word); at most two domains; agencies before
-    terms, round-robin over the domains, distinct.
+    chars contained in a longer word); agencies before terms, round-robin over the
+    domains, distinct.  ``plan.limits`` may bound domains and terms.
     """
     t = plan.terms
     prim = t.select("query_id", F.col("primary").alias("word"),
-                    F.struct(F.lit(0).alias("k"), F.col("group_no").alias("g"), F.lit(0).alias("a"),
-                             F.lit(0).alias("p")).alias("ord"))
+                    F.struct(F.lit(0).alias("k"), F.col("group_no").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("p")).alias("ord"))
     alts = t.select("query_id", F.col("term").alias("word"),
-                    F.struct(F.lit(1).alias("k"), F.col("group_no").alias("g"), F.col("alt_no").alias("a"),
-                             F.col("part_no").alias("p")).alias("ord"))
+                    F.struct(F.lit(1).alias("k"), F.col("group_no").alias("g"), F.col("alt_no").alias("a"), F.col("part_no").alias("p")).alias("ord"))
     words = prim.unionByName(alts).withColumn("word", F.trim("word")).where(F.col("word") != "") \
         .groupBy("query_id", "word").agg(F.min("ord").alias("ord"))
-    seeds = F.broadcast(frames.seeds)
-    seed_keys = frames.seeds.select("seed", "seed_order").distinct()
-    exact = words.join(F.broadcast(seed_keys), words.word == F.col("seed")) \
-        .select("query_id", "word", "ord", "seed", F.lit(0).alias("how"), F.lit(0).alias("neg_len"), "seed_order")
-    contained = words.join(F.broadcast(seed_keys.where(F.length("seed") >= 2)),
-                           F.col("word").contains(F.col("seed")) & (F.length("word") > F.length("seed"))) \
-        .select("query_id", "word", "ord", "seed", F.lit(1).alias("how"),
-                (-F.length("seed")).alias("neg_len"), "seed_order")
-    cand = exact.unionByName(contained)
-    best_per_word = cand.groupBy("query_id", "word", "ord").agg(
-        F.min(F.struct("how", "neg_len", "seed_order", "seed")).alias("b"))
-    chosen = best_per_word.groupBy("query_id").agg(F.min(F.struct("ord", F.col("b.seed").alias("seed"))).alias("c")) \
+    # a seed inside a word is one of the word's pieces of the seed's length: an equi-join again
+    seeds = frames.seeds.select("seed", "seed_order").distinct()
+    inner = words.select("query_id", "word", "ord", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length("word")),
+        lambda i: F.transform(F.sequence(F.lit(1), F.length("word") - i + 1), lambda n: F.col("word").substr(i, n)))))).alias("seed"))
+    found = inner.join(seeds, "seed").withColumn("how", (F.col("seed") != F.col("word")).cast("int")) \
+        .where((F.col("how") == 0) | (F.length("seed") >= 2))
+    best = found.groupBy("query_id", "word", "ord").agg(
+        F.min(F.struct("how", (-F.length("seed")).alias("neg_len"), "seed_order", "seed")).alias("b"))
+    chosen = best.groupBy("query_id").agg(F.min(F.struct("ord", F.col("b.seed").alias("seed"))).alias("c")) \
         .select("query_id", F.col("c.seed").alias("seed"))
-    doms = chosen.join(seeds, "seed").where(F.col("key_no") < 2).select("query_id", "key_no", "domain_key")
-    dt = F.broadcast(frames.domain_terms.select("domain_key", "label", "qpos", "term"))
-    picked = doms.join(dt, "domain_key") \
+    doms = chosen.join(frames.seeds, "seed")
+    if plan.limits.domains is not None:
+        doms = doms.where(F.col("key_no") < plan.limits.domains)
+    doms = doms.select("query_id", "key_no", "domain_key")
+    picked = doms.join(frames.domain_terms.select("domain_key", "qpos", "term"), "domain_key") \
         .groupBy("query_id", "term").agg(F.min(F.struct("qpos", "key_no")).alias("r"))
-    w = Window.partitionBy("query_id").orderBy(F.col("r.qpos"), F.col("r.key_no"))
-    picked = picked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MAX_EXPANSION_TERMS)
+    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("r.qpos"), F.col("r.key_no"))))
+    if plan.limits.expansion_terms is not None:
+        picked = picked.where(F.col("rank") <= plan.limits.expansion_terms)
     labels = doms.join(frames.domain_terms.select("domain_key", "label").distinct(), "domain_key") \
         .groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key_no", "label"))),
                                                           lambda x: x["label"]), " · ").alias("domain_label"))
@@ -239,222 +219,185 @@ def expansion_terms(plan: Plan, frames: LexiconFrames) -> DataFrame:
 @dataclass
 class SearchResult:
     rows: DataFrame      # one row per search and result on the requested page
-    summary: DataFrame   # one row per search: route, totals, mode, frequencies
+    summary: DataFrame   # one row per search: route, totals, mode, frequencies, plan metadata
+    scratch: Scratch     # written tables both read; close() it when they are no longer needed
+
 
+def _order():
+    return [F.col("tier_num").desc(), F.col("score_dec").desc_nulls_last(), F.col("is_open").desc(),
+            F.col("period_end").asc_nulls_last(), F.col("name").asc(), F.col("program_id").asc()]
 
-def _rank_and_page(res: DataFrame, meta: DataFrame) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(
-        F.col("tier_num").desc(), F.col("score_dec").desc_nulls_last(), F.col("is_open").desc(),
-        F.col("period_end").asc_nulls_last(), F.col("name").asc(), F.col("program_id").asc())
-    ranked = res.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MAX_RANK)
-    m = F.broadcast(meta.select("query_id", "page", "page_size"))
-    return ranked.join(m, "query_id").where(
-        (F.col("rank") > (F.col("page") - 1) * F.col("page_size"))
-        & (F.col("rank") <= F.col("page") * F.col("page_size")))
 
+def _best(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The ``most`` first rows of each key, in two steps; adds ``rank``."""
+    rows = rows.withColumn("_slice", F.pmod(F.xxhash64("program_id"), F.lit(SLICES)))
+    local = Window.partitionBy(*keys, "_slice").orderBy(*_order())
+    rows = rows.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= most).drop("_r", "_slice")
+    whole = Window.partitionBy(*keys).orderBy(*_order())
+    return rows.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= most)
 
-def search(searches: DataFrame, corpus_notices: DataFrame, plan: Plan, frames: LexiconFrames,
-           as_of) -> SearchResult:
+
+def _browse(notices: DataFrame, asked: DataFrame, most: int, as_of) -> tuple[DataFrame, DataFrame]:
+    """(rows, totals) of the searches without any term, by equi-join on the filter.
+
+    A filter admits regions: its own and the national one, or all ('*').  Documents are first
+    reduced to the best rows of each (region, open now), which is all that any filter can show.
+    """
+    keys = asked.select("q_region", "open_only").distinct()
+    admits = keys.select("q_region", "open_only", F.explode(F.when(F.col("q_region") == "", F.array(F.lit("*")))
+                                                            .otherwise(F.array_distinct(F.array("q_region", F.lit(NATIONAL))))).alias("token"))
+    d = notices.select("program_id", "name", "region", "is_open", "period_end", F.coalesce(open_now(as_of), F.lit(False)).alias("now"),
+                       F.lit(0).alias("tier_num"), F.lit(None).cast("decimal(20,6)").alias("score_dec"))
+    sizes = d.groupBy("region", "now").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("now", "n", F.explode(F.array_distinct(F.array_compact(F.array("region", F.lit("*"))))).alias("token"))
+    totals = sizes.join(admits, "token").where("now or not open_only").groupBy("q_region", "open_only").agg(F.sum("n").alias("total"))
+    top = _best(d, ["region", "now"], most).drop("rank")
+    top = top.withColumn("token", F.explode(F.array_distinct(F.array_compact(F.array("region", F.lit("*"))))))
+    rows = _best(top.join(admits, "token").where("now or not open_only"), ["q_region", "open_only"], most)
+    return (rows.join(asked, ["q_region", "open_only"]).select("query_id", "program_id", "rank"),
+            asked.join(totals, ["q_region", "open_only"]).select("query_id", "total"))
+
+
+def search(corpus_notices: DataFrame, plan: Plan, frames: LexiconFrames, as_of) -> SearchResult:
+    scratch = Scratch(corpus_notices.sparkSession, "search")
     meta = plan.meta
-    # the plan frames are bounded by the search table (<= 8 concepts per search)
-    meta_b = F.broadcast(meta)
-
-    # weak words: generic then intent, first four
-    weak = meta.where(F.col("route") == "weak").select(
-        "query_id", F.posexplode(F.slice(F.concat("generic", "intent"), 1, 4)).alias("wpos", "term"))
-    exp = expansion_terms(plan, frames)
-    exp_terms = exp.select("query_id", F.lit(0).alias("group_no"), (F.col("rank") + 1000).alias("alt_no"),
-                           F.lit(0).alias("part_no"), "term", F.lit("domain").alias("kind"),
-                           F.lit(WEIGHT_SYNONYM).cast("decimal(3,2)").alias("weight"),
-                           F.lit(1).alias("alt_size"), F.col("domain_label").alias("primary"))
     ranked_ids = meta.where(F.col("route") == "ranked").select("query_id")
-    plan_terms = plan.terms.join(ranked_ids, "query_id", "left_semi")
+    terms = plan.terms.join(ranked_ids, "query_id", "left_semi")
     phrases = plan.phrases.join(ranked_ids, "query_id", "left_semi")
-
-    all_terms = plan_terms.select(F.lower("term").alias("lterm")) \
-        .unionByName(phrases.select(F.lower("phrase").alias("lterm"))) \
-        .unionByName(weak.select(F.lower("term").alias("lterm"))) \
-        .unionByName(exp_terms.select(F.lower("term").alias("lterm"))).distinct()
-
-    corpus = prepare_corpus(corpus_notices)
-    # the one corpus pass: materialized once (reliable checkpoint in the shared
-    # spark.checkpoint.dir) and read by df, strict/relaxed, expansion and weak
-    checkpoint_dir(corpus_notices.sparkSession)
-    hits = term_hits(corpus, all_terms).checkpoint(eager=True)
-    n_docs = corpus_notices.agg(F.count(F.lit(1)).alias("corpus_size"))
-
-    # ---- ranked route ----
-    alt = _alt_level(hits, plan_terms)
-    dfs = group_df(alt)
-    groups = plan_terms.select("query_id", "group_no", "primary").distinct()
-    dfs = groups.join(dfs, ["query_id", "group_no"], "left").fillna(0, ["df"])
-    dfs = dfs.withColumn("_one", F.lit(0)).join(F.broadcast(n_docs.withColumn("_one", F.lit(0))), "_one").drop("_one")
-    dfs = dfs.withColumn("idf", idf(F.col("df"), F.col("corpus_size")))
-    docs = doc_scores(alt, dfs.select("query_id", "group_no", "idf"))
-    ph = phrase_scores(hits, phrases)
-    scored = docs.join(ph, ["query_id", *CARRY], "full_outer")
-    scored = scored.join(meta_b.select("query_id", "n_groups", "n_phrases", "region", "open_only", "route")
-                         .withColumnRenamed("region", "q_region"), "query_id")
+    words = F.concat("generic", "intent")
+    if plan.limits.weak_words is not None:
+        words = F.slice(words, 1, plan.limits.weak_words)
+    weak = meta.where(F.col("route") == "weak").select("query_id", F.posexplode(F.array_distinct(F.transform(words, F.lower))).alias("wpos", "term"))
+    weak = scratch.write(weak, "weak")
+    exp = scratch.write(expansion_terms(plan, frames), "expansion")
+    exp_roles = plan_roles(exp.select("query_id", F.lit(0).alias("group_no"), F.col("rank").alias("alt_no"), F.lit(0).alias("part_no"), "term",
+                                      F.lit("domain").alias("kind"), F.lit(WEIGHT_SYNONYM).alias("weight"), F.lit(1).alias("alt_size")), "e")
+    roles = scratch.write(plan_roles(terms, "t").unionByName(word_roles(phrases, "p", "phrase", "phrase_no"))
+                          .unionByName(word_roles(weak, "w", "term", "wpos")).unionByName(exp_roles), "roles")
+    hits = scratch.write(term_hits(corpus_notices, roles), "hits")
+    groups = scratch.write(group_hits(hits, roles), "groups")
+    dfs = scratch.write(frequencies(groups, terms, corpus_notices), "frequencies")
+
+    # ---- one score per (search, document) ----
+    role = lambda r: F.col("role") == r
+    g = groups.join(dfs.select("query_id", "group_no", F.lit("t").alias("role"), "idf"), ["query_id", "group_no", "role"], "left")
+    g = g.withColumn("g_score", F.when(role("t"), F.col("best") * F.col("idf")))
+    docs = g.groupBy("query_id", "program_id").agg(
+        F.sum("g_score").alias("g_sum"), F.count_if(F.col("g_score") > 0).alias("n_hit"), F.count_if(role("t") & F.col("exact")).alias("n_exact"),
+        F.array_sort(F.collect_list(F.when(F.col("g_score") > 0, F.col("group_no")))).alias("matched_nos"),
+        F.sum(F.when(role("p"), F.col("low_sum"))).alias("p_sum"), F.sum(F.when(role("p"), F.col("phrases"))).alias("p_ok"),
+        F.sum(F.when(role("w"), F.col("alts"))).alias("n_weak"), F.max(F.when(role("e"), F.col("best"))).alias("e_score"),
+        F.bool_or(role("t") | role("p")).alias("asked"))
+    n_weak = weak.groupBy("query_id").agg(F.count(F.lit(1)).alias("all_weak"))
+    asked = meta.select("query_id", "route", "n_groups", "n_phrases", F.col("region").alias("q_region"), "open_only").join(n_weak, "query_id", "left")
+    attributes = corpus_notices.select("program_id", "name", "region", "is_open", "period_end")
+    scored = docs.join(asked, "query_id").join(attributes, "program_id").where(filters_ok(F.col("q_region"), F.col("open_only"), as_of))
+    zero = F.lit(0).cast("decimal(20,6)")
+    phrases_ok = (F.col("n_phrases") == 0) | (F.coalesce("p_ok", F.lit(0)) == F.col("n_phrases"))
     scored = scored.select(
-        "query_id", *CARRY, "n_groups", "n_phrases", "q_region", "open_only",
-        (F.coalesce("g_sum", F.lit(0).cast("decimal(20,6)"))
-         + F.coalesce("p_sum", F.lit(0)).cast("decimal(20,6)")).alias("score_dec"),
-        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-        F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
-        ((F.col("n_phrases") == 0) | (F.coalesce("p_ok", F.lit(0)) == F.col("n_phrases"))).alias("phrase_ok"),
-        F.coalesce("matched_nos", F.array().cast("array<int>")).alias("matched_nos"))
-    scored = scored.where(F.col("phrase_ok") & filters_ok(F.col("q_region"), F.col("open_only"), as_of))
-
-    # Strict if >= 5 strict results or <= 1 concept; else half, else one
-    hist = scored.groupBy("query_id").agg(
-        F.count_if(F.col("n_hit") == F.col("n_groups")).alias("strict_count"),
-        F.max("n_hit").alias("max_hit"))
-    modes = meta.where(F.col("route") == "ranked").select("query_id", "n_groups", "n_phrases") \
-        .join(hist, "query_id", "left").fillna(0, ["strict_count", "max_hit"])
+        "query_id", "program_id", "name", "is_open", "period_end", "n_hit", "n_exact", "n_groups", "matched_nos",
+        (F.coalesce("g_sum", zero) + F.coalesce("p_sum", F.lit(0)).cast("decimal(20,6)")).cast("decimal(20,6)").alias("score_dec"),
+        ((F.col("route") == "ranked") & F.col("asked") & phrases_ok).alias("main"),
+        F.coalesce(F.col("n_weak") == F.col("all_weak"), F.lit(False)).alias("weak"),
+        F.when(F.col("e_score") > 0, F.col("e_score").cast("decimal(20,6)")).alias("e_score"))
+    scored = scratch.write(scored.where("main or weak or e_score is not null"), "scored")
+
+    # ---- R14, R15, R24 per search, from a small histogram ----
+    bars = scored.groupBy("query_id", "n_hit").agg(F.count_if("main").alias("main"), F.count_if("weak").alias("weak"), F.count("e_score").alias("expanded"))
+    of = meta.select("query_id", "n_groups", "n_phrases", "route", "page", "page_size", "normalized", "primaries", "corrections", "generic", "intent", "warning")
+    bars = of.join(bars, "query_id", "left").fillna(0, ["n_hit", "main", "weak", "expanded"])
+    per = Window.partitionBy("query_id")
+    bars = bars.withColumns({
+        "strict_count": F.sum(F.when(F.col("n_hit") == F.col("n_groups"), F.col("main")).otherwise(F.lit(0))).over(per),
+        "max_hit": F.max(F.when(F.col("main") > 0, F.col("n_hit")).otherwise(F.lit(0))).over(per)})
     half = F.greatest(F.lit(1), F.ceil(F.col("n_groups") / 2)).cast("int")
-    strict_mode = (F.col("strict_count") >= MIN_STRICT_RESULTS) | (F.col("n_groups") <= 1)
-    modes = modes.select(
-        "query_id", "strict_count",
-        F.when(strict_mode, F.col("n_groups"))
-         .when(F.col("max_hit") >= half, half).otherwise(F.lit(1)).alias("threshold"),
-        (~strict_mode).alias("relaxed"))
-    modes_b = F.broadcast(modes)
-    ranked = scored.join(modes_b, "query_id").where(F.col("n_hit") >= F.col("threshold"))
-    ranked = ranked.withColumn(
-        "tier_num",
-        F.when((F.col("n_exact") == F.col("n_groups")) & (F.col("n_hit") == F.col("n_groups")), F.lit(4))
-         .when(F.col("n_hit") == F.col("n_groups"), F.lit(3))
-         .when(F.col("n_hit") >= 1, F.lit(2)).otherwise(F.lit(1)))
-    ranked_tot = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-
-    # ---- R15-R18: expansion for searches with nothing, no phrase, concepts, all df = 0 ----
-    gate = modes.select("query_id").join(ranked_tot, "query_id", "left").fillna(0, ["total"]) \
-        .join(meta.select("query_id", "n_groups", "n_phrases"), "query_id") \
-        .join(dfs.groupBy("query_id").agg(F.max("df").alias("max_df")), "query_id", "left") \
-        .where((F.col("total") == 0) & (F.col("n_phrases") == 0) & (F.col("n_groups") > 0)
-               & (F.coalesce("max_df", F.lit(0)) == 0)).select("query_id")
-    exp_plan = exp_terms.join(gate, "query_id", "left_semi")
-    ealt = _alt_level(hits, exp_plan)
-    edocs = doc_scores(ealt, exp_plan.select("query_id", "group_no").distinct()
-                       .withColumn("idf", F.lit(1).cast("decimal(5,4)")))
-    edocs = edocs.join(meta_b.select("query_id", F.col("region").alias("q_region"), "open_only"), "query_id") \
-        .where((F.col("n_hit") >= 1) & filters_ok(F.col("q_region"), F.col("open_only"), as_of))
-    edocs = edocs.select("query_id", *CARRY, F.col("g_sum").cast("decimal(20,6)").alias("score_dec"),
-                         F.lit(3).alias("tier_num"), "matched_nos")
-    exp_tot = edocs.groupBy("query_id").agg(F.count(F.lit(1)).alias("exp_total"))
-    use_exp = exp_tot.where(F.col("exp_total") > 0).select("query_id")
-
-    ranked_rows = ranked.join(use_exp, "query_id", "left_anti").select(
-        "query_id", *CARRY, "score_dec", "tier_num", "matched_nos",
-        F.element_at(F.array(*[F.lit(x) for x in ["weak", "partial", "synonym", "exact"]]),
-                     F.col("tier_num")).alias("tier"))
-    exp_rows = edocs.join(use_exp, "query_id", "left_semi").select(
-        "query_id", *CARRY, "score_dec", "tier_num", "matched_nos", F.lit("domain").alias("tier"))
-
-    # ---- R21: weak route, all (<= 4) generic words present ----
-    wk = weak.withColumn("lterm", F.lower("term"))
-    n_weak = wk.groupBy("query_id").agg(F.countDistinct("lterm").alias("n_weak"))
-    weak_docs = hits.join(F.broadcast(wk), "lterm").groupBy("query_id", *CARRY) \
-        .agg(F.countDistinct("lterm").alias("n_w"))
-    weak_docs = weak_docs.join(F.broadcast(n_weak), "query_id").where(F.col("n_w") == F.col("n_weak")) \
-        .join(meta_b.select("query_id", F.col("region").alias("q_region"), "open_only"), "query_id") \
-        .where(filters_ok(F.col("q_region"), F.col("open_only"), as_of))
-    weak_rows = weak_docs.select("query_id", *CARRY, F.lit(None).cast("decimal(20,6)").alias("score_dec"),
-                                 F.lit(1).alias("tier_num"), F.array().cast("array<int>").alias("matched_nos"),
-                                 F.lit("weak").alias("tier"))
-
-    # ---- R22: browse route, filters only; one corpus pass per distinct filter key ----
-    bq = meta.where(F.col("route") == "browse").select("query_id", F.col("region").alias("q_region"), "open_only")
-    keys = bq.select("q_region", "open_only").distinct()
-    # distinct (region, open) filter keys: bounded by the region vocabulary x 2
-    keys = F.broadcast(keys)
-    bdocs = corpus_notices.select(*CARRY).join(keys, filters_ok(F.col("q_region"), F.col("open_only"), as_of))
-    bw = Window.partitionBy("q_region", "open_only").orderBy(
-        F.col("is_open").desc(), F.col("period_end").asc_nulls_last(), F.col("name").asc(), F.col("program_id").asc())
-    btop = bdocs.withColumn("_r", F.row_number().over(bw)).where(F.col("_r") <= MAX_RANK).drop("_r")
-    btot = bdocs.groupBy("q_region", "open_only").agg(F.count(F.lit(1)).alias("total"))
-    browse_rows = btop.join(F.broadcast(bq), ["q_region", "open_only"]).select(
-        "query_id", *CARRY, F.lit(None).cast("decimal(20,6)").alias("score_dec"),
-        F.lit(0).alias("tier_num"), F.array().cast("array<int>").alias("matched_nos"),
-        F.lit(None).cast("string").alias("tier"))
-
-    results = ranked_rows.unionByName(exp_rows).unionByName(weak_rows)
-    page = _rank_and_page(results.unionByName(browse_rows), meta)
-
-    # ---- totals per search (kept right on out-of-range pages) ----
-    res_tot = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    browse_tot = bq.join(btot, ["q_region", "open_only"]).select("query_id", "total")
-    totals = res_tot.unionByName(browse_tot)
-    summary = meta.join(totals, "query_id", "left").fillna(0, ["total"]) \
-        .join(modes.select("query_id", "strict_count", "relaxed"), "query_id", "left") \
-        .join(use_exp.withColumn("expanded", F.lit(True)), "query_id", "left")
+    strict = (F.col("strict_count") >= MIN_STRICT_RESULTS) | (F.col("n_groups") <= 1)
+    bars = bars.withColumns({"threshold": F.when(strict, F.col("n_groups")).when(F.col("max_hit") >= half, half).otherwise(F.lit(1)), "strict": strict})
+    counts = bars.groupBy("query_id", "threshold", "strict", "strict_count").agg(
+        F.sum(F.when(F.col("n_hit") >= F.col("threshold"), F.col("main")).otherwise(F.lit(0))).alias("main_total"),
+        F.sum("weak").alias("weak_total"), F.sum("expanded").alias("exp_total"))
+    known = dfs.groupBy("query_id").agg(F.max("df").alias("max_df"))
+    need = meta.agg(F.max(F.col("page").cast("long") * F.col("page_size"))).first()[0] or 0
+    browse_rows, browse_totals = _browse(corpus_notices, meta.where(F.col("route") == "browse").select("query_id", F.col("region").alias("q_region"), "open_only"), need, as_of)
+    # Synonyms and document frequency of each concept
+    concepts = terms.where("kind = 'synonym'").groupBy("query_id", "group_no").agg(F.sort_array(F.collect_list(F.struct("alt_no", "term"))).alias("s"))
+    concepts = dfs.join(concepts, ["query_id", "group_no"], "left").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
+        "group_no", F.col("primary").alias("term"), F.coalesce(F.array_join(F.transform("s", lambda x: x["term"]), ","), F.lit("")).alias("synonyms"), "df"))).alias("concepts"))
+    summary = of.join(counts, "query_id").join(known, "query_id", "left").join(browse_totals.withColumnRenamed("total", "browse_total"), "query_id", "left") \
+        .join(exp.select("query_id", "domain_label").distinct(), "query_id", "left").join(concepts, "query_id", "left")
+    ranked = F.col("route") == "ranked"
+    expanded = (ranked & (F.col("main_total") == 0) & (F.col("n_phrases") == 0) & (F.col("n_groups") > 0)
+                & (F.coalesce("max_df", F.lit(0)) == 0) & (F.col("exp_total") > 0))
+    total = F.when(expanded, F.col("exp_total")).when(ranked, F.col("main_total")).when(F.col("route") == "weak", F.col("weak_total")).otherwise(F.coalesce("browse_total", F.lit(0)))
+    summary = summary.withColumns({"expanded": expanded, "total": total.cast("long")})
     summary = summary.select(
-        "query_id",
-        F.when(F.col("expanded"), F.lit("domain")).otherwise(F.col("route")).alias("route"),
-        F.col("total").cast("long").alias("total"),
+        "query_id", F.when(F.col("expanded"), F.lit("domain")).otherwise(F.col("route")).alias("route"), "total",
         F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("page_size"))).cast("long").alias("total_pages"),
-        F.when(F.col("expanded"), F.lit(True)).when(F.col("route") == "weak", F.lit(True))
-         .otherwise(F.coalesce("relaxed", F.lit(False))).alias("relaxed"),
-        F.coalesce("strict_count", F.lit(0)).cast("long").alias("strict_count"),
-        "page", "page_size", "n_groups", "n_phrases", "normalized", "primaries")
-
-    prim = plan.meta.select("query_id", "primaries")
-    exp_label = exp.select("query_id", "domain_label").distinct()
-    rows = page.join(summary.select("query_id", "route", "total", "total_pages", "relaxed"), "query_id") \
-        .join(prim, "query_id").join(exp_label, "query_id", "left")
-    matched = F.filter("primaries", lambda g: F.array_contains(F.col("matched_nos"), g["group_no"]))
-    missing = F.filter("primaries", lambda g: ~F.array_contains(F.col("matched_nos"), g["group_no"]))
-    is_dom = F.col("route") == "domain"
+        F.when(F.col("expanded") | (F.col("route") == "weak"), F.lit(True)).otherwise(ranked & ~F.col("strict")).alias("relaxed"),
+        F.when(ranked, F.col("strict_count")).otherwise(F.lit(0)).cast("long").alias("strict_count"),
+        "page", "page_size", "n_groups", "n_phrases", "normalized", "primaries", "threshold", "domain_label", "concepts",
+        F.transform("corrections", lambda c: F.concat(c["src"], F.lit(">"), c["dst"])).alias("corrections"),
+        F.concat("generic", "intent").alias("ignored"), "warning")
+    summary = scratch.write(summary, "summary")
+
+    # ---- R11, R23, R24: rank and page ----
+    s = scored.join(summary.select("query_id", F.col("route").alias("way"), "threshold", "page", "page_size"), "query_id")
+    taken = (((F.col("way") == "ranked") & F.col("main") & (F.col("n_hit") >= F.col("threshold")))
+             | ((F.col("way") == "weak") & F.col("weak")) | ((F.col("way") == "domain") & F.col("e_score").isNotNull()))
+    tier = (F.when((F.col("n_exact") == F.col("n_groups")) & (F.col("n_hit") == F.col("n_groups")), F.lit(4))
+             .when(F.col("n_hit") == F.col("n_groups"), F.lit(3)).when(F.col("n_hit") >= 1, F.lit(2)).otherwise(F.lit(1)))
+    s = s.where(taken).select(
+        "query_id", "program_id", "name", "is_open", "period_end",
+        F.when(F.col("way") == "domain", F.lit(3)).when(F.col("way") == "weak", F.lit(1)).otherwise(tier).alias("tier_num"),
+        F.when(F.col("way") == "domain", F.col("e_score")).when(F.col("way") == "ranked", F.col("score_dec")).alias("score_dec"), "matched_nos")
+    best = _best(s, ["query_id"], need).select("query_id", "program_id", "rank", "tier_num", "score_dec", "matched_nos")
+    rows = best.unionByName(browse_rows.select("query_id", "program_id", "rank", F.lit(0).alias("tier_num"), F.lit(None).cast("decimal(20,6)").alias("score_dec"),
+                                               F.array().cast("array<int>").alias("matched_nos")))
+    rows = rows.join(summary.select("query_id", "route", "total", "total_pages", "relaxed", "page", "page_size", "primaries", "domain_label"), "query_id") \
+        .where((F.col("rank") > (F.col("page") - 1) * F.col("page_size")) & (F.col("rank") <= F.col("page") * F.col("page_size")))
+    named = lambda keep: F.array_join(F.transform(F.filter("primaries", keep), lambda g: g["primary"]), "|")
+    domain = F.col("route") == "domain"
     rows = rows.select(
-        "query_id", F.col("rank").cast("long").alias("rank"), "program_id", "tier",
-        F.when(F.col("tier_num") == 0, F.lit(None).cast("double"))
-         .otherwise(F.round(F.coalesce("score_dec", F.lit(0).cast("decimal(20,6)"))
-                            * F.lit(0.1).cast("decimal(2,1)"), 2).cast("double")).alias("score"),
-        F.when(is_dom, F.when(F.size("matched_nos") > 0, F.col("domain_label")).otherwise(F.lit("")))
-         .otherwise(F.array_join(F.transform(matched, lambda g: g["primary"]), "|")).alias("matched"),
-        F.when(is_dom, F.when(F.size("matched_nos") > 0, F.lit("")).otherwise(F.col("domain_label")))
-         .otherwise(F.array_join(F.transform(missing, lambda g: g["primary"]), "|")).alias("missing"),
+        "query_id", F.col("rank").cast("long").alias("rank"), "program_id",
+        F.when(domain, F.lit("domain")).otherwise(F.get(F.array(*[F.lit(t) for t in TIERS]), F.when(F.col("tier_num") > 0, F.col("tier_num") - 1))).alias("tier"),
+        F.when(F.col("tier_num") > 0, F.round(F.coalesce("score_dec", zero) * F.lit(0.1).cast("decimal(2,1)"), 2).cast("double")).alias("score"),
+        F.when(domain, F.col("domain_label")).otherwise(named(lambda g: F.array_contains(F.col("matched_nos"), g["group_no"]))).alias("matched"),
+        F.when(domain, F.lit("")).otherwise(named(lambda g: ~F.array_contains(F.col("matched_nos"), g["group_no"]))).alias("missing"),
         "total", "total_pages", "relaxed", "route")
-    return SearchResult(rows=rows, summary=summary)
+    return SearchResult(rows=rows, summary=summary, scratch=scratch)
 
 
 def group_frequencies(corpus_notices: DataFrame, plan: Plan) -> DataFrame:
     """R8 + R9 as their own report: df, corpus size and idf per (search, concept)."""
-    corpus = prepare_corpus(corpus_notices)
-    terms = plan.terms.select(F.lower("term").alias("lterm")).distinct()
-    hits = term_hits(corpus, terms)
-    alt = _alt_level(hits, plan.terms)
-    dfs = group_df(alt)
-    groups = plan.terms.select("query_id", "group_no", "primary").distinct()
-    n_docs = corpus_notices.agg(F.count(F.lit(1)).alias("corpus_size"))
-    out = groups.join(dfs, ["query_id", "group_no"], "left").fillna(0, ["df"])
-    out = out.withColumn("_one", F.lit(0)).join(F.broadcast(n_docs.withColumn("_one", F.lit(0))), "_one").drop("_one")
-    return out.withColumn("idf", idf(F.col("df"), F.col("corpus_size")).cast("double"))
+    roles = plan_roles(plan.terms, "t")
+    out = frequencies(group_hits(term_hits(corpus_notices, roles), roles), plan.terms, corpus_notices)
+    return out.withColumn("idf", F.col("idf").cast("double"))
 
 
 def prefilter(corpus_notices: DataFrame, plan: Plan) -> DataFrame:
-    """Candidate documents per search: any term or phrase blob hit (semi join on hits)."""
-    corpus = prepare_corpus(corpus_notices)
-    t = plan.terms.select("query_id", F.lower("term").alias("lterm")) \
-        .unionByName(plan.phrases.select("query_id", F.lower("phrase").alias("lterm"))).distinct()
-    hits = term_hits(corpus, t.select("lterm"))
-    return hits.join(F.broadcast(t), "lterm").select("query_id", "program_id").distinct()
+    """Candidate documents per search: any term in the blob, or any phrase in name, summary or field."""
+    asked = plan.terms.select("query_id", F.lower("term").alias("lterm"), F.lit(False).alias("phrase")) \
+        .unionByName(plan.phrases.select("query_id", F.lower("phrase").alias("lterm"), F.lit(True).alias("phrase"))).distinct()
+    c = candidates(corpus_notices, keyed_terms(asked)).where(F.col("search_blob").contains(F.col("lterm")))
+    term, phrase = F.lit(False), F.lit(False)
+    for f in FIELDS:
+        term = term | _pad(F.col(f"l_{f}")).contains(F.col("pterm"))
+    for f in PHRASE_FIELDS:
+        phrase = phrase | F.col(f"l_{f}").contains(F.col("lterm"))
+    c = c.select("program_id", "lterm", (~F.col("acro") | term).alias("as_term"), phrase.alias("as_phrase"))
+    return c.join(asked, "lterm").where(F.when(F.col("phrase"), F.col("as_phrase")).otherwise(F.col("as_term"))).select("query_id", "program_id").distinct()
 
 
 def audit_vocabulary(corpus_notices: DataFrame, vocab: DataFrame, too_common: int = 400) -> DataFrame:
     """Df per lexicon word; dead (0) and too common; substring vs boundary counts for acronyms."""
-    corpus = prepare_corpus(corpus_notices)
     v = vocab.select(F.col("term"), F.lower("term").alias("lterm")).distinct()
-    hits = term_hits(corpus, v.select("lterm"))
-    bdf = hits.groupBy("lterm").agg(F.countDistinct("program_id").alias("df"))
-    # plain substring count for acronym words (the false-positive baseline)
-    acro = v.where(F.col("lterm").rlike(ACRONYM_RE)).select("lterm")
-    sub = corpus.join(F.broadcast(acro), F.col("search_blob").contains(F.col("lterm"))) \
-        .groupBy("lterm").agg(F.countDistinct("program_id").alias("substring_df"))
-    out = v.join(bdf, "lterm", "left").join(sub, "lterm", "left").fillna(0, ["df"])
+    c = candidates(corpus_notices, keyed_terms(v)).where(F.col("search_blob").contains(F.col("lterm")))
+    bounded = F.lit(False)
+    for f in FIELDS:
+        bounded = bounded | _pad(F.col(f"l_{f}")).contains(F.col("pterm"))
+    counts = c.select("lterm", (~F.col("acro") | bounded).alias("hit")).groupBy("lterm").agg(F.count_if("hit").alias("df"), F.count(F.lit(1)).alias("sub"))
+    acronym = F.col("lterm").rlike(ACRONYM_RE)
+    out = v.join(counts, "lterm", "left").fillna(0, ["df", "sub"])
     return out.select(
-        "term", F.col("df").cast("long").alias("df"),
-        (F.col("df") == 0).alias("dead"), (F.col("df") > too_common).alias("too_common"),
-        F.col("lterm").rlike(ACRONYM_RE).alias("acronym"),
-        F.when(F.col("lterm").rlike(ACRONYM_RE), F.coalesce("substring_df", F.lit(0)))
-         .otherwise(F.lit(0)).cast("long").alias("substring_df"))
+        "term", F.col("df").cast("long").alias("df"), (F.col("df") == 0).alias("dead"), (F.col("df") > too_common).alias("too_common"),
+        acronym.alias("acronym"), F.when(acronym, F.col("sub")).otherwise(F.lit(0)).cast("long").alias("substring_df"))

@@ -8,8 +8,8 @@ small DataFrames:
 * ``meta``    one row per search: bounds, normalized text, corrections, generic /
   intent words, route (browse / weak / ranked), group count, phrase count.
 
-All steps are column expressions, explode/posexplode and joins against the
-broadcast lexicon frames; the search table is the small side of every later join.
+All steps are column expressions, explode/posexplode and equi-joins against the
+lexicon frames; whether a side is broadcast is left to the optimizer.
 """
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.functions.constants import (MAX_TOKENS, WEIGHT_COMPOUND, WEIGHT_EXACT,
-                                           WEIGHT_PHRASE, WEIGHT_SYNONYM)
+from tidewater.functions.constants import WEIGHT_COMPOUND, WEIGHT_EXACT, WEIGHT_PHRASE, WEIGHT_SYNONYM
 from tidewater.functions.text import normalize_query
 from tidewater.plans.lexicon import Lexicon, LexiconFrames
-from tidewater.session import checkpoint_dir
+from tidewater.plans.limits import SearchLimits
+from tidewater.scratch import Scratch
 
 CORR_TYPE = "array<struct<src:string,dst:string>>"
 
@@ -33,21 +33,28 @@ class Plan:
     terms: DataFrame
     phrases: DataFrame
     meta: DataFrame
+    limits: SearchLimits
 
 
-def bound_searches(searches: DataFrame) -> DataFrame:
-    """Q1: trim + 120 chars; region 50; page 1..500; size 1..50 (0 / missing -> 20)."""
-    def int_or(c: str, dflt: int) -> Column:
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def bound_searches(searches: DataFrame, limits: SearchLimits = SearchLimits()) -> DataFrame:
+    """Q1: trimmed text and region, page and size of at least 1 (0 / missing -> 1 and the default
+    size), within ``limits``."""
+    def int_or(c: str, dflt: int, most: int | None) -> Column:
         v = F.col(c).cast("int")
-        return F.when(v.isNull() | (v == 0), F.lit(dflt)).otherwise(v)
+        v = F.greatest(F.when(v.isNull() | (v == 0), F.lit(dflt)).otherwise(v), F.lit(1))
+        return v if most is None else F.least(v, F.lit(most))
 
     return searches.select(
         "query_id",
-        F.substring(F.trim(F.coalesce(F.col("q"), F.lit(""))), 1, 120).alias("q"),
-        F.substring(F.trim(F.coalesce(F.col("region"), F.lit(""))), 1, 50).alias("region"),
+        _cut(F.trim(F.coalesce(F.col("q"), F.lit(""))), limits.query_chars).alias("q"),
+        _cut(F.trim(F.coalesce(F.col("region"), F.lit(""))), limits.region_chars).alias("region"),
         F.coalesce(F.col("open_only").cast("boolean"), F.lit(False)).alias("open_only"),
-        F.least(F.greatest(int_or("page", 1), F.lit(1)), F.lit(500)).alias("page"),
-        F.least(F.greatest(int_or("page_size", 20), F.lit(1)), F.lit(50)).alias("page_size"),
+        int_or("page", 1, limits.max_page).alias("page"),
+        int_or("page_size", limits.default_page_size, limits.max_page_size).alias("page_size"),
     )
 
 
@@ -70,7 +77,8 @@ def fix_spelling(text: Column, fixes: list[tuple[str, str]]) -> Column:
     return F.aggregate(arr, init, step)
 
 
-PHRASE_RE = r'"([^"]{2,60})"'
+def phrase_re(limits: SearchLimits) -> str:
+    return '"([^"]{2,' + str(limits.phrase_chars or "") + '})"'
 
 
 def strip_suffix(tok: Column, suffixes: list[str]) -> Column:
@@ -84,23 +92,22 @@ def strip_suffix(tok: Column, suffixes: list[str]) -> Column:
                   tok.substr(F.lit(1), F.length(tok) - F.length(first))).otherwise(tok)
 
 
-def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames) -> Plan:
-    # Every later step is keyed by query_id (+ something): hash-partition the
-    # search table once so those groupBys, windows and joins reuse it.
-    b = bound_searches(searches.repartition("query_id"))
+def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames,
+                  limits: SearchLimits = SearchLimits()) -> Plan:
+    scratch = Scratch(searches.sparkSession, "plan")
+    quoted = phrase_re(limits)
+    b = bound_searches(searches, limits)
     spelled = fix_spelling(normalize_query(F.col("q")), lex.spelling)
     s = b.withColumn("_sp", spelled).select(
         "*", F.col("_sp.text").alias("normalized"), F.col("_sp.corr").alias("corrections")).drop("_sp")
     # Q4: quoted phrases out, rest kept
-    s = s.withColumn("phrases", F.filter(F.transform(F.regexp_extract_all("normalized", F.lit(PHRASE_RE), 1),
+    s = s.withColumn("phrases", F.filter(F.transform(F.regexp_extract_all("normalized", F.lit(quoted), 1),
                                                      lambda p: F.trim(p)), lambda p: p != ""))
-    s = s.withColumn("rest", F.regexp_replace("normalized", PHRASE_RE, " "))
-    s = s.withColumn("raw_tokens", F.slice(F.filter(F.split("rest", r"(?U)\s+"), lambda t: t != ""),
-                                           1, MAX_TOKENS))
-    # normalized searches feed every branch below: cut the lineage once (reliable
-    # checkpoint in spark.checkpoint.dir) so the Arrow NFKC step runs exactly once
-    checkpoint_dir(s.sparkSession)
-    s = s.checkpoint(eager=True)
+    s = s.withColumn("rest", F.regexp_replace("normalized", quoted, " "))
+    tokens = F.filter(F.split("rest", r"(?U)\s+"), lambda t: t != "")
+    s = s.withColumn("raw_tokens", tokens if limits.max_tokens is None else F.slice(tokens, 1, limits.max_tokens))
+    # normalized searches feed every branch below: written once, so the Arrow NFKC step runs once
+    s = scratch.write(s, "searches")
 
     # Q5: tokens with position, stem, original; first occurrence of a stem wins
     tok = s.select("query_id", F.posexplode("raw_tokens").alias("pos", "raw"))
@@ -121,7 +128,7 @@ def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames) -> P
     core = tok.where(F.col("cls") == "core").select("query_id", "pos", "stem", "original")
 
     # Q7: synonym group of the stem (case-insensitive)
-    syn = F.broadcast(frames.synonyms)
+    syn = frames.synonyms
     core = core.join(syn.select("syn_lower", "syn_group").withColumnRenamed("syn_lower", "_l"),
                      F.lower(core.stem) == F.col("_l"), "left").drop("_l")
 
@@ -161,9 +168,9 @@ def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames) -> P
     nxt = kept.withColumn("next_stem", F.lead("stem").over(Window.partitionBy("query_id").orderBy("group_no")))
     nxt = nxt.where(F.col("next_stem").isNotNull()) \
         .withColumn("joined", F.concat("stem", "next_stem"))
-    known_compounds = F.broadcast(frames.compounds.select("compound").distinct())
-    multi_syn = F.broadcast(frames.synonyms.groupBy("syn_group").agg(F.count("*").alias("n"))
-                            .where("n > 1").join(frames.synonyms, "syn_group").select("syn_lower").distinct())
+    known_compounds = frames.compounds.select("compound").distinct()
+    multi_syn = (frames.synonyms.groupBy("syn_group").agg(F.count("*").alias("n"))
+                 .where("n > 1").join(frames.synonyms, "syn_group").select("syn_lower").distinct())
     j1 = nxt.join(known_compounds, nxt.joined == F.col("compound"), "left_semi")
     j2 = nxt.join(multi_syn, F.lower(nxt.joined) == F.col("syn_lower"), "left_semi")
     joined = j1.unionByName(j2).dropDuplicates(["query_id", "group_no"]).select(
@@ -209,24 +216,23 @@ def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames) -> P
         "warning",
         F.when((F.col("n_groups") == 0) & (F.col("n_phrases") == 0)
                & ((F.size("generic") + F.size("intent")) > 0), F.lit("generic-only")))
-    # The plan is small (bounded by the search table) and read by every later
-    # branch: materialize it once instead of re-deriving it per branch.
-    return Plan(terms=terms.checkpoint(eager=True), phrases=phrases.checkpoint(eager=True),
-                meta=meta.checkpoint(eager=True))
+    # read by every later branch: written once instead of derived anew per branch
+    return Plan(terms=scratch.write(terms, "terms"), phrases=scratch.write(phrases, "phrases"),
+                meta=scratch.write(meta, "meta"), limits=limits)
 
 
 def _decompose(core: DataFrame, lex: Lexicon, frames: LexiconFrames) -> DataFrame:
     """Q9: dictionary compound parts, else the first split into two known words (length >= 4)."""
     cols = ["query_id", "pos", "alt_no", "part_no", "term", "kind", "weight", "alt_size"]
-    dict_parts = core.join(F.broadcast(frames.compounds), core.stem == F.col("compound")).select(
+    dict_parts = core.join(frames.compounds, core.stem == F.col("compound")).select(
         "query_id", "pos", F.lit(100).alias("alt_no"), "part_no", F.col("part").alias("term"),
         F.lit("compound").alias("kind"), F.lit(WEIGHT_COMPOUND).alias("weight"),
         F.col("n_parts").alias("alt_size"))
-    in_dict = core.join(F.broadcast(frames.compounds.select("compound").distinct()),
+    in_dict = core.join(frames.compounds.select("compound").distinct(),
                         core.stem == F.col("compound"), "left_semi")
     rest = core.join(in_dict.select("query_id", "pos"), ["query_id", "pos"], "left_anti") \
         .where(F.length("stem") >= 4)
-    known = F.broadcast(frames.synonyms.select(F.col("syn_lower").alias("k")).distinct())
+    known = frames.synonyms.select(F.col("syn_lower").alias("k")).distinct()
     splits = rest.select("query_id", "pos", "stem",
                          F.explode(F.sequence(F.lit(2), F.length("stem") - 2)).alias("cut"))
     splits = splits.withColumn("a", F.col("stem").substr(F.lit(1), F.col("cut"))) \

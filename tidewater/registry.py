@@ -37,8 +37,8 @@ def job(name: str, sql: str | None = None):
 def _load_all() -> None:
     # import for the registration side effect
     from tidewater.jobs import (  # noqa: F401
-        ingest_jobs, matching_jobs, normalize_jobs, planner_jobs, report_jobs,
-        search_jobs, stream_jobs, workflow_jobs,
+        ingest_jobs, matching_jobs, normalize_jobs, report_jobs, search_jobs,
+        stream_jobs, workflow_jobs,
     )
 
 

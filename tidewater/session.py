@@ -3,15 +3,16 @@
 Operators never create sessions; they take DataFrames.  These helpers only
 (a) build a local session for tests/bench and (b) make sure the runtime SQL
 settings every operator relies on are present on whatever session the caller
-hands us (the cluster's own settings always win).
+hands us (the cluster's own settings win, but for the time zone: dates are defined in UTC).
 """
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+from tidewater.scratch import shared_dir
+
 # Runtime SQL settings the operators rely on.  Only applied when the session
 # does not already carry a value, so a cluster configuration is never overridden.
 RUNTIME_DEFAULTS = {
@@ -20,15 +21,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Paging ranks at most 500 pages x 50 rows per search; let Catalyst insert
-    # the partial (pre-shuffle) WindowGroupLimit for that bound.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "25000",
 }
 
-# Paging upper bound (page <= 500, size <= 50): the deepest row any page can show.
-MAX_RANK = 500 * 50
-
-
 def ensure_runtime_conf(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_DEFAULTS.items():
         if key == "spark.sql.session.timeZone":
@@ -44,24 +38,6 @@ def ensure_runtime_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts, read from ``spark.checkpoint.dir``.
-
-    Only when the session has none (tests, local runs) a private scratch
-    folder is created and registered.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        return current
-    path = spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    path = tempfile.mkdtemp(prefix="tidewater-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def local_session(cpus: int | None = None, app: str = "tidewater") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     builder = (
@@ -78,5 +54,5 @@ def local_session(cpus: int | None = None, app: str = "tidewater") -> SparkSessi
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_runtime_conf(spark)
-    checkpoint_dir(spark)
+    shared_dir(spark)
     return spark

@@ -1,19 +1,19 @@
-"""Structured Streaming re-aims of the polled ingestion.
+"""Structured Streaming re-aims of the polled ingestion.
 
 * T1 ``continuous_upsert``: file-source stream of raw rows -> ``foreachBatch``
   merge (I2 semantics) into a versioned state snapshot, idempotent per batch id.
 * T2 ``dedup_raw``: duplicate raw documents dropped within a 7-day watermark.
 * T3 ``burst_windows``: requests per client per 10-minute tumbling window above
   a limit, the same function for batch and stream input.
+* T4 ``match_on_arrival``: new notices scored against the profiles as they arrive.
 """
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import ingest as I
+from tidewater.operators import matching as M
 
 
 def burst_windows(events: DataFrame, client="user_id", ts="ts", limit: int = 20,
@@ -37,39 +37,68 @@ def dedup_raw(raw_stream: DataFrame, keys=("source_id", "source_doc_id", "conten
     return raw_stream.withWatermark(ts, bound).dropDuplicatesWithinWatermark(list(keys))
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> str | None:
+    """Path of the newest committed snapshot (of a batch id under ``before``) in any Hadoop file system."""
+    fs, p = _folder(spark, root)
+    if not fs.exists(p):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    done = sorted(n for n in names if n.startswith("v=") and (before is None or int(n[2:]) < before) and _exists(spark, f"{root}/{n}/_SUCCESS"))
+    return f"{root}/{done[-1]}" if done else None
+
+
 def continuous_upsert(raw_stream: DataFrame, state_root: str, keys: list[str], fields: list[str],
-                      order: list[str], as_of, checkpoint: str):
+                      order: list[str], run_ts, as_of, checkpoint: str):
     """Merge each micro-batch into the latest state snapshot.
 
-    Each batch writes ``state_root/v=<batch_id>``; a batch id that already has a
-    committed snapshot is skipped, so a replayed batch is idempotent.  The
-    snapshot being read is never overwritten.
+    Each batch writes ``state_root/v=<batch_id>``; a batch id that already has a committed
+    snapshot is skipped, so a replayed batch is idempotent, and the run's time is a parameter, so a
+    replay gives the same rows.  The snapshot being read is never overwritten.
     """
     def merge(batch_df: DataFrame, batch_id: int):
         spark = batch_df.sparkSession
-        out_path = os.path.join(state_root, f"v={batch_id:012d}")
-        if os.path.exists(os.path.join(out_path, "_SUCCESS")):
+        out_path = f"{state_root}/v={batch_id:012d}"
+        if _exists(spark, f"{out_path}/_SUCCESS"):
             return
-        prev = _latest_snapshot(state_root, batch_id)
-        if prev is None:
-            state = I.upsert(_empty_state(batch_df, keys, fields), batch_df, keys, fields,
-                             F.current_timestamp(), as_of, order)
-        else:
-            state = I.upsert(spark.read.parquet(prev).drop("outcome"), batch_df, keys, fields,
-                             F.current_timestamp(), as_of, order)
-        state.write.mode("overwrite").parquet(out_path)
+        prev = latest_snapshot(spark, state_root, batch_id)
+        state = _empty_state(batch_df, keys, fields) if prev is None else spark.read.parquet(prev).drop("outcome")
+        I.upsert(state, batch_df, keys, fields, run_ts, as_of, order).write.mode("overwrite").parquet(out_path)
 
     return (raw_stream.writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def _latest_snapshot(root: str, before: int):
-    if not os.path.isdir(root):
-        return None
-    done = sorted(d for d in os.listdir(root)
-                  if d.startswith("v=") and int(d[2:]) < before
-                  and os.path.exists(os.path.join(root, d, "_SUCCESS")))
-    return os.path.join(root, done[-1]) if done else None
+def match_on_arrival(notices_stream: DataFrame, profiles: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    """T4: (profile class, program_id, score, evidence) of each arriving notice.
+
+    Stream-static equi-join on segment and stage tokens.  The static side holds distinct profile signatures
+    (``classes``), not profiles, so a notice meets each signature once whatever the number of profiles
+    behind it; ``profile_members`` leads from a signature to its profiles.
+    """
+    pc = profile_members(profiles, as_of_year).groupBy("pkey").agg(
+        F.first("p_segs").alias("p_segs"), F.first("p_stages").alias("p_stages"), F.first("p_ind").alias("p_ind"), F.count(F.lit(1)).alias("profiles"))
+    tokens = lambda segs, stages: F.concat(F.transform(segs, lambda s: F.concat(F.lit("seg:"), s)), F.transform(stages, lambda s: F.concat(F.lit("stage:"), s)))
+    p = pc.select("*", tokens("p_segs", "p_stages").alias("p_tok")).withColumn("tok", F.explode("p_tok"))
+    n = M.notice_classes(notices_stream).select("*", tokens("t_segs", "t_stages").alias("t_tok")).withColumn("tok", F.explode("t_tok"))
+    j = n.join(p, "tok")
+    # a pair that shares several tokens is kept at the first of them: no state, no distinct over the stream
+    j = j.where(F.col("tok") == F.element_at(F.array_intersect("t_tok", "p_tok"), 1))
+    return M.score_pairs(j).select("pkey", "program_id", "profiles", "match_score", "evidence")
+
+
+def profile_members(profiles: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    p = M.profile_classes(profiles, as_of_year)
+    return p.withColumn("pkey", F.sha2(F.to_json(F.struct("p_segs", "p_stages", "p_ind")), 256))
 
 
 def _empty_state(batch_df: DataFrame, keys, fields) -> DataFrame:

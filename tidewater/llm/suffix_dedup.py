@@ -121,9 +121,12 @@ def repeated_windows(rows: DataFrame, scratch: Scratch, length: int) -> DataFram
     """(k, z, th, first, last): runs of window starts whose ``length`` bytes occur elsewhere; ``rows`` has (k, z, th, text)."""
     here = [*DOC, "anchor"]
     every = scratch.write(positions(rows, length), "anchors")
+    # the repeated ranks are written first: a join of two plain exchanges is one whose large partitions Spark splits
     ranks = every.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
-    live = scratch.write(every.join(ranks.select("rank", (F.col("lo") == F.col("hi")).alias("one")), "rank"), "live")
-    scratch.drop(every)
+    ranks = scratch.write(ranks.select("rank", (F.col("lo") == F.col("hi")).alias("one")), "ranks")
+    scratch.release_shuffles()
+    live = scratch.write(every.join(ranks, "rank"), "live")
+    scratch.drop(every, ranks)
     scratch.release_shuffles()
     found = [live.where("one").select(*DOC, "first", "last")]
     many = live.where("not one")
@@ -163,7 +166,8 @@ def repeated_windows(rows: DataFrame, scratch: Scratch, length: int) -> DataFram
             break
         # go on where a rank has several spans, one of them met once only
         go = spans.groupBy(*key).agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least")).where("spans > 1 and least = 1").select(*key)
-        alive = parts.join(spans.select(*key, "near", "far", "span", "n").join(go, key), [*key, "near", "far", "span"])
+        go = scratch.write(spans.select(*key, "near", "far", "span", "n").join(scratch.write(go, f"go-{width}"), key), f"on-{width}")
+        alive = parts.join(go, [*key, "near", "far", "span"])
         fresh = alive.where("n = 1").select(*here, "rank", "weight", "open", "near", "far")
         seen = (alive.where("n > 1").groupBy(*key, "near", "far", "span")
                      .agg(F.min(F.struct(*here)).alias("w"), F.max("n").alias("weight"))

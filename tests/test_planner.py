@@ -1,10 +1,20 @@
-"""Planner output against the hand-checked plan of the search table."""
+"""Planner output against the hand-checked plan of the search table, and Korean cases of their own."""
 from decimal import Decimal
 
-from tidewater.jobs.search_fixture import searches
+from tidewater.jobs.search_fixture import FIELDS, searches
 from tidewater.jobs.search_jobs import EXPECTED_PHRASES, EXPECTED_PLAN
-from tidewater.plans.lexicon import DOCS_LEXICON
-from tidewater.plans.query_plan import plan_searches
+from tidewater.plans.lexicon import DOCS_LEXICON, Lexicon
+from tidewater.plans.limits import CATALOGUE_LIMITS, SearchLimits
+from tidewater.plans.query_plan import bound_searches, plan_searches
+from tidewater.sources.local import literal_frame
+
+KOREAN = Lexicon(generic=["지원", "사업"], intent=["찾기"], synonym_groups=[["가게", "점포"], ["꽃집"]],
+                 spelling=[("가개", "가게")], compounds=[("꽃가게", ["꽃집", "가게"])])
+
+
+def plan_of(spark, texts, lex, limits=SearchLimits()):
+    rows = [(i, t, "", False, 1, 20) for i, t in enumerate(texts)]
+    return plan_searches(literal_frame(spark, rows, FIELDS), lex, lex.frames(spark), limits)
 
 
 def test_plan_terms(spark):
@@ -21,3 +31,33 @@ def test_routes(spark):
     assert routes[8] == "browse" and routes[21] == "browse"
     assert routes[9] == "weak" and routes[22] == "weak"
     assert routes[1] == "ranked"
+
+
+def test_particles_and_endings_are_stripped(spark):
+    plan = plan_of(spark, ["가게에서 수리하는 꽃집을", "가개를 찾기", "수리된 수리", "나를"], KOREAN)
+    terms = {}
+    for r in plan.terms.collect():
+        terms.setdefault((r.query_id, r.group_no), set()).add((r.term, r.kind))
+    assert terms[(0, 0)] == {("가게", "exact"), ("가게에서", "exact"), ("점포", "synonym")}
+    assert terms[(0, 1)] == {("수리", "exact"), ("수리하는", "exact")}
+    assert terms[(0, 2)] == {("꽃집", "exact"), ("꽃집을", "exact")}
+    assert ("가게", "exact") in terms[(1, 0)]
+    assert (2, 1) not in terms                       # one stem, once
+    assert terms[(3, 0)] == {("나를", "exact")}       # two characters must remain
+
+
+def test_plan_metadata(spark):
+    meta = {r.query_id: r for r in plan_of(spark, ["가개 지원 사업 찾기", "지원 사업", "꽃가게"], KOREAN).meta.collect()}
+    assert [(c.src, c.dst) for c in meta[0].corrections] == [("가개", "가게")]
+    assert meta[0].generic == ["지원", "사업"] and meta[0].intent == ["찾기"] and meta[0].warning is None
+    assert meta[1].route == "weak" and meta[1].warning == "generic-only"
+    assert meta[2].n_groups == 1
+
+
+def test_bounds_are_open_unless_asked_for(spark):
+    rows = literal_frame(spark, [(1, "x" * 300, "r" * 80, False, 9999, 500), (2, None, None, None, 0, None)], FIELDS)
+    free = {r.query_id: r for r in bound_searches(rows).collect()}
+    assert (len(free[1].q), len(free[1].region), free[1].page, free[1].page_size) == (300, 80, 9999, 500)
+    assert (free[2].q, free[2].page, free[2].page_size) == ("", 1, 20)
+    cut = bound_searches(rows, CATALOGUE_LIMITS).where("query_id = 1").first()
+    assert (len(cut.q), len(cut.region), cut.page, cut.page_size) == (120, 50, 500, 50)

@@ -1,5 +1,14 @@
-"""Plan-shape checks: no Cartesian product, no Python on corpus paths."""
+"""Plan-shape checks: no Cartesian product, no nested loop, no Python on corpus paths, few exchanges."""
+import re
+
+from pyspark.sql import functions as F
+
+from tidewater.jobs.search_fixture import searches
+from tidewater.operators import search as S
+from tidewater.plans.lexicon import DOCS_LEXICON
+from tidewater.plans.query_plan import plan_searches
 from tidewater.registry import queries
+from tidewater.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -9,8 +18,7 @@ def plan_text(df):
 
 
 def test_matching_has_no_cartesian(spark):
-    txt = plan_text(queries()["m6_top_matches"](spark, SF))
-    assert "CartesianProduct" not in txt
+    assert "CartesianProduct" not in plan_text(queries()["m6_top_matches"](spark, SF))
 
 
 def test_normalization_stays_in_jvm(spark):
@@ -21,3 +29,27 @@ def test_normalization_stays_in_jvm(spark):
 def test_scan_is_pruned(spark):
     txt = plan_text(queries()["a2_portal_breakdown"](spark, SF))
     assert "html" not in txt.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_search_meets_terms_by_equi_join(spark):
+    terms = spark.createDataFrame([("license",), ("ai",)], "lterm string")
+    txt = plan_text(S.term_hits(T.notices(spark, SF), terms))
+    assert "NestedLoop" not in txt and "CartesianProduct" not in txt and "Python" not in txt.replace("PythonRDD", "")
+
+
+def test_search_result_plan_is_small(spark):
+    frames = DOCS_LEXICON.frames(spark)
+    res = S.search(T.notices(spark, SF), plan_searches(searches(spark), DOCS_LEXICON, frames), frames, T.AS_OF)
+    txt = plan_text(res.rows)
+    assert len(re.findall(r"\bExchange\b", txt)) < 20
+    assert "NestedLoop" not in txt and "CartesianProduct" not in txt
+    res.scratch.close()
+
+
+def test_short_terms_and_text_ends_are_found(spark):
+    n = spark.createDataFrame([(1, "ab"), (2, "xyab"), (3, "a b"), (4, ""), (5, "서울")], "program_id long, name string")
+    n = n.select("*", *[F.lit("").alias(c) for c in ("field", "tags_text", "summary", "agency", "body_text")]).withColumn("search_blob", F.lower("name"))
+    terms = spark.createDataFrame([("b",), ("ab",), ("xyab",), ("울",), ("a b",)], "lterm string")
+    got = {(r.program_id, r.lterm) for r in S.term_hits(n, terms).collect()}
+    # b and ab are acronyms: no letter or digit beside them
+    assert got == {(3, "b"), (1, "ab"), (2, "xyab"), (5, "울"), (3, "a b")}

@@ -64,7 +64,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY match_score
 WHERE rank <= {TOP_K}""")
 def m6_top_matches(spark, sf):
     """Top-10 notices per profile with score breakdown and evidence."""
-    ranked, _ = M.match(*_inputs(spark, sf), k=TOP_K, as_of_year=AS_OF_YEAR)
+    ranked, _ = M.match(*_inputs(spark, sf), page_size=TOP_K, as_of_year=AS_OF_YEAR)
     return ranked.select(
         "profile_id", F.col("rank").cast("int").alias("rank"), "program_id", "match_score",
         F.col("breakdown.segment").alias("bd_segment"), F.col("breakdown.stage").alias("bd_stage"),
@@ -77,7 +77,7 @@ SELECT p.profile_id, CAST(coalesce(c.total, 0) AS BIGINT) AS total
 FROM profiles p LEFT JOIN (SELECT profile_id, count(*) AS total FROM scored GROUP BY 1) c USING (profile_id)""")
 def m6_match_totals(spark, sf):
     """Number of notices passing the hard filter, per profile (every profile listed)."""
-    _, totals = M.match(*_inputs(spark, sf), k=TOP_K, as_of_year=AS_OF_YEAR)
+    _, totals = M.match(*_inputs(spark, sf), page_size=TOP_K, as_of_year=AS_OF_YEAR)
     return totals
 
 

@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.functions.constants import SEGMENTS
 from tidewater.operators import reports as R
 from tidewater.operators.common import attach_scalar
 from tidewater.registry import job
 from tidewater.sources import tables as T
+from tidewater.sources.feeds import enrich, filter_hosts
+from tidewater.sources.local import literal_frame
 from tidewater.sources.oracle_bindings import NOTICES_CTE, sql_case, with_ctes
 
 # portal rules of the pages binding: URL substring rules, then source-code rules
@@ -99,18 +102,18 @@ def a4_submission_stats(spark, sf):
 
 
 # A5: type + status + text filter, page 2 of 20 newest first
-A5_ARGS = dict(type_="소상공인", status="pending", q="#00001", page=2)
+A5_ARGS = dict(type_="소상공인", status="pending", q="mer#0000_01", page=2)
 
 
 @job("a5_search_submissions", sql=with_ctes(SUBMISSIONS_CTE) + """,
 hits AS (
   SELECT * FROM submissions
   WHERE type = '소상공인' AND status = 'pending'
-    AND (name ILIKE '%#00001%' OR phone ILIKE '%#00001%'
-         OR business_name ILIKE '%#00001%' OR company_name ILIKE '%#00001%')
+    AND (name ILIKE '%mer#0000_01%' OR phone ILIKE '%mer#0000_01%'
+         OR business_name ILIKE '%mer#0000_01%' OR company_name ILIKE '%mer#0000_01%')
 ),
 ranked AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rn FROM hits)
-SELECT r.id, r.name, r.status, r.created_at, r.rn, t.total
+SELECT r.id, r.name, r.status, r.created_at, CAST(r.rn AS INTEGER) AS rn, t.total
 FROM ranked r CROSS JOIN (SELECT count(*) AS total FROM hits) t
 WHERE r.rn > 20 AND r.rn <= 40""")
 def a5_search_submissions(spark, sf):
@@ -127,6 +130,8 @@ def consulting(spark, sf):
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderkey").alias("application_id"),
         F.col("o_orderpriority").alias("area"),
+        F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("message"),
+        F.to_json(F.struct(F.col("o_custkey").alias("user"))).alias("context"),
         T._map_expr(T.ORDER_STATUS, F.col("o_orderstatus")).alias("status"),
         F.col("o_orderdate").alias("created_at"),
     )
@@ -134,6 +139,7 @@ def consulting(spark, sf):
 
 @job("a6_consulting_report", sql=with_ctes(USERS_CTE) + f"""
 SELECT o_orderkey AS id, o_custkey AS user_id, o_orderkey AS application_id, o_orderpriority AS area,
+       o_orderpriority || ' ' || o_orderstatus AS message, '{{"user":' || CAST(o_custkey AS VARCHAR) || '}}' AS context,
        {sql_case('o_orderstatus', T.ORDER_STATUS)} AS status, o_orderdate AS created_at,
        u.name AS user_name, u.email AS user_email, u.phone AS user_phone
 FROM orders LEFT JOIN users u ON u.id = o_custkey
@@ -183,40 +189,33 @@ def a7_member_funnel(spark, sf):
                       "s_item", "s_analysis", "s_plan", "s_deck", "s_consulting")
 
 
-# The code table of the segment master is derived from the profile segments in use
+# All segment codes; those that some customer's market maps to are active
 @job("a8_active_segments", sql="""
 WITH used AS (
   SELECT DISTINCT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'LOAN' WHEN 'BUILDING' THEN 'SMB'
                   WHEN 'FURNITURE' THEN 'WOMAN' WHEN 'HOUSEHOLD' THEN 'YOUTH' ELSE 'RND' END AS code
-  FROM customer)
-SELECT code, sort_order, active FROM (
-  SELECT code, CAST(list_position(['PRE','EARLY','SMB','YOUTH','SENIOR','WORKER','WOMAN','LOAN','RND'], code)
-                    AS INTEGER) AS sort_order, true AS active FROM used) t
-ORDER BY sort_order""")
+  FROM customer),
+codes(code, sort_order) AS (VALUES ('PRE', 1), ('EARLY', 2), ('SMB', 3), ('YOUTH', 4), ('SENIOR', 5), ('WORKER', 6), ('WOMAN', 7), ('LOAN', 8), ('RND', 9))
+SELECT code, CAST(sort_order AS INTEGER) AS sort_order, true AS active FROM codes WHERE code IN (SELECT code FROM used) ORDER BY sort_order""")
 def a8_active_segments(spark, sf):
-    from tidewater.functions.constants import SEGMENTS
-    cust = T.load(spark, sf, "customer", ["c_mktsegment"])
-    codes = cust.select(T._map_expr(T.MKT_SEGMENT_CODE, F.col("c_mktsegment")).alias("code")).distinct()
-    codes = codes.select(
-        "code",
-        F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("code")).cast("int").alias("sort_order"),
-        F.lit(True).alias("active"))
+    used = T.load(spark, sf, "customer", ["c_mktsegment"]).select(T._map_expr(T.MKT_SEGMENT_CODE, F.col("c_mktsegment")).alias("code")).distinct()
+    codes = literal_frame(spark, [(c, i + 1) for i, c in enumerate(SEGMENTS)], [("code", "string"), ("sort_order", "int")])
+    codes = codes.join(used.withColumn("used", F.lit(True)), "code", "left").select("code", "sort_order", F.coalesce("used", F.lit(False)).alias("active"))
     return R.active_codes(codes)
 
 
-# S3 + S5: host allow-list on the listing, then the detail body by id (every fifth detail missing)
+# S3 + S5: host allow-list on the listing, then the detail body by id; only labelled documents have a detail
 HOSTS = [".org/", "://m."]
 
 
 @job("s5_enrich_pages", sql="""
 WITH listing AS (SELECT page_id, url FROM pages WHERE contains(url, '.org/') OR contains(url, '://m.')),
-     detail AS (SELECT page_id, html FROM pages WHERE page_id % 5 <> 0)
-SELECT l.page_id, l.url, length(coalesce(d.html, '')) AS body_chars
-FROM listing l LEFT JOIN detail d USING (page_id)""")
+     detail AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT l.page_id, l.url, CAST(length(coalesce(d.text, '')) AS INTEGER) AS body_chars
+FROM listing l LEFT JOIN detail d ON d.doc_id = l.page_id""")
 def s5_enrich_pages(spark, sf):
-    from tidewater.sources.feeds import enrich, filter_hosts
-    pages = T.load(spark, sf, "pages", ["page_id", "url", "html"])
-    listing = filter_hosts(pages.select("page_id", "url"), "url", HOSTS)
-    detail = pages.where(F.col("page_id") % 5 != 0).select("page_id", "html")
-    out = enrich(listing, detail, "page_id")
-    return out.select("page_id", "url", F.length("html").alias("body_chars"))
+    listing = filter_hosts(T.load(spark, sf, "pages", ["page_id", "url"]), "url", HOSTS)
+    labelled = T.load(spark, sf, "labels", ["doc_id"]).distinct()
+    detail = T.load(spark, sf, "documents", ["doc_id", "text"]).join(labelled, "doc_id", "left_semi")
+    out = enrich(listing, detail.select(F.col("doc_id").alias("page_id"), "text"), "page_id", "text")
+    return out.select("page_id", "url", F.length("text").alias("body_chars"))

@@ -15,8 +15,12 @@ BURST_LIMIT = 1  # requests per client per 10-minute window before a burst is re
 
 
 def table_stream(spark, sf, name):
+    """The files of a table (a folder, or one file of the tables' folder) as a stream."""
     path = f"{sf.rstrip('/')}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if S.is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def finish(query):
@@ -54,6 +58,7 @@ def t2_stream_dedup(spark, sf):
     scratch = Scratch(spark, "t2")
     good, _ = J.judged_feed(T.raw_feed_from_events(table_stream(spark, sf, "events")))
     out = scratch.folder("rows")
+    good = good.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
     kept = S.dedup_raw(good, bound="60 days").select("source_id", "source_doc_id", "content_hash")
     finish(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.folder("checkpoint"))
            .outputMode("append").trigger(availableNow=True).start())

@@ -255,16 +255,16 @@ def p12_context(spark, sf):
 
 
 PATCH = """
-patch AS (SELECT l_orderkey AS id, l_linenumber AS seq, CASE l_shipmode WHEN 'AIR' THEN 'completed' WHEN 'MAIL' THEN 'contacted' WHEN 'RAIL' THEN 'lost' END AS status,
-    CASE WHEN l_returnflag = 'R' THEN l_shipmode || ' ' || l_returnflag END AS memo FROM lineitem)"""
+patch AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_suppkey * 10000000 + l_partkey AS seq, CASE WHEN l_returnflag = 'A' THEN 'completed' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'lost'
+      WHEN l_returnflag = 'R' THEN 'contacted' END AS status, CASE WHEN l_linestatus = 'O' THEN l_returnflag || ' ' || CAST(l_partkey AS VARCHAR) END AS memo FROM lineitem)"""
 
 
 def patches(spark, sf):
-    li = T.load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_shipmode", "l_returnflag"])
-    mode = F.col("l_shipmode")
-    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("seq"),
-                     F.when(mode == "AIR", "completed").when(mode == "MAIL", "contacted").when(mode == "RAIL", "lost").alias("status"),
-                     F.when(F.col("l_returnflag") == "R", F.concat_ws(" ", "l_shipmode", "l_returnflag")).alias("memo"))
+    li = T.load(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"])
+    flag, line = F.col("l_returnflag"), F.col("l_linestatus")
+    return li.select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_suppkey") * 10000000 + F.col("l_partkey")).alias("seq"),
+                     F.when(flag == "A", "completed").when((flag == "R") & (line == "F"), "lost").when(flag == "R", "contacted").alias("status"),
+                     F.when(line == "O", F.concat_ws(" ", flag, F.col("l_partkey").cast("string"))).alias("memo"))
 
 
 @job("p13_apply_patches", sql=with_ctes(PATCH) + """,

@@ -8,8 +8,8 @@ segment/stage tokens (never a cross join), scored once per class pair, and
 expanded back:
 
 * total per profile = sum of notice counts of the passing classes;
-* top-k per profile = per passing class its k lowest program ids (bounded
-  WindowGroupLimit), merged by (score desc, program_id asc) and cut at k.
+* a page per profile = per passing class its page * page_size lowest program ids (bounded
+  WindowGroupLimit), merged by (score desc, program_id asc) and cut to the page.
 
 Work and shuffle volume grow with the number of signatures, not with
 profiles x notices; a segment held by a third of all profiles is one class row.
@@ -98,8 +98,12 @@ def _class_pairs(pc: DataFrame, nc: DataFrame) -> DataFrame:
     return pt.join(nt, "tok").select("pkey", "nkey").distinct()
 
 
-def match(profiles: DataFrame, notices: DataFrame, k: int = 10, as_of_year: int = 2026):
-    """M2-M6: (top-k matches per profile, total matches per profile)."""
+def match(profiles: DataFrame, notices: DataFrame, page: int = 1, page_size: int = 10, as_of_year: int = 2026):
+    """M2-M6: (one page of ranked matches per profile, total matches per profile).
+
+    Any page can be asked for; work grows with ``page * page_size``, not with all profile x notice pairs.
+    """
+    k = page * page_size
     p = profile_classes(profiles, as_of_year)
     p = p.withColumn("pkey", F.sha2(F.to_json(F.struct("p_segs", "p_stages", "p_ind")), 256))
     n = notice_classes(notices)
@@ -119,7 +123,7 @@ def match(profiles: DataFrame, notices: DataFrame, k: int = 10, as_of_year: int
     w = Window.partitionBy("pkey").orderBy(F.col("match_score").desc(), F.col("program_id").asc())
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     pid = p.select("profile_id", "pkey")
-    ranked = pid.join(top, "pkey").select("profile_id", "rank", "program_id", "match_score",
+    ranked = pid.join(top.where(F.col("rank") > k - page_size), "pkey").select("profile_id", "rank", "program_id", "match_score",
                                           "breakdown", "evidence")
     tot = pid.join(totals, "pkey", "left").select(
         "profile_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))

@@ -1,7 +1,7 @@
 """Aggregations and reports."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,11 +52,10 @@ def submission_stats(subs: DataFrame, startup="예비창업자", small="소상
 
 
 def _ilike_any(cols, q):
-    pat = "%" + q.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
-    cond = None
+    """Any column contains ``q`` in any case; % and _ in ``q`` are wildcards, as in the intake's own search."""
+    cond = F.lit(False)
     for c in cols:
-        e = F.coalesce(F.col(c).ilike(pat), F.lit(False))
-        cond = e if cond is None else (cond | e)
+        cond = cond | F.coalesce(F.col(c).ilike(f"%{q}%"), F.lit(False))
     return cond
 
 
@@ -75,29 +74,26 @@ def search_submissions(subs: DataFrame, type_=None, status=None, q=None, page=1,
                        page_size=20) -> tuple[DataFrame, DataFrame]:
     """A5: one page of matching leads, newest first, plus the total.
 
-    The page is cut from a bounded top-(page x size) (TakeOrderedAndProject:
-    per-partition top-K, then a merge), never from a global window.
+    Ordered limit with offset: per-partition top rows, then a merge; ``rn`` is numbered on the page's
+    own rows.
     """
-    page = max(1, int(page))
+    before = (max(1, int(page)) - 1) * page_size
+    newest = [F.col("created_at").desc(), F.col("id").desc()]
     hits = filter_submissions(subs, type_, status, q)
-    top = hits.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(page * page_size)
-    ranked = top.withColumn("rn", F.row_number().over(
-        __import__("pyspark.sql.window", fromlist=["Window"]).Window
-        .orderBy(F.col("created_at").desc(), F.col("id").desc())))
-    rows = ranked.where(F.col("rn") > (page - 1) * page_size)
-    total = hits.agg(F.count(F.lit(1)).alias("total"))
-    return rows, total
+    rows = hits.orderBy(*newest).offset(before).limit(page_size)
+    rows = rows.withColumn("rn", F.row_number().over(Window.orderBy(*newest)) + before)
+    return rows, hits.agg(F.count(F.lit(1)).alias("total"))
 
 
 def consulting_report(consulting: DataFrame, users: DataFrame, status=None,
                       allowed=("pending", "contacted", "completed")) -> DataFrame:
-    """Requests with requester columns (left join), optional whitelisted status."""
+    """Requests with requester columns (left join), optional whitelisted status; newest first."""
     c = consulting
     if status and status in allowed:
         c = c.where(F.col("status") == status)
     u = users.select(F.col("id").alias("u_id"), F.col("name").alias("user_name"),
                      F.col("email").alias("user_email"), F.col("phone").alias("user_phone"))
-    return c.join(u, c.user_id == u.u_id, "left").drop("u_id")
+    return c.join(u, c.user_id == u.u_id, "left").drop("u_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def member_funnel(users: DataFrame, profiles: DataFrame, children: dict[str, DataFrame]) -> DataFrame:

@@ -62,21 +62,28 @@ def pieces(text: Column) -> Column:
     equals the beginning of a piece.
     """
     long = F.array_distinct(F.regexp_extract_all(F.concat(text, F.lit("\u0000" * (GRAM - 1))), F.lit("(?s)(?=(.{%d}))" % GRAM), 1))
-    shorter = [F.array_distinct(F.transform(long, lambda p, k=k: F.substring(p, 1, k))) for k in range(1, GRAM)]
-    return F.concat(long, *shorter)
+    def beginnings(n: int) -> Column:
+        return F.array_distinct(F.transform(long, lambda p: F.substring(p, 1, n)))
+
+    return F.concat(long, *[beginnings(n) for n in range(1, GRAM)])
 
 
 def keyed_terms(terms: DataFrame) -> DataFrame:
     """(lterm, piece, acro, pterm): each distinct lower-cased term with its piece that the fewest
-    terms of the table share (the first of these)."""
+    terms of the table share (the first of these).
+
+    Written once: the optimizer then knows the table's size and makes it, not the exploded
+    documents, the side that is broadcast or built (or shuffles both, if it is large).
+    """
     t = terms.select("lterm").where(F.col("lterm") != "").distinct()
     size = F.least(F.length("lterm"), F.lit(GRAM))
     cut = t.select("lterm", F.explode(F.sequence(F.lit(1), F.length("lterm") - size + 1)).alias("at"))
     cut = cut.select("lterm", "at", F.col("lterm").substr(F.col("at"), F.least(F.length("lterm"), F.lit(GRAM))).alias("piece"))
     shared = cut.groupBy("piece").agg(F.count_distinct("lterm").alias("n"))
     best = cut.join(shared, "piece").groupBy("lterm").agg(F.min(F.struct("n", "at", "piece")).alias("b"))
-    return best.select("lterm", F.col("b.piece").alias("piece"), F.col("lterm").rlike(ACRONYM_RE).alias("acro"),
-                       _pad(F.col("lterm")).alias("pterm"))
+    out = best.select("lterm", F.col("b.piece").alias("piece"), F.col("lterm").rlike(ACRONYM_RE).alias("acro"),
+                      _pad(F.col("lterm")).alias("pterm"))
+    return Scratch(terms.sparkSession, "terms").write(out, "keyed")
 
 
 def candidates(notices: DataFrame, keyed: DataFrame) -> DataFrame:

@@ -34,11 +34,16 @@ def job(name: str, sql: str | None = None):
     return deco
 
 
+def oracle_sql_of(name: str) -> str:
+    """SQL of a job that is registered already."""
+    return _SQL[name]
+
+
 def _load_all() -> None:
     # import for the registration side effect
     from tidewater.jobs import (  # noqa: F401
-        ingest_jobs, matching_jobs, normalize_jobs, report_jobs, search_jobs,
-        stream_jobs, workflow_jobs,
+        ingest_jobs, matching_jobs, normalize_jobs, outlook_jobs, report_jobs,
+        search_jobs, stream_jobs, workflow_jobs,
     )
 
 

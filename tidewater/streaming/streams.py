@@ -47,6 +47,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> str | None:
     """Path of the newest committed snapshot (of a batch id under ``before``) in any Hadoop file system."""
     fs, p = _folder(spark, root)

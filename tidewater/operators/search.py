@@ -55,17 +55,20 @@ def _pad(c: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(c, "([^a-z0-9])", " $1 "), F.lit(" "))
 
 
-def pieces(text: Column) -> Column:
-    """Distinct GRAM-character pieces of a text, and their shorter beginnings.
+def with_pieces(df: DataFrame, text: str) -> DataFrame:
+    """One row per document and distinct piece of ``text``: GRAM characters, and their shorter beginnings.
 
     The text's end is padded, so every character begins a piece and a term of one or two characters
-    equals the beginning of a piece.
+    equals the beginning of a piece.  The arrays are columns of their own, so that the explosion
+    itself and the join after it are compiled and carry the document by reference.
     """
-    long = F.array_distinct(F.regexp_extract_all(F.concat(text, F.lit("\u0000" * (GRAM - 1))), F.lit("(?s)(?=(.{%d}))" % GRAM), 1))
     def beginnings(n: int) -> Column:
-        return F.array_distinct(F.transform(long, lambda p: F.substring(p, 1, n)))
+        return F.array_distinct(F.transform("_long", lambda p: F.substring(p, 1, n)))
 
-    return F.concat(long, *[beginnings(n) for n in range(1, GRAM)])
+    padded = F.concat(F.col(text), F.lit("\u0000" * (GRAM - 1)))
+    out = df.withColumn("_long", F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(.{%d}))" % GRAM), 1)))
+    out = out.withColumn("_pieces", F.concat("_long", *[beginnings(n) for n in range(1, GRAM)]))
+    return out.select(*df.columns, F.explode_outer("_pieces").alias("piece"))
 
 
 def keyed_terms(terms: DataFrame) -> DataFrame:
@@ -91,8 +94,7 @@ def candidates(notices: DataFrame, keyed: DataFrame) -> DataFrame:
     low = notices.select(
         "program_id", "search_blob",
         *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"l_{c}") for c in FIELDS])
-    low = low.select("*", F.explode(pieces(F.col("search_blob"))).alias("piece"))
-    return low.join(keyed, "piece")
+    return with_pieces(low, "search_blob").join(keyed, "piece")
 
 
 def term_hits(notices: DataFrame, terms: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import (bpe, exact_dedup, langid, mixing, near_dup, quality, suffix_dedup, toxicity, url_filter,
-                           warc)
+from tidewater.llm import (bpe, exact_dedup, langid, license_scan, mixing, near_dup, prefix_trie, quality,
+                           spelling_groups, suffix_dedup, toxicity, url_filter, warc)
 
 _QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -19,12 +19,18 @@ _QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_license_scan": license_scan.op11_license_scan,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_spelling_groups": spelling_groups.op13_spelling_groups,
 }
 _SQL = {
     "op1_warc": warc.OP1_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_license_scan": license_scan.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_spelling_groups": spelling_groups.OP13_SQL,
 }
 
 #: Runtime settings of a session that runs these queries: results are in UTC, and a batch of texts

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewater.jobs.search_fixture import SEARCHES, searches
 from tidewater.operators import search as S
+from tidewater.operators.search_index import shared_index
 from tidewater.plans.lexicon import DOCS_LEXICON
 from tidewater.plans.limits import CATALOGUE_LIMITS
 from tidewater.plans.query_plan import plan_searches
@@ -14,10 +15,15 @@ from tidewater.sources.local import literal_frame
 from tidewater.sources.oracle_bindings import NOTICES_CTE, with_ctes
 
 
+def index_of(spark, sf):
+    """The session's index of the documents: built by the first job that searches them."""
+    return shared_index(T.notices(spark, sf), f"{sf.rstrip('/')}/documents.parquet")
+
+
 def run_search(spark, sf):
     frames = DOCS_LEXICON.frames(spark)
     plan = plan_searches(searches(spark), DOCS_LEXICON, frames, CATALOGUE_LIMITS)
-    return S.search(T.notices(spark, sf), plan, frames, T.AS_OF), plan
+    return S.search(index_of(spark, sf), plan, frames, T.AS_OF), plan
 
 
 # ---------------------------------------------------------------------------
@@ -366,7 +372,7 @@ FROM g LEFT JOIN d USING (query_id, group_no) CROSS JOIN n""")
 def r8_group_frequencies(spark, sf):
     frames = DOCS_LEXICON.frames(spark)
     plan = plan_searches(searches(spark), DOCS_LEXICON, frames, CATALOGUE_LIMITS)
-    return S.group_frequencies(T.notices(spark, sf), plan).select(
+    return S.group_frequencies(index_of(spark, sf), plan).select(
         "query_id", "group_no", "primary", F.col("df").cast("long").alias("df"), "corpus_size", "idf")
 
 
@@ -393,7 +399,7 @@ SELECT v.term, CAST(c.df AS BIGINT) AS df, c.df = 0 AS dead, c.df > 400 AS too_c
 FROM v JOIN c USING (term)""")
 def r27_audit_vocabulary(spark, sf):
     vocab = literal_frame(spark, [(w,) for w in _vocab_rows()], [("term", "string")])
-    return S.audit_vocabulary(T.notices(spark, sf), vocab)
+    return S.audit_vocabulary(index_of(spark, sf), vocab)
 
 
 @job("r26_prefilter", sql=with_ctes(NOTICES_CTE) + f""",
@@ -412,4 +418,4 @@ SELECT phr.query_id, n.program_id FROM phr JOIN notices n
 def r26_prefilter(spark, sf):
     frames = DOCS_LEXICON.frames(spark)
     plan = plan_searches(searches(spark), DOCS_LEXICON, frames, CATALOGUE_LIMITS)
-    return S.prefilter(T.notices(spark, sf), plan)
+    return S.prefilter(index_of(spark, sf), plan)

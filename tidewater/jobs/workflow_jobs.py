@@ -313,7 +313,7 @@ def p14_rejected_leads(spark, sf):
     return W.validate_submissions(leads(spark, sf))[1].select("id", F.array_join("reasons", "|").alias("reasons"))
 
 
-@job("p15_items_valid", sql=with_ctes(PROFILES_CTE, ITEMS) + """
+@job("p15_items_valid", sql=with_ctes(PROFILES_CTE, ITEMS) + r"""
 SELECT profile_id, len(list_filter([strategy_1, strategy_2, strategy_3], lambda s: regexp_replace(coalesce(s, ''), '\s', '', 'g') <> '')) = 3 AS valid FROM items""")
 def p15_items_valid(spark, sf):
     return items(spark, sf).select("profile_id", W.validate_items(F.array("strategy_1", "strategy_2", "strategy_3")).alias("valid"))

@@ -3,19 +3,18 @@
 One run answers every search of the input table in one pass over the corpus:
 
 1. The terms of all searches (plan terms, phrases, weak words, expansion words) form one
-   distinct term table; each term names one of its GRAM-character pieces.  A document's distinct
-   pieces meet them in an equi-join and the few candidates are verified with ``contains``
-   (an ASCII boundary test for acronyms): no document is compared with every term, whatever the
-   number of terms.  A hit carries only the document's id.
+   distinct term table.  The rarest pieces of each term meet the postings of the written index in an
+   equi-join of numbers, a count keeps the documents that hold them all, and these candidates
+   are verified with ``contains`` (an ASCII boundary test for acronyms) in the documents' own
+   buckets: no document is compared with every term, and no shuffle holds a text.
 2. Hits -> alternatives -> concept groups are roll-ups under one partitioning by (search,
    document); the group table is written once.
 3. Document frequencies come from the group table; one score per (search, document) is
    written once, with the attributes that filters and order need.
 4. Everything per search (strict count, threshold, gates, totals) comes from one small
    histogram of the scores; ranking reads only scores and that summary.
-5. Ranking keeps the ``page * page_size`` best rows of each search in two steps: per slice of the
-   documents, then over the slices, so a search that matches a third of the corpus never sends
-   its rows to one task.
+5. A page is selected before anything is sorted: a histogram of the order's columns gives, per search, the bars
+   that reach into its own page; only their rows are numbered.  Page 400 sorts no more than page 1.
 
 Scores are exact decimals: field weights x10 are integers, weights are
 DECIMAL(3,2) and IDF DECIMAL(5,4), so sums do not depend on summation order.
@@ -30,15 +29,14 @@ from pyspark.sql.window import Window
 
 from tidewater.functions.constants import FIELD_WEIGHTS_X10, MIN_STRICT_RESULTS, NATIONAL, TIERS, WEIGHT_SYNONYM
 from tidewater.operators.common import attach_scalar
+from tidewater.operators.search_index import FIELDS, SearchIndex, build_index, candidates, fetched
 from tidewater.plans.lexicon import LexiconFrames
 from tidewater.plans.query_plan import Plan
 from tidewater.scratch import Scratch
 
 ACRONYM_RE = r"^[A-Za-z0-9&.+#-]{1,3}$"
-GRAM = 3
-#: Slices of the documents in the first ranking step.
-SLICES = 64
-FIELDS = [name for name, _ in FIELD_WEIGHTS_X10]
+#: Characters of a name that tell rows of one bar apart before they are sorted.
+LEAD = 6
 PHRASE_FIELDS = ["name", "summary", "field"]
 
 
@@ -55,64 +53,31 @@ def _pad(c: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(c, "([^a-z0-9])", " $1 "), F.lit(" "))
 
 
-def with_pieces(df: DataFrame, text: str) -> DataFrame:
-    """One row per document and distinct piece of ``text``: GRAM characters, and their shorter beginnings.
+def indexed(corpus: DataFrame | SearchIndex) -> SearchIndex:
+    return corpus if isinstance(corpus, SearchIndex) else build_index(corpus)
 
-    The text's end is padded, so every character begins a piece and a term of one or two characters
-    equals the beginning of a piece.  The arrays are columns of their own, so that the explosion
-    itself and the join after it are compiled and carry the document by reference.
-    """
-    def beginnings(n: int) -> Column:
-        return F.array_distinct(F.transform("_long", lambda p: F.substring(p, 1, n)))
-
-    padded = F.concat(F.col(text), F.lit("\u0000" * (GRAM - 1)))
-    out = df.withColumn("_long", F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(.{%d}))" % GRAM), 1)))
-    out = out.withColumn("_pieces", F.concat("_long", *[beginnings(n) for n in range(1, GRAM)]))
-    return out.select(*df.columns, F.explode_outer("_pieces").alias("piece"))
 
+def verified(corpus: SearchIndex, terms: DataFrame, scratch: Scratch) -> DataFrame:
+    """Documents beside the terms that their blob contains."""
+    found = fetched(corpus, candidates(corpus, terms, scratch)).where(F.col("search_blob").contains(F.col("lterm")))
+    return found.withColumns({"acro": F.col("lterm").rlike(ACRONYM_RE), "pterm": _pad(F.col("lterm"))})
 
-def keyed_terms(terms: DataFrame) -> DataFrame:
-    """(lterm, piece, acro, pterm): each distinct lower-cased term with its piece that the fewest
-    terms of the table share (the first of these).
 
-    Written once: the optimizer then knows the table's size and makes it, not the exploded
-    documents, the side that is broadcast or built (or shuffles both, if it is large).
-    """
-    t = terms.select("lterm").where(F.col("lterm") != "").distinct()
-    size = F.least(F.length("lterm"), F.lit(GRAM))
-    cut = t.select("lterm", F.explode(F.sequence(F.lit(1), F.length("lterm") - size + 1)).alias("at"))
-    cut = cut.select("lterm", "at", F.col("lterm").substr(F.col("at"), F.least(F.length("lterm"), F.lit(GRAM))).alias("piece"))
-    shared = cut.groupBy("piece").agg(F.count_distinct("lterm").alias("n"))
-    best = cut.join(shared, "piece").groupBy("lterm").agg(F.min(F.struct("n", "at", "piece")).alias("b"))
-    out = best.select("lterm", F.col("b.piece").alias("piece"), F.col("lterm").rlike(ACRONYM_RE).alias("acro"),
-                      _pad(F.col("lterm")).alias("pterm"))
-    return Scratch(terms.sparkSession, "terms").write(out, "keyed")
-
-
-def candidates(notices: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Documents beside the terms whose piece they hold; fields lower-cased once per document."""
-    low = notices.select(
-        "program_id", "search_blob",
-        *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"l_{c}") for c in FIELDS])
-    return with_pieces(low, "search_blob").join(keyed, "piece")
-
-
-def term_hits(notices: DataFrame, terms: DataFrame) -> DataFrame:
+def term_hits(corpus: DataFrame | SearchIndex, terms: DataFrame) -> DataFrame:
     """Every (document, term) whose lower-cased blob contains the term.
 
     ``terms`` has a column ``lterm`` (lower-cased).  Output: program_id, lterm, score_x10
     (field-weighted score x10, 0 when the hit spans two fields), psf_hit (plain substring of
     name, summary or field: the phrase rule).
     """
-    c = candidates(notices, keyed_terms(terms))
+    c = verified(indexed(corpus), terms, Scratch(terms.sparkSession, "terms"))
     inside = {f: F.when(F.col("acro"), _pad(F.col(f"l_{f}")).contains(F.col("pterm"))).otherwise(F.col(f"l_{f}").contains(F.col("lterm"))) for f in FIELDS}
     score = sum((F.when(inside[f], F.lit(w)).otherwise(F.lit(0)) for f, w in FIELD_WEIGHTS_X10), F.lit(0))
     psf = F.lit(False)
     for f in PHRASE_FIELDS:
         psf = psf | F.col(f"l_{f}").contains(F.col("lterm"))
     # an acronym has no space, so it stands in the blob where it stands in a field
-    plain = F.col("search_blob").contains(F.col("lterm"))
-    scored = c.where(plain).select("program_id", "lterm", "acro", score.alias("score_x10"), psf.alias("psf_hit"))
+    scored = c.select("program_id", "lterm", "acro", score.alias("score_x10"), psf.alias("psf_hit"))
     return scored.where(~F.col("acro") | (F.col("score_x10") > 0)).drop("acro")
 
 
@@ -232,43 +197,68 @@ class SearchResult:
     scratch: Scratch     # written tables both read; close() it when they are no longer needed
 
 
-def _order():
-    return [F.col("tier_num").desc(), F.col("score_dec").desc_nulls_last(), F.col("is_open").desc(),
-            F.col("period_end").asc_nulls_last(), F.col("name").asc(), F.col("program_id").asc()]
+# the result order, as values that are never null: (tier, score, open) fall, (end, name, id) rise
+BAR = ["b_tier", "b_score", "b_shut", "b_end"]
 
 
-def _best(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """The ``most`` first rows of each key, in two steps; adds ``rank``."""
-    rows = rows.withColumn("_slice", F.pmod(F.xxhash64("program_id"), F.lit(SLICES)))
-    local = Window.partitionBy(*keys, "_slice").orderBy(*_order())
-    rows = rows.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= most).drop("_r", "_slice")
-    whole = Window.partitionBy(*keys).orderBy(*_order())
-    return rows.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= most)
+def with_bar(rows: DataFrame) -> DataFrame:
+    """Add the bar of a row: its place in the order but for name and id; every part rises."""
+    return rows.withColumns({
+        "b_tier": -F.col("tier_num"), "b_score": -F.coalesce(F.col("score_dec"), F.lit(-1).cast("decimal(20,6)")), "b_shut": (~F.col("is_open")).cast("int"),
+        "b_end": F.coalesce(F.unix_date("period_end"), F.lit(2147483647))})
 
 
-def _browse(notices: DataFrame, asked: DataFrame, most: int, as_of) -> tuple[DataFrame, DataFrame]:
-    """(rows, totals) of the searches without any term, by equi-join on the filter.
+def overlapping(bars: DataFrame, within: list[str], order: list[str], n: str = "n") -> DataFrame:
+    """Bars that hold a rank of the wanted page (lo, hi]; ``before`` counts the rows of the search before each."""
+    upto = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bars = bars.withColumn("before", F.col("base") + F.sum(n).over(upto) - F.col(n))
+    return bars.where((F.col("before") < F.col("hi")) & (F.col("before") + F.col(n) > F.col("lo")))
 
-    A filter admits regions: its own and the national one, or all ('*').  Documents are first
-    reduced to the best rows of each (region, open now), which is all that any filter can show.
+
+def page_rows(rows: DataFrame, pages: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """The rows of each search's page, with ``rank``; ``pages`` (query_id, lo, hi).
+
+    ``rows`` have the order's columns (``with_bar``).  Two histograms, by bar and by the beginning of the name
+    inside a bar, leave the rows around the page; these alone are sorted.  ``bars``: a histogram made elsewhere.
+    """
+    if bars is None:
+        bars = rows.groupBy("query_id", *BAR).agg(F.count(F.lit(1)).alias("n")).join(pages, "query_id")
+        bars = overlapping(bars.withColumn("base", F.lit(0).cast("long")), ["query_id"], BAR)
+        rows = rows.join(bars.select("query_id", *BAR, "lo", "hi", F.col("before").alias("base")), ["query_id", *BAR])
+    rows = rows.withColumn("lead", F.coalesce(F.substring("name", 1, LEAD), F.lit("")))
+    keys = ["query_id", *BAR, "lead"]
+    leads = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("base").alias("base"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    leads = overlapping(leads, ["query_id", *BAR], ["lead"])
+    rows = rows.drop("base", "lo", "hi").join(leads.select(*keys, "lo", "hi", "before"), keys)
+    ranks = F.row_number().over(Window.partitionBy(*keys).orderBy("name", "program_id"))
+    return rows.withColumn("rank", F.col("before") + ranks).where((F.col("rank") > F.col("lo")) & (F.col("rank") <= F.col("hi")))
+
+
+def _browse(attributes: DataFrame, asked: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(rows, totals) of the searches without any term.
+
+    A filter admits regions: its own and the national one, or all ('*').  The histogram of the documents by
+    (region, open now, bar) is counted once; the searches add up its bars, and only documents
+    of bars that reach into a page meet the searches.
     """
-    keys = asked.select("q_region", "open_only").distinct()
-    admits = keys.select("q_region", "open_only", F.explode(F.when(F.col("q_region") == "", F.array(F.lit("*")))
-                                                            .otherwise(F.array_distinct(F.array("q_region", F.lit(NATIONAL))))).alias("token"))
-    d = notices.select("program_id", "name", "region", "is_open", "period_end", F.coalesce(open_now(as_of), F.lit(False)).alias("now"),
-                       F.lit(0).alias("tier_num"), F.lit(None).cast("decimal(20,6)").alias("score_dec"))
-    sizes = d.groupBy("region", "now").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("now", "n", F.explode(F.array_distinct(F.array_compact(F.array("region", F.lit("*"))))).alias("token"))
-    totals = sizes.join(admits, "token").where("now or not open_only").groupBy("q_region", "open_only").agg(F.sum("n").alias("total"))
-    top = _best(d, ["region", "now"], most).drop("rank")
-    top = top.withColumn("token", F.explode(F.array_distinct(F.array_compact(F.array("region", F.lit("*"))))))
-    rows = _best(top.join(admits, "token").where("now or not open_only"), ["q_region", "open_only"], most)
-    return (rows.join(asked, ["q_region", "open_only"]).select("query_id", "program_id", "rank"),
-            asked.join(totals, ["q_region", "open_only"]).select("query_id", "total"))
-
-
-def search(corpus_notices: DataFrame, plan: Plan, frames: LexiconFrames, as_of) -> SearchResult:
-    scratch = Scratch(corpus_notices.sparkSession, "search")
+    tokens = F.explode(F.array_distinct(F.array_compact(F.array("region", F.lit("*")))))
+    admits = asked.select("query_id", "open_only", "lo", "hi", F.explode(F.when(F.col("q_region") == "", F.array(F.lit("*")))
+                                                                         .otherwise(F.array_distinct(F.array("q_region", F.lit(NATIONAL))))).alias("token"))
+    d = with_bar(attributes.select("program_id", "name", "region", "is_open", "period_end", F.coalesce(open_now(as_of), F.lit(False)).alias("now"),
+                                   F.lit(0).alias("tier_num"), F.lit(None).cast("decimal(20,6)").alias("score_dec")))
+    bars = d.groupBy("region", "now", *BAR).agg(F.count(F.lit(1)).alias("n")).withColumn("token", tokens)
+    mine = bars.join(admits, "token").where("now or not open_only").groupBy("query_id", "open_only", "lo", "hi", *BAR).agg(F.sum("n").alias("n"))
+    totals = mine.groupBy("query_id").agg(F.sum("n").alias("total"))
+    kept = overlapping(mine.withColumn("base", F.lit(0).cast("long")), ["query_id"], BAR)
+    kept = kept.select("query_id", "lo", "hi", *BAR, F.col("before").alias("base")).join(admits.select("query_id", "open_only", "token"), "query_id")
+    rows = d.withColumn("token", tokens).join(kept, ["token", *BAR]).where("now or not open_only")
+    return page_rows(rows, asked, kept).select("query_id", "program_id", "rank"), totals
+
+
+def search(corpus: DataFrame | SearchIndex, plan: Plan, frames: LexiconFrames, as_of) -> SearchResult:
+    """All searches of ``plan`` over notices, or over their index."""
+    index = indexed(corpus)
+    scratch = Scratch(index.postings.sparkSession, "search")
     meta = plan.meta
     ranked_ids = meta.where(F.col("route") == "ranked").select("query_id")
     terms = plan.terms.join(ranked_ids, "query_id", "left_semi")
@@ -283,9 +273,9 @@ def search(corpus_notices: DataFrame, plan: Plan, frames: LexiconFrames, as_of)
                                       F.lit("domain").alias("kind"), F.lit(WEIGHT_SYNONYM).alias("weight"), F.lit(1).alias("alt_size")), "e")
     roles = scratch.write(plan_roles(terms, "t").unionByName(word_roles(phrases, "p", "phrase", "phrase_no"))
                           .unionByName(word_roles(weak, "w", "term", "wpos")).unionByName(exp_roles), "roles")
-    hits = scratch.write(term_hits(corpus_notices, roles), "hits")
+    hits = scratch.write(term_hits(index, roles), "hits")
     groups = scratch.write(group_hits(hits, roles), "groups")
-    dfs = scratch.write(frequencies(groups, terms, corpus_notices), "frequencies")
+    dfs = scratch.write(frequencies(groups, terms, index.attributes), "frequencies")
 
     # ---- one score per (search, document) ----
     role = lambda r: F.col("role") == r
@@ -299,8 +289,7 @@ def search(corpus_notices: DataFrame, plan: Plan, frames: LexiconFrames, as_of)
         F.bool_or(role("t") | role("p")).alias("asked"))
     n_weak = weak.groupBy("query_id").agg(F.count(F.lit(1)).alias("all_weak"))
     asked = meta.select("query_id", "route", "n_groups", "n_phrases", F.col("region").alias("q_region"), "open_only").join(n_weak, "query_id", "left")
-    attributes = corpus_notices.select("program_id", "name", "region", "is_open", "period_end")
-    scored = docs.join(asked, "query_id").join(attributes, "program_id").where(filters_ok(F.col("q_region"), F.col("open_only"), as_of))
+    scored = docs.join(asked, "query_id").join(index.attributes, "program_id").where(filters_ok(F.col("q_region"), F.col("open_only"), as_of))
     zero = F.lit(0).cast("decimal(20,6)")
     phrases_ok = (F.col("n_phrases") == 0) | (F.coalesce("p_ok", F.lit(0)) == F.col("n_phrases"))
     scored = scored.select(
@@ -326,8 +315,9 @@ def search(corpus_notices: DataFrame, plan: Plan, frames: LexiconFrames, as_of)
         F.sum(F.when(F.col("n_hit") >= F.col("threshold"), F.col("main")).otherwise(F.lit(0))).alias("main_total"),
         F.sum("weak").alias("weak_total"), F.sum("expanded").alias("exp_total"))
     known = dfs.groupBy("query_id").agg(F.max("df").alias("max_df"))
-    need = meta.agg(F.max(F.col("page").cast("long") * F.col("page_size"))).first()[0] or 0
-    browse_rows, browse_totals = _browse(corpus_notices, meta.where(F.col("route") == "browse").select("query_id", F.col("region").alias("q_region"), "open_only"), need, as_of)
+    to = F.col("page").cast("long") * F.col("page_size")
+    pages = meta.select("query_id", "route", F.col("region").alias("q_region"), "open_only", (to - F.col("page_size")).alias("lo"), to.alias("hi"))
+    browse_rows, browse_totals = _browse(index.attributes, pages.where("route = 'browse'"), as_of)
     # Synonyms and document frequency of each concept
     concepts = terms.where("kind = 'synonym'").groupBy("query_id", "group_no").agg(F.sort_array(F.collect_list(F.struct("alt_no", "term"))).alias("s"))
     concepts = dfs.join(concepts, ["query_id", "group_no"], "left").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
@@ -359,11 +349,10 @@ def search(corpus_notices: DataFrame, plan: Plan, frames: LexiconFrames, as_of)
         "query_id", "program_id", "name", "is_open", "period_end",
         F.when(F.col("way") == "domain", F.lit(3)).when(F.col("way") == "weak", F.lit(1)).otherwise(tier).alias("tier_num"),
         F.when(F.col("way") == "domain", F.col("e_score")).when(F.col("way") == "ranked", F.col("score_dec")).alias("score_dec"), "matched_nos")
-    best = _best(s, ["query_id"], need).select("query_id", "program_id", "rank", "tier_num", "score_dec", "matched_nos")
+    best = page_rows(with_bar(s), pages.select("query_id", "lo", "hi")).select("query_id", "program_id", "rank", "tier_num", "score_dec", "matched_nos")
     rows = best.unionByName(browse_rows.select("query_id", "program_id", "rank", F.lit(0).alias("tier_num"), F.lit(None).cast("decimal(20,6)").alias("score_dec"),
                                                F.array().cast("array<int>").alias("matched_nos")))
-    rows = rows.join(summary.select("query_id", "route", "total", "total_pages", "relaxed", "page", "page_size", "primaries", "domain_label"), "query_id") \
-        .where((F.col("rank") > (F.col("page") - 1) * F.col("page_size")) & (F.col("rank") <= F.col("page") * F.col("page_size")))
+    rows = rows.join(summary.select("query_id", "route", "total", "total_pages", "relaxed", "page", "page_size", "primaries", "domain_label"), "query_id")
     named = lambda keep: F.array_join(F.transform(F.filter("primaries", keep), lambda g: g["primary"]), "|")
     domain = F.col("route") == "domain"
     rows = rows.select(
@@ -376,18 +365,19 @@ def search(corpus_notices: DataFrame, plan: Plan, frames: LexiconFrames, as_of)
     return SearchResult(rows=rows, summary=summary, scratch=scratch)
 
 
-def group_frequencies(corpus_notices: DataFrame, plan: Plan) -> DataFrame:
+def group_frequencies(corpus: DataFrame | SearchIndex, plan: Plan) -> DataFrame:
     """R8 + R9 as their own report: df, corpus size and idf per (search, concept)."""
+    index = indexed(corpus)
     roles = plan_roles(plan.terms, "t")
-    out = frequencies(group_hits(term_hits(corpus_notices, roles), roles), plan.terms, corpus_notices)
+    out = frequencies(group_hits(term_hits(index, roles), roles), plan.terms, index.attributes)
     return out.withColumn("idf", F.col("idf").cast("double"))
 
 
-def prefilter(corpus_notices: DataFrame, plan: Plan) -> DataFrame:
+def prefilter(corpus: DataFrame | SearchIndex, plan: Plan) -> DataFrame:
     """Candidate documents per search: any term in the blob, or any phrase in name, summary or field."""
     asked = plan.terms.select("query_id", F.lower("term").alias("lterm"), F.lit(False).alias("phrase")) \
         .unionByName(plan.phrases.select("query_id", F.lower("phrase").alias("lterm"), F.lit(True).alias("phrase"))).distinct()
-    c = candidates(corpus_notices, keyed_terms(asked)).where(F.col("search_blob").contains(F.col("lterm")))
+    c = verified(indexed(corpus), asked, Scratch(asked.sparkSession, "prefilter"))
     term, phrase = F.lit(False), F.lit(False)
     for f in FIELDS:
         term = term | _pad(F.col(f"l_{f}")).contains(F.col("pterm"))
@@ -397,10 +387,10 @@ def prefilter(corpus_notices: DataFrame, plan: Plan) -> DataFrame:
     return c.join(asked, "lterm").where(F.when(F.col("phrase"), F.col("as_phrase")).otherwise(F.col("as_term"))).select("query_id", "program_id").distinct()
 
 
-def audit_vocabulary(corpus_notices: DataFrame, vocab: DataFrame, too_common: int = 400) -> DataFrame:
+def audit_vocabulary(corpus: DataFrame | SearchIndex, vocab: DataFrame, too_common: int = 400) -> DataFrame:
     """Df per lexicon word; dead (0) and too common; substring vs boundary counts for acronyms."""
     v = vocab.select(F.col("term"), F.lower("term").alias("lterm")).distinct()
-    c = candidates(corpus_notices, keyed_terms(v)).where(F.col("search_blob").contains(F.col("lterm")))
+    c = verified(indexed(corpus), v, Scratch(v.sparkSession, "vocabulary"))
     bounded = F.lit(False)
     for f in FIELDS:
         bounded = bounded | _pad(F.col(f"l_{f}")).contains(F.col("pterm"))

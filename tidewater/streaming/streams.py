@@ -1,19 +1,25 @@
 """Structured Streaming re-aims of the polled ingestion.
 
-* T1 ``continuous_upsert``: file-source stream of raw rows -> ``foreachBatch``
-  merge (I2 semantics) into a versioned state snapshot, idempotent per batch id.
-* T2 ``dedup_raw``: duplicate raw documents dropped within a 7-day watermark.
-* T3 ``burst_windows``: requests per client per 10-minute tumbling window above
-  a limit, the same function for batch and stream input.
-* T4 ``match_on_arrival``: new notices scored against the profiles as they arrive.
+* T1 ``continuous_upsert``: file-source stream of raw rows -> ``foreachBatch`` merge (I2 semantics) into a
+  bucketed state; a micro-batch rewrites the buckets of its keys only, idempotent per batch id.
+* T2 ``dedup_raw`` drops duplicate raw documents within a bound; ``dedup_with_late`` also returns the rows that came
+  after the bound had passed.
+* T3 ``burst_windows``: requests per client per 10-minute tumbling window above a limit, on batches, or on a
+  stream in append mode, where the watermark closes the windows.
+* T4 ``match_on_arrival``: new notices scored against the profiles as they arrive; ``MatchFeed`` keeps the matches
+  current while profiles change.
 """
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import ingest as I
 from tidewater.operators import matching as M
+from tidewater.streaming.bucket_state import BUCKETS, BucketState, Files
 
 
 def burst_windows(events: DataFrame, client="user_id", ts="ts", limit: int = 20,
@@ -37,51 +43,95 @@ def dedup_raw(raw_stream: DataFrame, keys=("source_id", "source_doc_id", "conten
     return raw_stream.withWatermark(ts, bound).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _folder(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files = Files(spark, path)
+    return files.fs.getFileStatus(files.path(path)).isDirectory()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _folder(spark, path)
-    return fs.exists(p)
+def latest_snapshot(spark: SparkSession, root: str) -> str | None:
+    """Path of the newest committed snapshot ``root/v=<number>`` in any Hadoop file system."""
+    files = Files(spark, root)
+    done = [n for n in files.names(root) if n.startswith("v=") and files.exists(f"{root}/{n}/_SUCCESS")]
+    return f"{root}/{done[-1]}" if done else None
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    fs, p = _folder(spark, path)
-    return fs.getFileStatus(p).isDirectory()
+def _in_batches(stream: DataFrame, step, checkpoint: str):
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> str | None:
-    """Path of the newest committed snapshot (of a batch id under ``before``) in any Hadoop file system."""
-    fs, p = _folder(spark, root)
-    if not fs.exists(p):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    done = sorted(n for n in names if n.startswith("v=") and (before is None or int(n[2:]) < before) and _exists(spark, f"{root}/{n}/_SUCCESS"))
-    return f"{root}/{done[-1]}" if done else None
+# ---------------------------------------------------------------- T1
+
+def upsert_state(rows: DataFrame, state_root: str, keys: list[str], fields: list[str], buckets: int = BUCKETS) -> BucketState:
+    """The state that ``continuous_upsert`` keeps of such rows."""
+    return BucketState(rows.sparkSession, state_root, keys, _empty_state(rows, keys, fields).schema, buckets)
 
 
 def continuous_upsert(raw_stream: DataFrame, state_root: str, keys: list[str], fields: list[str],
-                      order: list[str], run_ts, as_of, checkpoint: str):
-    """Merge each micro-batch into the latest state snapshot.
+                      order: list[str], run_ts, as_of, checkpoint: str, buckets: int = BUCKETS):
+    """Merge each micro-batch into the buckets that its keys belong to.
 
-    Each batch writes ``state_root/v=<batch_id>``; a batch id that already has a committed
-    snapshot is skipped, so a replayed batch is idempotent, and the run's time is a parameter, so a
-    replay gives the same rows.  The snapshot being read is never overwritten.
+    A batch id with a manifest is skipped, so a replayed batch is idempotent, and the run's time is a
+    parameter, so a replay gives the same rows.  Keys with a null part are no natural key and are left out.
     """
     def merge(batch_df: DataFrame, batch_id: int):
-        spark = batch_df.sparkSession
-        out_path = f"{state_root}/v={batch_id:012d}"
-        if _exists(spark, f"{out_path}/_SUCCESS"):
+        state = upsert_state(batch_df, state_root, keys, fields, buckets)
+        if state.done(batch_id):
             return
-        prev = latest_snapshot(spark, state_root, batch_id)
-        state = _empty_state(batch_df, keys, fields) if prev is None else spark.read.parquet(prev).drop("outcome")
-        I.upsert(state, batch_df, keys, fields, run_ts, as_of, order).write.mode("overwrite").parquet(out_path)
+        rows = batch_df.dropna(subset=keys).persist()
+        touched = state.touched(rows)
+        merged = I.upsert(state.read(touched), rows, keys, fields, run_ts, as_of, order)
+        state.commit(batch_id, merged, touched)
+        rows.unpersist()
+
+    return _in_batches(raw_stream, merge, checkpoint)
+
 
-    return (raw_stream.writeStream.foreachBatch(merge)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+# ---------------------------------------------------------------- T2
 
+def dedup_with_late(raw_stream: DataFrame, root: str, checkpoint: str, keys: list[str], ts: str, order: list[str], days: int = 7, buckets: int = BUCKETS):
+    """Each micro-batch adds the rows that are new to ``root/kept`` and those that came too late to ``root/late``.
+
+    The bound of a batch is the largest event time of the batches before it, less ``days``; there is none in the first.
+    A row under the bound, or without an event time, is late: its duplicates may be forgotten already.  Of the others the
+    first of each key (by ``order``) is kept, unless the key had a row in time in an earlier batch whose
+    event time is not under the bound.  The state holds the last event time of each key and forgets keys under the
+    bound.  Outputs are folders per batch, overwritten by a replay, and the state follows them.
+    """
+    def step(batch_df: DataFrame, batch_id: int):
+        spark = batch_df.sparkSession
+        state = seen_state(batch_df, f"{root}/seen", keys, ts, buckets)
+        if state.done(batch_id):
+            return
+        rows = batch_df.persist()
+        high = state.latest()["notes"].get("high")
+        bound = None if high is None else F.timestamp_micros(F.lit(high)) - F.expr(f"interval {days} days")
+        late = F.col(ts).isNull() if bound is None else F.coalesce(F.col(ts) < bound, F.lit(True))
+        rows.where(late).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+        fine = rows.where(~late).dropna(subset=keys)
+        rest = [c for c in rows.columns if c not in keys]
+        mine = fine.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"), F.max(ts).alias("_now"))
+        touched = state.touched(fine)
+        known = state.read(touched)
+        old = known.select(*keys, F.col("last").alias("_last"))
+        new = mine.join(old, keys, "left")
+        new = new.where(F.col("_last").isNull() if bound is None else F.col("_last").isNull() | (F.col("_last") < bound))
+        new.select(*keys, "_first.*").select(*rows.columns).write.mode("overwrite").parquet(f"{root}/kept/batch={batch_id}")
+        top = rows.agg(F.unix_micros(F.max(ts))).first()[0]
+        high = top if high is None else max(high, top or high)
+        after = known.unionByName(mine.select(*keys, F.col("_now").alias("last"))).groupBy(*keys).agg(F.max("last").alias("last"))
+        if high is not None:
+            after = after.where(F.col("last") >= F.timestamp_micros(F.lit(high)) - F.expr(f"interval {days} days"))
+        state.commit(batch_id, after, touched, {"high": high})
+        rows.unpersist()
+
+    return _in_batches(raw_stream, step, checkpoint)
+
+
+def seen_state(rows: DataFrame, root: str, keys: list[str], ts: str, buckets: int = BUCKETS) -> BucketState:
+    return BucketState(rows.sparkSession, root, keys, rows.select(*keys, F.col(ts).alias("last")).schema, buckets)
+
+
+# ---------------------------------------------------------------- T4
 
 def match_on_arrival(notices_stream: DataFrame, profiles: DataFrame, as_of_year: int = 2026) -> DataFrame:
     """T4: (profile class, program_id, score, evidence) of each arriving notice.
@@ -92,13 +142,17 @@ def match_on_arrival(notices_stream: DataFrame, profiles: DataFrame, as_of_year:
     """
     pc = profile_members(profiles, as_of_year).groupBy("pkey").agg(
         F.first("p_segs").alias("p_segs"), F.first("p_stages").alias("p_stages"), F.first("p_ind").alias("p_ind"), F.count(F.lit(1)).alias("profiles"))
+    return class_matches(M.notice_classes(notices_stream), pc).select("pkey", "program_id", "profiles", "match_score", "evidence")
+
+
+def class_matches(notices: DataFrame, classes: DataFrame) -> DataFrame:
+    """Scored pairs of notices and signatures that share a token."""
     tokens = lambda segs, stages: F.concat(F.transform(segs, lambda s: F.concat(F.lit("seg:"), s)), F.transform(stages, lambda s: F.concat(F.lit("stage:"), s)))
-    p = pc.select("*", tokens("p_segs", "p_stages").alias("p_tok")).withColumn("tok", F.explode("p_tok"))
-    n = M.notice_classes(notices_stream).select("*", tokens("t_segs", "t_stages").alias("t_tok")).withColumn("tok", F.explode("t_tok"))
-    j = n.join(p, "tok")
+    p = classes.select("*", tokens("p_segs", "p_stages").alias("p_tok")).withColumn("tok", F.explode("p_tok"))
+    n = notices.select("*", tokens("t_segs", "t_stages").alias("t_tok")).withColumn("tok", F.explode("t_tok"))
     # a pair that shares several tokens is kept at the first of them: no state, no distinct over the stream
-    j = j.where(F.col("tok") == F.element_at(F.array_intersect("t_tok", "p_tok"), 1))
-    return M.score_pairs(j).select("pkey", "program_id", "profiles", "match_score", "evidence")
+    j = n.join(p, "tok").where(F.col("tok") == F.element_at(F.array_intersect("t_tok", "p_tok"), 1))
+    return M.score_pairs(j)
 
 
 def profile_members(profiles: DataFrame, as_of_year: int = 2026) -> DataFrame:
@@ -106,9 +160,88 @@ def profile_members(profiles: DataFrame, as_of_year: int = 2026) -> DataFrame:
     return p.withColumn("pkey", F.sha2(F.to_json(F.struct("p_segs", "p_stages", "p_ind")), 256))
 
 
+class MatchFeed:
+    """T4 with changing profiles: matches of profile signatures and notices, kept current step by step.
+
+    A step is a batch of notices or a new snapshot of the profiles.  Notices meet the signatures of the newest snapshot.
+    A snapshot re-matches only signatures whose number of profiles goes from zero (against all notices so far) or
+    to zero (their matches end); profiles that join or leave a signature cost nothing.  Matches are appended per step, an
+    ended signature is a row that outdates its earlier matches, and a step counts once its manifest is there.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, as_of_year: int = 2026):
+        self.spark, self.root, self.as_of_year = spark, root, as_of_year
+        self.files = Files(spark, root)
+
+    def _steps(self) -> list[dict]:
+        return [json.loads(self.files.read(f"{self.root}/manifest/{n}")) for n in self.files.names(f"{self.root}/manifest") if n.endswith(".json")]
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        paths = [f"{self.root}/{s['folder']}/{kind}" for s in self._steps() if kind in s["kinds"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _commit(self, name: str, tables: dict[str, DataFrame]) -> None:
+        no = len(self._steps())
+        folder = f"data/{no:08d}-{uuid.uuid4().hex}"
+        for kind, df in tables.items():
+            df.write.parquet(f"{self.root}/{folder}/{kind}")
+        self.files.publish(f"{self.root}/manifest/{no:08d}.json", json.dumps({"name": name, "folder": folder, "kinds": sorted(tables)}))
+
+    def _classes(self) -> DataFrame:
+        """The current signatures: those of the last snapshot step."""
+        last = [s for s in self._steps() if "classes" in s["kinds"]]
+        return self.spark.read.schema(CLASS).parquet(f"{self.root}/{last[-1]['folder']}/classes") if last else self.spark.createDataFrame([], CLASS)
+
+    def on_profiles(self, profiles: DataFrame, version: str) -> None:
+        """Take the snapshot ``version``; a version that was taken is skipped."""
+        if any(s["name"] == f"profiles {version}" for s in self._steps()):
+            return
+        old = self._classes()
+        new = profile_members(profiles, self.as_of_year).groupBy("pkey").agg(
+            F.first("p_segs").alias("p_segs"), F.first("p_stages").alias("p_stages"), F.first("p_ind").alias("p_ind"), F.count(F.lit(1)).alias("profiles"))
+        step = F.lit(len(self._steps()))
+        born = new.join(old, "pkey", "left_anti")
+        gone = old.join(new, "pkey", "left_anti").select("pkey", step.alias("step"))
+        found = class_matches(self._read("notices", NOTICE), born).select("pkey", "program_id", "match_score", step.alias("step"))
+        self._commit(f"profiles {version}", {"classes": new.select(*[c.split()[0] for c in CLASS.split(", ")]), "matches": found, "ended": gone})
+
+    def on_notices(self, notices: DataFrame, name: str) -> None:
+        """Match a batch of notices; a batch that was taken is skipped."""
+        if any(s["name"] == f"notices {name}" for s in self._steps()):
+            return
+        rows = M.notice_classes(notices)
+        found = class_matches(rows, self._classes()).select("pkey", "program_id", "match_score", F.lit(len(self._steps())).alias("step"))
+        self._commit(f"notices {name}", {"notices": rows, "matches": found})
+
+    def follow(self, notices_stream: DataFrame, profile_root: str, checkpoint: str):
+        """Run the stream; each micro-batch first takes the newest profile snapshot under ``profile_root``."""
+        def step(batch_df: DataFrame, batch_id: int):
+            self.refresh(profile_root)
+            self.on_notices(batch_df, str(batch_id))
+
+        return _in_batches(notices_stream, step, checkpoint)
+
+    def refresh(self, profile_root: str) -> None:
+        """Take the newest profile snapshot, also when no notice has come."""
+        path = latest_snapshot(self.spark, profile_root)
+        if path is not None:
+            self.on_profiles(self.spark.read.parquet(path), path.rsplit("/", 1)[1])
+
+    def matches(self) -> DataFrame:
+        """(program_id, pkey, match_score, profiles) of the current signatures."""
+        ended = self._read("ended", "pkey string, step int").groupBy("pkey").agg(F.max("step").alias("end"))
+        rows = self._read("matches", "pkey string, program_id long, match_score int, step int").join(ended, "pkey", "left")
+        rows = rows.where(F.col("end").isNull() | (F.col("step") >= F.col("end")))
+        return rows.join(self._classes().select("pkey", "profiles"), "pkey").select("program_id", "pkey", "match_score", "profiles")
+
+
+CLASS = "pkey string, p_segs array<string>, p_stages array<string>, p_ind string, profiles long"
+NOTICE = "program_id long, t_segs array<string>, t_stages array<string>, t_inds array<string>"
+
+
 def _empty_state(batch_df: DataFrame, keys, fields) -> DataFrame:
     cols = [F.col(k) for k in keys] + [F.col(f) for f in fields] + [
         F.col("content_hash"), F.lit(None).cast("timestamp").alias("created_at"),
         F.lit(None).cast("timestamp").alias("last_seen_at"), F.lit(None).cast("timestamp").alias("synced_at"),
-        F.lit(None).cast("boolean").alias("is_open")]
+        F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("boolean").alias("is_open")]
     return batch_df.select(*cols).limit(0)

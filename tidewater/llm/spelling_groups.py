@@ -6,9 +6,10 @@ dimensions are dealt into PARTS parts; two vectors that differ in at most two di
 parts entirely.  Each word therefore enumerates one exact signature for every choice of PARTS - 2 parts, the
 signatures meet in an equi-join, and each pair is verified by its edit distance.  No pair of near words is missed.
 
-A pair that agrees on more parts than needed would meet more than once; it is taken in the first signature that
-both share only, so pairs need no distinct step.  The join's sides are read from a written table, which lets
-adaptive execution split the partition of a frequent signature.
+Anagrams and words of the same syllables have near multisets too.  One edit leaves a word's first letters or its last
+ones alone (of LETTERS letters, the first half or the others), so a signature is joined once together with the
+beginning and once with the end; that misses no pair either.  The join's sides are read from a written table, which
+lets adaptive execution split the partition of a frequent signature.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from tidewater.llm.shared import Scratch, list_array, mix, signed, text_or_empty
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts of the dimensions, differing dimensions of near words, and the choices of parts that stay.
-PARTS, DISTANCE = 7, 2
+PARTS, DISTANCE = 4, 2
 CHOICES = list(combinations(range(PARTS), PARTS - DISTANCE))
 LETTERS, OCCURRENCES, LEAST_RATIO = 7, 2, 10
 DIVISOR = 31
@@ -70,44 +71,50 @@ def part_sums(words: list[str]) -> np.ndarray:
     return out
 
 
-def signatures(words: DataFrame) -> DataFrame:
-    """(word, sums, choice, sig): one row per word and choice of parts."""
+def affixes(words: list[str], letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the first letters // 2 code points and of the last letters - letters // 2."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(size)
+    head, tail = np.zeros(len(words), np.uint64), np.full(len(words), 1, np.uint64)
+    for i in range(letters // 2):
+        head = mix(head * np.uint64(0x9E3779B97F4A7C15) + flat[end - size + i] + np.uint64(1))
+    for i in range(letters - letters // 2):
+        tail = mix(tail * np.uint64(0x9E3779B97F4A7C15) + flat[end - 1 - i] + np.uint64(1))
+    return head, tail
+
+
+def signatures(words: DataFrame, letters: int = LETTERS) -> DataFrame:
+    """(word, sig): two rows per word and choice of parts, with the word's beginning and with its end; odd for ends."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
                 some = batch.slice(at, 1 << 14)
                 text = some.column(0).to_pylist()
-                sums = part_sums(text)
-                sigs = np.empty((len(text), len(CHOICES)), np.uint64)
+                sums, sides = part_sums(text), affixes(text, letters)
+                sigs = np.empty((len(text), 2 * len(CHOICES)), np.uint64)
                 for c, choice in enumerate(CHOICES):
                     h = np.full(len(text), c + 1, np.uint64)
                     for p in choice:
                         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + sums[:, p])
-                    sigs[:, c] = h
-                flat = lambda a: list_array(signed(np.ascontiguousarray(a).ravel()), np.full(len(text), a.shape[1]), pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0), flat(sums), flat(sigs)], names=["word", "sums", "sigs"])
+                    for side, affix in enumerate(sides):
+                        sigs[:, 2 * c + side] = mix(h ^ affix) & ~np.uint64(1) | np.uint64(side)
+                counts = np.full(len(text), sigs.shape[1])
+                yield pa.RecordBatch.from_arrays([some.column(0), list_array(signed(sigs.ravel()), counts, pa.int64())], names=["word", "sigs"])
 
-    out = words.select("word").mapInArrow(run, "word string, sums array<long>, sigs array<long>")
-    return out.select("word", "sums", F.posexplode("sigs").alias("choice", "sig"))
+    return words.select("word").mapInArrow(run, "word string, sigs array<long>").select("word", F.explode("sigs").alias("sig"))
 
 
-def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), each pair of words one edit apart once, a < b.
+def near_pairs(words: DataFrame, scratch: Scratch, letters: int = LETTERS) -> DataFrame:
+    """(a, b), each pair of words one edit apart once, a < b; words of at least ``letters`` code points.
 
-    Candidates are compared by length and first shared choice while they are joined; the edit distance counts code points.
+    Candidates are verified by their edit distance in code points while they are joined, so only near pairs leave the join.
     """
-    sigs = scratch.write(signatures(words), "signatures")
-    often = scratch.write(sigs.groupBy("choice", "sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("choice", "sig"), "shared")
-    kept = scratch.write(sigs.join(often, ["choice", "sig"], "left_semi"), "kept")
-    scratch.drop(sigs, often)
-    a = kept.select("choice", "sig", F.col("word").alias("a"), F.col("sums").alias("sa"))
-    b = kept.select("choice", "sig", F.col("word").alias("b"), F.col("sums").alias("sb"))
-    # the choices are in lexicographic order, so the first shared one holds the first PARTS - DISTANCE equal parts
-    same = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.get("sa", p) == F.get("sb", p))
-    mine = F.get(F.array(*[F.array(*[F.lit(p) for p in c]) for c in CHOICES]), F.col("choice"))
-    pairs = a.join(b, ["choice", "sig"]).where("a < b").where(F.abs(F.length("a") - F.length("b")) <= 1)
-    pairs = pairs.where(F.levenshtein("a", "b", 1) == 1).where(F.slice(same, 1, PARTS - DISTANCE) == mine)
-    return pairs.select("a", "b")
+    sigs = scratch.write(signatures(words, letters), "signatures")
+    a, b = sigs.select("sig", F.col("word").alias("a")), sigs.select("sig", F.col("word").alias("b"))
+    twice = (F.col("sig").bitwiseAND(1) == 1) & (F.substring("a", 1, letters // 2) == F.substring("b", 1, letters // 2))
+    pairs = a.join(b, "sig").where("a < b").where(F.abs(F.length("a") - F.length("b")) <= 1).where(~twice).where(F.levenshtein("a", "b", 1) == 1)
+    return pairs.select("a", "b").distinct()
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: int = LEAST_RATIO) -> DataFrame:

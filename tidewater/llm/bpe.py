@@ -8,6 +8,7 @@ merges leave the array.  Work is per row, so Spark deals it out without any shuf
 """
 from __future__ import annotations
 
+import hashlib
 import json
 
 import numpy as np
@@ -22,7 +23,9 @@ from tidewater.llm.shared import list_array, string_blocks, text_or_empty
 _WS = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+|[" + _WS + r"]+(?![^" + _WS + r"])|[" + _WS + r"]+")
 #: Distinct words that a worker remembers before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
+#: Bytes of text, or ids, that one numpy step handles (a longer single row is handled alone).
+BLOCK_IDS = 1 << 18
 NONE = np.iinfo(np.int64).max
 
 
@@ -104,6 +107,15 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return ids[order], np.bincount(word, minlength=len(words))
 
+    def decode_rows(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each row's ids; ids outside the vocabulary have none."""
+        size = len(self.token_at) - 1
+        known = np.clip(ids, 0, size - 1)
+        n = np.where((ids >= 0) & (ids < size), self.token_at[known + 1] - self.token_at[known], 0)
+        flat = gather(self.token_bytes, self.token_at[known], n).tobytes()
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
     def encoder(self):
         """A function from a list of texts to (flat ids, number of ids of each text)."""
         words_of = regex.compile(PATTERN).findall
@@ -202,33 +214,43 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_
     rows = tokens.select(*[tokens[c] for c in rest], F.coalesce(tokens[ids_col], F.array().cast("array<int>")).alias("\1ids"))
 
     def run(batches):
-        at, raw = vocabulary.token_at, vocabulary.token_bytes
-        size = len(at) - 1
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            n = np.where((ids >= 0) & (ids < size), at[np.clip(ids, 0, size - 1) + 1] - at[np.clip(ids, 0, size - 1)], 0)
-            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-            marks = np.concatenate([[0], np.cumsum(counts)])
-            texts = []
-            for i in range(len(counts)):
-                a, b = marks[i], marks[i + 1]
-                k = ids[a:b]
-                texts.append(gather(raw, at[np.clip(k, 0, size - 1)], n[a:b]).tobytes().decode("utf-8", "replace") if ends[i + 1] > ends[i] else "")
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], out_col])
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            row = 0
+            while row < batch.num_rows:
+                # rows whose ids fit into one block; a longer row alone
+                stop = max(int(np.searchsorted(ends, ends[row] + BLOCK_IDS, "right")) - 1, row + 1)
+                ids = lists.values[ends[row]:ends[stop]].to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = [t.decode("utf-8", "replace") for t in vocabulary.decode_rows(ids, np.diff(ends[row:stop + 1]))]
+                cols = [batch.column(i).slice(row, stop - row) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], out_col])
+                row = stop
 
     from pyspark.sql.types import StringType, StructField, StructType
     return rows.mapInArrow(run, StructType([*tokens.schema.fields, StructField(out_col, StringType())]))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, see ``encode`` and ``decode``.
+
+    One step encodes a block of texts, decodes the ids and hashes both, so a task has one Python worker and only the
+    digests leave it.  Null counts as empty.
+    """
+    def run(batches):
+        encoder = vocabulary.encoder()
+        for batch in batches:
+            for row, offs, data in string_blocks(batch.column(1), BLOCK_IDS):
+                raw = data.tobytes()
+                flat, counts = encoder([raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])
+                ends = np.cumsum(counts).tolist()
+                ids = [hashlib.sha256(",".join(map(str, flat[b - n:b].tolist())).encode()).hexdigest() for b, n in zip(ends, counts.tolist())]
+                texts = [hashlib.sha256(t.decode("utf-8", "replace").encode()).hexdigest() for t in vocabulary.decode_rows(flat, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(ids)), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)],
+                                                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:

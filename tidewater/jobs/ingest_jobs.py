@@ -145,6 +145,27 @@ def i6_run_summary(spark, sf):
     return I.run_summary(counts, batch(rejects), "batch")
 
 
+#: A run of the ledger: one source's rows of an hour.
+RUN_SQL = "strftime(date_trunc('hour', fetched_at), '%Y-%m-%d %H') || ' ' || source_id"
+
+
+@job("i6_run_ledger", sql=FEED_SQL + f""",
+ran AS (SELECT {RUN_SQL} AS run_id, source_id, source_doc_id, fetched_at, seq, content_hash,
+               lag(content_hash) OVER (PARTITION BY source_id, source_doc_id ORDER BY fetched_at, seq) IS DISTINCT FROM content_hash AS written FROM feed),
+m AS (SELECT run_id, count(*) AS merged, count(*) FILTER (WHERE written) AS upserted FROM ran GROUP BY 1),
+b AS (SELECT {RUN_SQL} AS run_id, count(*) FILTER (WHERE reject = 'invalid') AS invalid, count(*) FILTER (WHERE reject = 'error') AS errors,
+             'no amount in ' || arg_min(payload, seq) FILTER (WHERE reject = 'error') AS first_error FROM judged WHERE reject IS NOT NULL GROUP BY 1),
+j AS (SELECT run_id, coalesce(merged, 0) AS merged, coalesce(upserted, 0) AS upserted, coalesce(invalid, 0) AS invalid, coalesce(errors, 0) AS errors, first_error
+      FROM m FULL OUTER JOIN b USING (run_id))
+SELECT run_id, merged + invalid + errors AS fetched, upserted, merged - upserted + invalid AS skipped, errors, first_error,
+       CASE WHEN errors = 0 THEN 'success' WHEN upserted > 0 THEN 'partial' ELSE 'failed' END AS status FROM j""")
+def i6_run_ledger(spark, sf):
+    """One ledger row per run (a source's rows of an hour) of the whole feed, from an empty state."""
+    feed, rejects = normalized_feed(spark, sf)
+    run = F.concat(F.date_format(F.date_trunc("hour", "fetched_at"), "yyyy-MM-dd HH"), F.lit(" "), F.col("source_id"))
+    return I.run_ledger(feed.withColumn("run_id", run), rejects.withColumn("run_id", run), KEYS, ORDER)
+
+
 @job("i7_rejects", sql=FEED_SQL + """
 SELECT source_id, source_doc_id, seq, reject, CASE WHEN reject = 'error' THEN 'no amount in ' || payload END AS error
 FROM judged WHERE reject IS NOT NULL""")

@@ -122,7 +122,7 @@ def landed_rows(spark, sf):
 
 def canonical(spark, sf):
     startup, biz, aggregate = landed_rows(spark, sf)
-    return feeds.union_sources(feeds.normalize_startup(startup), feeds.normalize_biz(biz), feeds.normalize_aggregate(aggregate))
+    return feeds.union_sources(feeds.normalize_startup(startup, C), feeds.normalize_biz(biz, C), feeds.normalize_aggregate(aggregate, C))
 
 
 @job("s1_landed_rows", sql="""

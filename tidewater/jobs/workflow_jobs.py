@@ -81,7 +81,7 @@ FROM profiles p FULL OUTER JOIN last l ON p.user_id = l.o_custkey""")
 def p1_merge_profiles(spark, sf):
     state = profiles(spark, sf).select("user_id", "biz_name", "founded_year", "industry_code", F.lit(None).cast("string").alias("region_sido"),
                                        F.lit(None).cast("int").alias("employee_cnt"), "segments")
-    return W.merge_profiles(state, changes(spark, sf)).withColumn("segments", F.array_join("segments", "|"))
+    return W.merge_profiles(state, changes(spark, sf), W.PROFILE_SEGMENTS).withColumn("segments", F.array_join("segments", "|"))
 
 
 def named(spark, sf):
@@ -273,13 +273,13 @@ p AS (SELECT id, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS st, a
 SELECT o_orderkey AS id, coalesce(st, 'pending') AS status, coalesce(me, o_orderpriority) AS memo FROM orders LEFT JOIN p ON p.id = o_orderkey""")
 def p13_apply_patches(spark, sf):
     state = T.load(spark, sf, "orders", ["o_orderkey", "o_orderpriority"]).select(F.col("o_orderkey").alias("id"), F.lit("pending").alias("status"), F.col("o_orderpriority").alias("memo"))
-    return W.apply_patches(state, patches(spark, sf))[0]
+    return W.apply_patches(state, patches(spark, sf), memo_chars=W.MEMO_CHARS)[0]
 
 
 @job("p13_rejected_patches", sql=with_ctes(PATCH) + "SELECT id, CAST(seq AS BIGINT) AS seq, status, memo FROM patch WHERE status = 'lost'")
 def p13_rejected_patches(spark, sf):
     state = T.load(spark, sf, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("id"), F.lit("pending").alias("status"), F.lit("").alias("memo"))
-    return W.apply_patches(state, patches(spark, sf))[1].withColumn("seq", F.col("seq").cast("long"))
+    return W.apply_patches(state, patches(spark, sf), memo_chars=W.MEMO_CHARS)[1].withColumn("seq", F.col("seq").cast("long"))
 
 
 LEADS = """
@@ -302,7 +302,7 @@ TRIMMED = "regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g')"
 SELECT id, type, {TRIMMED.format('name')} AS name, phone, array_to_string(interests[1:10], '|') AS interests FROM leads
 WHERE type IN ('예비창업자', '소상공인') AND length({TRIMMED.format('name')}) BETWEEN 1 AND 50 AND starts_with(phone, '+') AND length(coalesce(message, '')) <= 2000""")
 def p14_valid_leads(spark, sf):
-    return W.validate_submissions(leads(spark, sf))[0].select("id", "type", "name", "phone", F.array_join("interests", "|").alias("interests"))
+    return W.validate_submissions(leads(spark, sf), W.INTERESTS)[0].select("id", "type", "name", "phone", F.array_join("interests", "|").alias("interests"))
 
 
 @job("p14_rejected_leads", sql=with_ctes(LEADS) + f"""
@@ -310,7 +310,7 @@ SELECT id, array_to_string(list_filter([CASE WHEN type IN ('예비창업자', '
   CASE WHEN NOT starts_with(phone, '+') THEN 'phone' END, CASE WHEN length(coalesce(message, '')) > 2000 THEN 'message' END], lambda x: x IS NOT NULL), '|') AS reasons
 FROM leads WHERE NOT (coalesce(type IN ('예비창업자', '소상공인'), false) AND length({TRIMMED.format('name')}) BETWEEN 1 AND 50 AND starts_with(phone, '+') AND length(coalesce(message, '')) <= 2000)""")
 def p14_rejected_leads(spark, sf):
-    return W.validate_submissions(leads(spark, sf))[1].select("id", F.array_join("reasons", "|").alias("reasons"))
+    return W.validate_submissions(leads(spark, sf), W.INTERESTS)[1].select("id", F.array_join("reasons", "|").alias("reasons"))
 
 
 @job("p15_items_valid", sql=with_ctes(PROFILES_CTE, ITEMS) + r"""

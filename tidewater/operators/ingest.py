@@ -206,3 +206,29 @@ def portal_summary(state: DataFrame, portal="source_portal") -> DataFrame:
     """Ingested notices per portal: total and open."""
     return state.groupBy(portal).agg(F.count(F.lit(1)).alias("total"),
                                      F.count_if(F.col("is_open")).alias("open"))
+
+
+def run_ledger(good: DataFrame, rejects: DataFrame, keys: list[str], order: list[str], run: str = "run_id", seq: str = "seq") -> DataFrame:
+    """I6 over many runs in one job: one row per run, as if the runs had been replayed one after the other.
+
+    ``good`` and ``rejects`` (from ``split_valid``) carry ``run``; runs follow each other in its order.  A row counts as
+    upserted if its hash differs from the one before it; the first row of a key in a run is compared with the last row of
+    that key in any earlier run, so the state of all runs is carried along.  Rows are compared inside (key, run)
+    first; only one row per key and run takes part in the second step.
+    """
+    inside = Window.partitionBy(*keys, run).orderBy(*order)
+    g = good.withColumn("_before", F.lag("content_hash").over(inside))
+    per = g.groupBy(*keys, run).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_before").isNotNull() & (F.col("_before") != F.col("content_hash"))).alias("inside"),
+        F.min_by("content_hash", F.struct(*order)).alias("first"), F.max_by("content_hash", F.struct(*order)).alias("last"))
+    prior = F.lag("last").over(Window.partitionBy(*keys).orderBy(run))
+    per = per.withColumn("written", F.col("inside") + (~prior.eqNullSafe(F.col("first"))).cast("int"))
+    merged = per.groupBy(run).agg(F.sum("n").alias("merged"), F.sum("written").alias("upserted"))
+    bad = rejects.groupBy(run).agg(
+        F.count_if(F.col("reject") == "invalid").alias("invalid"), F.count_if(F.col("reject") == "error").alias("errors"),
+        F.min_by(F.col("error"), F.when(F.col("reject") == "error", F.col(seq))).alias("first_error"))
+    j = merged.join(bad, run, "full_outer").fillna(0, ["merged", "upserted", "invalid", "errors"])
+    status = F.when(F.col("errors") == 0, "success").when(F.col("upserted") > 0, "partial").otherwise("failed")
+    return j.select(run, (F.col("merged") + F.col("invalid") + F.col("errors")).cast("long").alias("fetched"), F.col("upserted").cast("long").alias("upserted"),
+                    (F.col("merged") - F.col("upserted") + F.col("invalid")).cast("long").alias("skipped"), F.col("errors").cast("long").alias("errors"),
+                    "first_error", status.alias("status"))

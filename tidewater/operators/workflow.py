@@ -35,9 +35,9 @@ def _last(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_l")).select(key, "_l.*")
 
 
-def merge_profiles(state: DataFrame, changes: DataFrame, segments: int | None = PROFILE_SEGMENTS) -> DataFrame:
+def merge_profiles(state: DataFrame, changes: DataFrame, segments: int | None = None) -> DataFrame:
     """Full-row upsert by user_id; the last change of a user wins; blanks become NULL, the employee
-    count is the text's leading whole number (0 counts as none), the first ``segments`` segments stay.
+    count is the text's leading whole number (0 counts as none), all segments stay, or the first ``segments``.
 
     changes: user_id, biz_name, founded_year, industry_code, region_sido, employees (text), segments, seq
     """
@@ -170,7 +170,7 @@ def snapshot_context(requests: DataFrame, profiles: DataFrame, users: DataFrame)
     return j.withColumn("context", F.to_json(F.struct("profile", "user"), {"ignoreNullFields": "false"})).drop("profile", "user")
 
 
-def apply_patches(state: DataFrame, patches: DataFrame, seq: str = "seq", allowed=STATUSES, memo_chars: int | None = MEMO_CHARS) -> tuple[DataFrame, DataFrame]:
+def apply_patches(state: DataFrame, patches: DataFrame, seq: str = "seq", allowed=STATUSES, memo_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Partial updates of status and memo; a patch with an unknown status is rejected whole (second result).
 
     Several patches of one id act in order: each field takes its last value.
@@ -182,8 +182,8 @@ def apply_patches(state: DataFrame, patches: DataFrame, seq: str = "seq", allowe
     return out, patches.where(~good)
 
 
-def validate_submissions(leads: DataFrame, interests: int | None = INTERESTS) -> tuple[DataFrame, DataFrame]:
-    """(valid leads, rejects with ``reasons``); trimmed name and phone, the first ``interests`` interests."""
+def validate_submissions(leads: DataFrame, interests: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid leads, rejects with ``reasons``); trimmed name and phone, all interests or the first ``interests``."""
     size = lambda c, lo, hi: F.coalesce(F.length(c), F.lit(0)).between(lo, hi)
     name, phone = strip(F.coalesce("name", F.lit(""))), strip(F.coalesce("phone", F.lit("")))
     reasons = F.array_compact(F.array(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import korean as K
-from tidewater.functions.korean import CATALOGUE_TEXT, TextLimits, cut, pick
+from tidewater.functions.korean import TextLimits, cut, pick
 
 # --- fixed values: where an envelope may hold its rows, in the order of trial ('$' is the bare array) ---
 STARTUP_PATHS = ["$", "$.data", "$.response.body.items", "$.response.body.items.item", "$.body.items", "$.items"]
@@ -85,7 +85,7 @@ def _or(c: Column, other) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), other if isinstance(other, Column) else F.lit(other))
 
 
-def normalize_startup(rows: DataFrame, limits: TextLimits = CATALOGUE_TEXT) -> DataFrame:
+def normalize_startup(rows: DataFrame, limits: TextLimits = TextLimits()) -> DataFrame:
     """S6, start-up portal: dates from their own fields."""
     f = _classified(fields_of(rows, STARTUP_FIELDS), "f_body", F.concat_ws(" ", "f_target", "f_region"))
     return _canonical(
@@ -95,7 +95,7 @@ def normalize_startup(rows: DataFrame, limits: TextLimits = CATALOGUE_TEXT) -> D
         F.col("f_body"), F.lit(None).cast("string"), limits)
 
 
-def normalize_biz(rows: DataFrame, limits: TextLimits = CATALOGUE_TEXT) -> DataFrame:
+def normalize_biz(rows: DataFrame, limits: TextLimits = TextLimits()) -> DataFrame:
     """S6, business portal: one period text, ids without their zero-padded prefix."""
     f = _classified(fields_of(rows, BIZ_FIELDS), "f_body", F.concat_ws(" ", "f_target", "f_region"))
     f = f.withColumn("_period", K.split_period(F.col("f_period")))
@@ -106,7 +106,7 @@ def normalize_biz(rows: DataFrame, limits: TextLimits = CATALOGUE_TEXT) -> DataF
         F.col("f_body"), F.lit(None).cast("string"), limits)
 
 
-def normalize_aggregate(rows: DataFrame, limits: TextLimits = CATALOGUE_TEXT) -> DataFrame:
+def normalize_aggregate(rows: DataFrame, limits: TextLimits = TextLimits()) -> DataFrame:
     """S6, aggregator: agency recovered, labelled lines classify, a structured deadline beats the text."""
     f = fields_of(rows, AGGREGATE_FIELDS)
     f = f.withColumn("_text", _or(F.col("f_body"), F.col("f_summary")))

@@ -2,10 +2,12 @@
 import csv
 import datetime as dt
 import glob
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions.korean import CATALOGUE_TEXT
 from tidewater.jobs import ingest_jobs as J
 from tidewater.operators import ingest as I
 from tidewater.operators import workflow as W
@@ -81,3 +83,27 @@ def test_scratch_tables_can_be_dropped(spark):
     s.close()
     with pytest.raises(Exception):
         spark.read.parquet(t._scratch_path).count()
+
+
+def test_nothing_is_cut_by_default(spark):
+    """A body of 3,000 characters and two ids that differ after 60 stay whole; bounds cut only where they are passed."""
+    ids = ["n" * 60 + x for x in "ab"]
+    rows = [(json.dumps({"data": [{"id": i, "pbancSn": i, "biz_pbanc_nm": "title " * 60, "pbanc_ctnt": "b" * 3000}]}),) for i in ids]
+    fields = feeds.read_landed(spark.createDataFrame(rows, "payload string"), "payload", feeds.STARTUP_PATHS)
+    whole, bounded = feeds.normalize_startup(fields).collect(), feeds.normalize_startup(fields, CATALOGUE_TEXT).collect()
+    assert sorted(r.program_id for r in whole) == [f"KS-{i}" for i in ids] and {len(r.summary) for r in whole} == {3000}
+    assert {len(r.summary) for r in bounded} == {500} and all(len(r.name) > 200 for r in whole)
+    memo = spark.createDataFrame([(1, 1, "pending", "m" * 6000)], "id int, seq int, status string, memo string")
+    out, _ = W.apply_patches(spark.createDataFrame([(1, "pending", "")], "id int, status string, memo string"), memo)
+    assert len(out.first().memo) == 6000
+
+
+def test_ledger_over_runs_carries_the_state(spark):
+    day = dt.datetime(2024, 1, 1)
+    good = spark.createDataFrame([("r1", "a", day, 1, "A"), ("r1", "a", day, 2, "B"), ("r2", "a", day, 3, "B"), ("r2", "b", day, 4, "X"), ("r4", "a", day, 5, "A"),
+                                  ("r6", "b", day, 6, "X")], "run_id string, k string, at timestamp, seq int, content_hash string")
+    bad = spark.createDataFrame([("r2", 7, "error", "second"), ("r2", 5, "error", "first"), ("r3", 8, "error", "only"), ("r4", 9, "invalid", None), ("r5", 9, "invalid", None),
+                                 ("r6", 9, "error", "late"), ("r7", 9, "invalid", None)], "run_id string, seq int, reject string, error string")
+    got = [tuple(r) for r in I.run_ledger(good, bad, ["k"], ["at", "seq"]).orderBy("run_id").collect()]
+    assert got == [("r1", 2, 2, 0, 0, None, "success"), ("r2", 4, 1, 1, 2, "first", "partial"), ("r3", 1, 0, 0, 1, "only", "failed"), ("r4", 2, 1, 1, 0, None, "success"),
+                   ("r5", 1, 0, 1, 0, None, "success"), ("r6", 2, 0, 1, 1, "late", "failed"), ("r7", 1, 0, 1, 0, None, "success")]

@@ -21,7 +21,7 @@ def key(x):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries()[name](spark, SF)
     cols = sorted(df.columns)

@@ -1,5 +1,6 @@
 """Exact and near-dedup, and repeated substrings, against brute force."""
 import hashlib
+import math
 import re
 
 import pytest
@@ -92,6 +93,32 @@ def test_large_group_of_near_copies_is_one_component(spark):
     assert {r.component_id for r in near_dup.near_duplicates(df, words=5).collect()} == {1}
 
 
+def test_copies_of_one_text_that_link_only_beside_it(spark):
+    """Families share changes of a common text: members of one family are linked, families mostly are not."""
+    base = [f"token{i}" for i in range(100)]
+    rows = [(1, " ".join(base))]
+    for family in range(12):
+        w = list(base)
+        for j in range(family % 3, 100, 12):
+            w[j] = f"family{family}x{j}"
+        for n in range(6):
+            v = list(w)
+            for j in range(n, 4 * (n % 3), 3):
+                v[j] = f"own{family}x{n}x{j}"
+            rows.append((10 * family + n + 2, " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, words=2).collect()]
+    want = brute_components(rows, 2, 80)
+    assert sorted(got) == sorted(want) and len({c for *_, c in want}) > 2
+
+
+@pytest.mark.parametrize("size", [1, 16, 64])
+def test_sketch_drops_a_linked_pair_with_the_stated_probability_at_most(size):
+    least = near_dup.least_shared(size, 80)
+    tail = [sum(math.comb(size, i) * .8 ** i * .2 ** (size - i) for i in range(cut)) for cut in (least, least + 1)]
+    assert tail[0] <= near_dup.MISS < tail[1]
+
+
 def test_exact_groups(docs, no_docs, spark):
     rows = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in docs.collect()]
     want = []

@@ -284,7 +284,7 @@ def p13_rejected_patches(spark, sf):
 
 LEADS = """
 leads AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN '예비창업자' WHEN 'de' THEN '소상공인' ELSE lang END AS type, split_part(text, '.', 1) AS name,
-    CASE WHEN length(text) % 5 = 0 THEN source ELSE '+82 10-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') END AS phone, split_part(text, chr(10), 1) AS message, source AS company_name, string_split(split_part(text, '.', 2), ' ') AS interests FROM documents)"""
+    CASE WHEN length(text) % 5 = 0 THEN source ELSE '+82 10-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') END AS phone, split_part(text, chr(10), 1) AS message, source AS company_name, split_part(text, '.', 2) AS consult_type, string_split(split_part(text, '.', 2), ' ') AS interests FROM documents)"""
 
 
 def leads(spark, sf):
@@ -292,7 +292,7 @@ def leads(spark, sf):
     part = lambda sep, i: F.get(F.split("text", sep), F.lit(i))
     return d.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "예비창업자").when(F.col("lang") == "de", "소상공인").otherwise(F.col("lang")).alias("type"),
                     part("[.]", 0).alias("name"), F.when(F.length("text") % 5 == 0, F.col("source")).otherwise(F.concat(F.lit("+82 10-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))).alias("phone"),
-                    part("\n", 0).alias("message"), F.col("source").alias("company_name"), F.split(F.coalesce(part("[.]", 1), F.lit("")), " ").alias("interests"))
+                    part("\n", 0).alias("message"), F.col("source").alias("company_name"), part("[.]", 1).alias("consult_type"), F.split(F.coalesce(part("[.]", 1), F.lit("")), " ").alias("interests"))
 
 
 TRIMMED = "regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g')"
@@ -300,15 +300,18 @@ TRIMMED = "regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g')"
 
 @job("p14_valid_leads", sql=with_ctes(LEADS) + f"""
 SELECT id, type, {TRIMMED.format('name')} AS name, phone, array_to_string(interests[1:10], '|') AS interests FROM leads
-WHERE type IN ('예비창업자', '소상공인') AND length({TRIMMED.format('name')}) BETWEEN 1 AND 50 AND starts_with(phone, '+') AND length(coalesce(message, '')) <= 2000""")
+WHERE type IN ('예비창업자', '소상공인') AND length({TRIMMED.format('name')}) BETWEEN 1 AND 50 AND starts_with(phone, '+') AND length(coalesce(message, '')) <= 2000
+  AND length({TRIMMED.format('consult_type')}) <= 100""")
 def p14_valid_leads(spark, sf):
     return W.validate_submissions(leads(spark, sf), W.INTERESTS)[0].select("id", "type", "name", "phone", F.array_join("interests", "|").alias("interests"))
 
 
 @job("p14_rejected_leads", sql=with_ctes(LEADS) + f"""
 SELECT id, array_to_string(list_filter([CASE WHEN type IN ('예비창업자', '소상공인') THEN NULL ELSE 'type' END, CASE WHEN length({TRIMMED.format('name')}) NOT BETWEEN 1 AND 50 THEN 'name' END,
-  CASE WHEN NOT starts_with(phone, '+') THEN 'phone' END, CASE WHEN length(coalesce(message, '')) > 2000 THEN 'message' END], lambda x: x IS NOT NULL), '|') AS reasons
-FROM leads WHERE NOT (coalesce(type IN ('예비창업자', '소상공인'), false) AND length({TRIMMED.format('name')}) BETWEEN 1 AND 50 AND starts_with(phone, '+') AND length(coalesce(message, '')) <= 2000)""")
+  CASE WHEN NOT starts_with(phone, '+') THEN 'phone' END, CASE WHEN length(coalesce(message, '')) > 2000 THEN 'message' END,
+  CASE WHEN length({TRIMMED.format('consult_type')}) > 100 THEN 'consult_type' END], lambda x: x IS NOT NULL), '|') AS reasons
+FROM leads WHERE NOT (coalesce(type IN ('예비창업자', '소상공인'), false) AND length({TRIMMED.format('name')}) BETWEEN 1 AND 50 AND starts_with(phone, '+') AND length(coalesce(message, '')) <= 2000
+  AND length({TRIMMED.format('consult_type')}) <= 100)""")
 def p14_rejected_leads(spark, sf):
     return W.validate_submissions(leads(spark, sf), W.INTERESTS)[1].select("id", F.array_join("reasons", "|").alias("reasons"))
 

@@ -189,7 +189,8 @@ def validate_submissions(leads: DataFrame, interests: int | None = None) -> tupl
     reasons = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("type").isin(*LEAD_TYPES), F.lit(False)), F.lit("type")), F.when(~size(name, 1, 50), F.lit("name")),
         F.when(~phone.rlike(PHONE_RE), F.lit("phone")), F.when(~size(F.col("message"), 0, 2000), F.lit("message")),
-        F.when(~size(strip(F.coalesce("company_name", F.lit(""))), 0, 100), F.lit("company_name"))))
+        F.when(~size(strip(F.coalesce("company_name", F.lit(""))), 0, 100), F.lit("company_name")),
+        F.when(~size(strip(F.coalesce("consult_type", F.lit(""))), 0, 100), F.lit("consult_type"))))
     first = F.coalesce("interests", F.array().cast("array<string>"))
     j = leads.withColumns({"name": name, "phone": phone, "interests": first if interests is None else F.slice(first, 1, interests), "reasons": reasons})
     return j.where(F.size("reasons") == 0).drop("reasons"), j.where(F.size("reasons") > 0)

@@ -1,11 +1,10 @@
 """URL filter with redirect equivalence (native).
 
 A rule names a host suffix and a path prefix.  A url without a rule of its own
-takes the decision of its aliases: urls are joined by canonical links, client
-redirects and the trivial redirects of a site (scheme, fragment, tracking
-parameters, trailing slash), distributed connected components find the alias classes,
-and one blocked member blocks the members that no rule names.  An explicit allow
-always wins for the url that it names, and never spreads.
+takes the decision of its aliases: urls are joined by canonical links and redirects
+(those of a page's own html and, as a table, those that a crawl logged), distributed connected
+components find the alias classes, and one blocked member blocks the members that no
+rule names.  An explicit allow always wins for the url that it names, and never spreads.
 """
 from __future__ import annotations
 
@@ -71,30 +70,34 @@ def absolute(href, url):
              .otherwise(F.concat(F.when(base == root, F.concat(root, F.lit("/"))).otherwise(base), href)))
 
 
-def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) urls of canonical links, client redirects and trivial redirects."""
+def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", same_form: bool = False) -> DataFrame:
+    """(source, target) urls of canonical links and client redirects; with ``same_form`` also
+    an edge from every url to its ``canonical_url``, for sites known to redirect so."""
     url, html = F.col("url"), F.col("html")
     p = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where(url.contains("://"))
     link = F.nullif(F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1), F.lit(""))
     goto = F.nullif(F.regexp_extract(F.regexp_extract(html, _META, 0), _GOTO, 1), F.lit(""))
-    found = F.array(canonical_url(url), F.when(F.contains(html, F.lit("canonical")), absolute(link, url)),
-                    F.when(F.contains(F.lower(html), F.lit("refresh")), absolute(goto, url)))
-    return p.select(url.alias("source"), F.explode(found).alias("target")).where("target is not null")
+    lower = F.lower(html)
+    found = [F.when(F.contains(lower, F.lit("canonical")), absolute(link, url)), F.when(F.contains(lower, F.lit("refresh")), absolute(goto, url))]
+    if same_form:
+        found.append(canonical_url(url))
+    return p.select(url.alias("source"), F.explode(F.array(*found)).alias("target")).where("target is not null")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html",
-               rules=None, edges: DataFrame | None = None) -> DataFrame:
+               rules=None, edges: DataFrame | None = None, same_form: bool = False) -> DataFrame:
     """One row per page: (id, url, host, path, rule, verdict, decided_by, component).
 
     A null url, or one without ``://``, has empty host and path, joins no alias class and is
     allowed unless a rule fits.  A redirect target that is no page also counts as a
     member: a rule that blocks it blocks its aliases.  Urls are nodes by text: repeated urls,
     also under several ids, are one node.  ``decided_by`` is rule, alias or default.
-    ``edges`` (source, target) adds a crawl's redirect log.  An empty table gives no row.
+    ``edges`` (source, target) adds a crawl's redirect log, ``same_form`` the trivial redirects of
+    ``link_edges``.  Pages without any link keep their own decision.  An empty table gives no row.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "url-filter")
-    links = link_edges(pages, url_col, html_col) if html_col else None
+    links = link_edges(pages, url_col, html_col, same_form) if html_col else None
     if edges is not None:
         more = edges.select(F.col("source"), F.col("target"))
         links = more if links is None else links.union(more)
@@ -132,18 +135,12 @@ WITH p AS (SELECT page_id, url, html,
     coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 u AS (SELECT DISTINCT url, html FROM p WHERE url LIKE '%://%'),
-canon AS (SELECT url, 'https://' || translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_replace(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '/+$', '')
-    || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS target
-  FROM (SELECT url, list_filter(string_split(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '&'),
-          lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')) AS q FROM u)),
 named AS (SELECT url, regexp_extract(regexp_extract(html, '<link\b[^>]*?\brel\s*=\s*["'']?canonical\b["'']?[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') AS href FROM u
   UNION ALL SELECT url, regexp_extract(regexp_extract(html, '<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b["'']?[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is') FROM u),
 parts AS (SELECT url, href, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS root,
     regexp_extract(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '^(.*/)', 1, 's') AS folder FROM named WHERE href <> ''),
-edge AS (SELECT url AS a, target AS b FROM canon UNION
-  SELECT url, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'https:' || href
-     WHEN starts_with(href, '/') THEN root || href WHEN folder = '' THEN root || '/' || href ELSE root || folder || href END FROM parts),
+edge AS (SELECT url AS a, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'https:' || href
+     WHEN starts_with(href, '/') THEN root || href WHEN folder = '' THEN root || '/' || href ELSE root || folder || href END AS b FROM parts),
 node AS (SELECT a AS url FROM edge UNION SELECT b FROM edge),
 judged AS (SELECT url, (SELECT v FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
       ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS r(h, s, v)

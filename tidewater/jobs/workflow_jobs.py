@@ -60,28 +60,60 @@ names AS (SELECT c.*, coalesce(c.no = h.pick, false) AS selected FROM cand c LEF
 
 
 def changes(spark, sf):
-    o = T.load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"])
+    """Profile forms: one per order, its customer the user; odd orders leave the second half blank."""
+    o = T.load(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate"])
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    given = lambda c: F.when(key % 2 == 0, c).otherwise(F.lit(""))
     return o.select(
-        F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("biz_name"), F.when(F.col("o_orderstatus") == "O", "").otherwise(F.lit("2024")).alias("founded_year"),
-        F.col("o_orderstatus").alias("industry_code"), F.when(F.col("o_orderstatus") != "P", F.lit("")).otherwise(F.lit("서울")).alias("region_sido"),
+        F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("biz_name"), F.when(status == "O", "").otherwise(F.lit("2024")).alias("founded_year"),
+        status.alias("industry_code"), F.when(status != "P", F.lit("")).otherwise(F.lit("서울")).alias("region_sido"),
+        given(F.concat(F.lit("gu "), (key % 25).cast("string"))).alias("region_sigungu"), given(F.concat(F.floor(F.col("o_totalprice") / 50000).cast("string"), F.lit("억"))).alias("revenue_band"),
         F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit(" people")).alias("employees"),
-        F.split(F.repeat(F.concat(F.col("o_orderstatus"), F.lit(",")), (F.col("o_orderkey") % 12).cast("int")), ",").alias("segments"), F.col("o_orderkey").alias("seq"))
+        F.split(F.repeat(F.concat(status, F.lit(",")), (key % 12).cast("int")), ",").alias("segments"),
+        F.concat_ws(" ", "o_orderpriority", key.cast("string")).alias("biz_summary"), F.when(status == "F", "").otherwise(F.col("o_orderpriority")).alias("product_desc"),
+        given(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("core_tech"), F.when(status == "P", status).alias("competitive_edge"), key.alias("seq"))
 
 
-@job("p1_merge_profiles", sql=with_ctes(PROFILES_CTE) + """,
-last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1)
+LAST_FORM = """,
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1)"""
+
+
+def merged_profiles(spark, sf):
+    text = F.lit(None).cast("string")
+    state = profiles(spark, sf).select("user_id", "biz_name", "founded_year", "industry_code", text.alias("region_sido"), F.col("industry_code").alias("region_sigungu"),
+                                       F.lit(None).cast("int").alias("employee_cnt"), text.alias("revenue_band"), "segments", F.to_timestamp(F.lit("2023-01-01")).alias("updated_at"))
+    return W.merge_profiles(state, changes(spark, sf), NOW, W.PROFILE_SEGMENTS)
+
+
+@job("p1_merge_profiles", sql=with_ctes(PROFILES_CTE) + LAST_FORM + """
 SELECT coalesce(p.user_id, l.o_custkey) AS user_id, CASE WHEN l.r = 1 THEN o_orderpriority ELSE biz_name END AS biz_name,
   CASE WHEN l.r = 1 THEN CASE WHEN o_orderstatus = 'O' THEN NULL ELSE '2024' END ELSE founded_year END AS founded_year,
   CASE WHEN l.r = 1 THEN o_orderstatus ELSE industry_code END AS industry_code,
   CASE WHEN l.r = 1 AND o_orderstatus = 'P' THEN '서울' END AS region_sido,
+  CASE WHEN l.r IS NULL THEN industry_code WHEN o_orderkey % 2 = 0 THEN 'gu ' || CAST(o_orderkey % 25 AS VARCHAR) END AS region_sigungu,
   CASE WHEN l.r = 1 THEN nullif(CAST(floor(o_totalprice / 1000) AS INTEGER), 0) END AS employee_cnt,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(floor(o_totalprice / 50000) AS INTEGER) AS VARCHAR) || '억' END AS revenue_band,
   array_to_string(CASE WHEN l.r = 1 THEN string_split(repeat(o_orderstatus || ',', CAST(o_orderkey % 12 AS INTEGER)), ',')[1:9] ELSE segments END, '|') AS segments,
-  l.r IS NOT NULL AS touched
+  CASE WHEN l.r = 1 THEN TIMESTAMP '2024-03-01 00:00:00' ELSE TIMESTAMP '2023-01-01 00:00:00' END AS updated_at, l.r IS NOT NULL AS touched
 FROM profiles p FULL OUTER JOIN last l ON p.user_id = l.o_custkey""")
 def p1_merge_profiles(spark, sf):
-    state = profiles(spark, sf).select("user_id", "biz_name", "founded_year", "industry_code", F.lit(None).cast("string").alias("region_sido"),
-                                       F.lit(None).cast("int").alias("employee_cnt"), "segments")
-    return W.merge_profiles(state, changes(spark, sf), W.PROFILE_SEGMENTS).withColumn("segments", F.array_join("segments", "|"))
+    return merged_profiles(spark, sf).withColumn("segments", F.array_join("segments", "|"))
+
+
+@job("p1_merge_business", sql=with_ctes(PROFILES_CTE) + LAST_FORM + """,
+held AS (SELECT profile_id, biz_name AS biz_summary, industry_code AS product_desc, biz_name AS core_tech, industry_code AS competitive_edge FROM profiles WHERE profile_id % 3 > 0)
+SELECT coalesce(h.profile_id, l.o_custkey) AS profile_id,
+  CASE WHEN l.r = 1 THEN o_orderpriority || ' ' || CAST(o_orderkey AS VARCHAR) ELSE biz_summary END AS biz_summary,
+  CASE WHEN l.r IS NULL THEN product_desc WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS product_desc,
+  CASE WHEN l.r IS NULL THEN core_tech WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS core_tech,
+  CASE WHEN l.r IS NULL THEN competitive_edge WHEN o_orderstatus = 'P' THEN 'P' END AS competitive_edge
+FROM held h FULL OUTER JOIN (SELECT * FROM last WHERE o_custkey IN (SELECT user_id FROM profiles)) l ON h.profile_id = l.o_custkey""")
+def p1_merge_business(spark, sf):
+    """The business satellite of each saved profile; two thirds of the profiles have one already."""
+    p = profiles(spark, sf)
+    held = p.where("profile_id % 3 > 0").select("profile_id", F.col("biz_name").alias("biz_summary"), F.col("industry_code").alias("product_desc"),
+                                                F.col("biz_name").alias("core_tech"), F.col("industry_code").alias("competitive_edge"))
+    return W.merge_satellite(held, p, changes(spark, sf))
 
 
 def named(spark, sf):
@@ -270,10 +302,13 @@ def patches(spark, sf):
 @job("p13_apply_patches", sql=with_ctes(PATCH) + """,
 p AS (SELECT id, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS st, arg_max(memo, seq) FILTER (WHERE memo IS NOT NULL) AS me
       FROM patch WHERE status IS NULL OR status <> 'lost' GROUP BY 1)
-SELECT o_orderkey AS id, coalesce(st, 'pending') AS status, coalesce(me, o_orderpriority) AS memo FROM orders LEFT JOIN p ON p.id = o_orderkey""")
+SELECT o_orderkey AS id, coalesce(st, 'pending') AS status, coalesce(me, o_orderpriority) AS memo,
+  CASE WHEN st IS NOT NULL OR me IS NOT NULL THEN TIMESTAMP '2024-03-01 00:00:00' ELSE CAST(o_orderdate AS TIMESTAMP) END AS updated_at
+FROM orders LEFT JOIN p ON p.id = o_orderkey""")
 def p13_apply_patches(spark, sf):
-    state = T.load(spark, sf, "orders", ["o_orderkey", "o_orderpriority"]).select(F.col("o_orderkey").alias("id"), F.lit("pending").alias("status"), F.col("o_orderpriority").alias("memo"))
-    return W.apply_patches(state, patches(spark, sf), memo_chars=W.MEMO_CHARS)[0]
+    state = T.load(spark, sf, "orders", ["o_orderkey", "o_orderpriority", "o_orderdate"]).select(
+        F.col("o_orderkey").alias("id"), F.lit("pending").alias("status"), F.col("o_orderpriority").alias("memo"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+    return W.apply_patches(state, patches(spark, sf), NOW, memo_chars=W.MEMO_CHARS)[0]
 
 
 @job("p13_rejected_patches", sql=with_ctes(PATCH) + "SELECT id, CAST(seq AS BIGINT) AS seq, status, memo FROM patch WHERE status = 'lost'")

@@ -35,22 +35,36 @@ def _last(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_l")).select(key, "_l.*")
 
 
-def merge_profiles(state: DataFrame, changes: DataFrame, segments: int | None = None) -> DataFrame:
+#: Columns of a profile that a change replaces, and of its business satellite.
+PROFILE_FIELDS = ["biz_name", "founded_year", "industry_code", "region_sido", "region_sigungu", "employee_cnt", "revenue_band", "segments"]
+BUSINESS_FIELDS = ["biz_summary", "product_desc", "core_tech", "competitive_edge"]
+
+
+def merge_profiles(state: DataFrame, changes: DataFrame, now, segments: int | None = None) -> DataFrame:
     """Full-row upsert by user_id; the last change of a user wins; blanks become NULL, the employee
     count is the text's leading whole number (0 counts as none), all segments stay, or the first ``segments``.
+    ``updated_at`` moves to ``now`` for changed and new profiles only.
 
-    changes: user_id, biz_name, founded_year, industry_code, region_sido, employees (text), segments, seq
+    state: user_id, PROFILE_FIELDS, updated_at; changes: the same with employees (text) for employee_cnt, and seq
     """
-    fields = ["biz_name", "founded_year", "industry_code", "region_sido", "employee_cnt", "segments"]
     segs = F.coalesce("segments", F.array().cast("array<string>"))
-    c = _last(changes, "user_id", "seq").select(
-        "user_id", F.col("biz_name"), *[blank_to_null(f).alias(f) for f in ("founded_year", "industry_code", "region_sido")],
-        F.nullif(leading_int(F.col("employees")), F.lit(0)).alias("employee_cnt"),
-        (segs if segments is None else F.slice(segs, 1, segments)).alias("segments"))
-    c = c.select("user_id", F.struct(*fields).alias("_new"))
+    made = {"biz_name": F.col("biz_name"), "employee_cnt": F.nullif(leading_int(F.col("employees")), F.lit(0)),
+            "segments": segs if segments is None else F.slice(segs, 1, segments)}
+    c = _last(changes, "user_id", "seq").select("user_id", F.struct(*[made.get(f, blank_to_null(f)).alias(f) for f in PROFILE_FIELDS]).alias("_new"))
     j = state.join(c, "user_id", "full_outer")
-    return j.select("user_id", *[F.when(F.col("_new").isNotNull(), F.col("_new")[f]).otherwise(F.col(f)).alias(f) for f in fields],
-                    F.col("_new").isNotNull().alias("touched"))
+    touched = F.col("_new").isNotNull()
+    return j.select("user_id", *[F.when(touched, F.col("_new")[f]).otherwise(F.col(f)).alias(f) for f in PROFILE_FIELDS],
+                    F.when(touched, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at")).alias("updated_at"), touched.alias("touched"))
+
+
+def merge_satellite(state: DataFrame, profiles: DataFrame, changes: DataFrame, fields: list[str] = BUSINESS_FIELDS) -> DataFrame:
+    """The satellite row that is saved along with a profile, one per profile_id: the last change of a user replaces
+    the whole row, blanks become NULL.  ``profiles`` (user_id, profile_id) are those after the merge; a change of a user without a profile is not kept.
+    """
+    c = _last(changes.select("user_id", "seq", *fields), "user_id", "seq").join(profiles.select("user_id", "profile_id"), "user_id")
+    c = c.select("profile_id", F.struct(*[blank_to_null(f).alias(f) for f in fields]).alias("_new"))
+    j = state.join(c, "profile_id", "full_outer")
+    return j.select("profile_id", *[F.when(F.col("_new").isNotNull(), F.col("_new")[f]).otherwise(F.col(f)).alias(f) for f in fields])
 
 
 def profile_wide(profiles: DataFrame, overview: DataFrame, problem: DataFrame, differentiation: DataFrame, names: DataFrame) -> DataFrame:
@@ -170,15 +184,19 @@ def snapshot_context(requests: DataFrame, profiles: DataFrame, users: DataFrame)
     return j.withColumn("context", F.to_json(F.struct("profile", "user"), {"ignoreNullFields": "false"})).drop("profile", "user")
 
 
-def apply_patches(state: DataFrame, patches: DataFrame, seq: str = "seq", allowed=STATUSES, memo_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+def apply_patches(state: DataFrame, patches: DataFrame, now=None, seq: str = "seq", allowed=STATUSES, memo_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Partial updates of status and memo; a patch with an unknown status is rejected whole (second result).
 
-    Several patches of one id act in order: each field takes its last value.
+    Several patches of one id act in order: each field takes its last value.  ``updated_at`` moves to ``now`` where a
+    patch holds a field, also if its value is the old one; a patch without fields changes nothing.
+    Without ``now`` times are left alone.
     """
     good = F.col("status").isNull() | F.col("status").isin(*allowed)
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq)))
     p = patches.where(good).groupBy("id").agg(last("status").alias("_st"), cut(last("memo"), memo_chars).alias("_memo"))
-    out = state.join(p, "id", "left").withColumns({"status": F.coalesce("_st", "status"), "memo": F.coalesce("_memo", "memo")}).drop("_st", "_memo")
+    moved = F.col("_st").isNotNull() | F.col("_memo").isNotNull()
+    time = {} if now is None else {"updated_at": F.when(moved, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))}
+    out = state.join(p, "id", "left").withColumns({**time, "status": F.coalesce("_st", "status"), "memo": F.coalesce("_memo", "memo")}).drop("_st", "_memo")
     return out, patches.where(~good)
 
 

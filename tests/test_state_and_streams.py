@@ -107,3 +107,32 @@ def test_ledger_over_runs_carries_the_state(spark):
     got = [tuple(r) for r in I.run_ledger(good, bad, ["k"], ["at", "seq"]).orderBy("run_id").collect()]
     assert got == [("r1", 2, 2, 0, 0, None, "success"), ("r2", 4, 1, 1, 2, "first", "partial"), ("r3", 1, 0, 0, 1, "only", "failed"), ("r4", 2, 1, 1, 0, None, "success"),
                    ("r5", 1, 0, 1, 0, None, "success"), ("r6", 2, 0, 1, 1, "late", "failed"), ("r7", 1, 0, 1, 0, None, "success")]
+
+
+def test_profiles_and_their_satellites(spark):
+    """The last form of a user replaces the whole row of both tables; others and their times stay."""
+    import datetime as dt
+    now, old = dt.datetime(2024, 3, 1), dt.datetime(2023, 1, 1)
+    cols = "biz_name string, founded_year string, industry_code string, region_sido string, region_sigungu string, {}, revenue_band string, segments array<string>"
+    state = spark.createDataFrame([(1, "a", "2020", "x", "s", "g", 5, "r", ["A"], old), (2, "b", None, None, None, "h", None, None, ["B"], old)],
+                                  "user_id int, " + cols.format("employee_cnt int") + ", updated_at timestamp")
+    forms = spark.createDataFrame(
+        [(1, "first", "2021", "y", "s", "g", "12", "r", ["C"], 1, "sum", "d", "t", "e"), (1, "last", "", "y", "s", "", "0", "", None, 2, "new", "", None, "e"),
+         (3, "c", "2022", "z", "", "i", "7 people", "big", ["D"] * 12, 3, "", "d", "", "")],
+        "user_id int, " + cols.format("employees string") + ", seq int, biz_summary string, product_desc string, core_tech string, competitive_edge string")
+    got = {r.user_id: tuple(r) for r in W.merge_profiles(state, forms, now, 9).collect()}
+    assert got[1] == (1, "last", None, "y", "s", None, None, None, [], now, True)
+    assert got[2] == (2, "b", None, None, None, "h", None, None, ["B"], old, False)
+    assert got[3] == (3, "c", "2022", "z", None, "i", 7, "big", ["D"] * 9, now, True)
+    held = spark.createDataFrame([(10, "s", "p", "t", "e"), (20, "s2", None, None, None)], "profile_id int, biz_summary string, product_desc string, core_tech string, competitive_edge string")
+    ids = spark.createDataFrame([(1, 10), (2, 20)], "user_id int, profile_id int")
+    assert sorted(tuple(r) for r in W.merge_satellite(held, ids, forms).collect()) == [(10, "new", None, None, "e"), (20, "s2", None, None, None)]
+
+
+def test_patch_times(spark):
+    import datetime as dt
+    now, old = dt.datetime(2024, 3, 1), dt.datetime(2023, 1, 1)
+    state = spark.createDataFrame([(i, "pending", "m", old) for i in (1, 2, 3, 4)], "id int, status string, memo string, updated_at timestamp")
+    p = spark.createDataFrame([(1, 1, "pending", None), (2, 1, None, None), (3, 1, "lost", "x")], "id int, seq int, status string, memo string")
+    out, _ = W.apply_patches(state, p, now)
+    assert {r.id: r.updated_at for r in out.collect()} == {1: now, 2: old, 3: old, 4: old}

@@ -1,7 +1,8 @@
 """Search lexicons: user-supplied vocabularies the planner and expansion join against.
 
 A ``Lexicon`` holds plain Python lists (small, bounded by the vocabulary, not by
-the corpus).  ``frames()`` turns them into DataFrames that are broadcast-joined.
+the corpus).  ``frames()`` turns them into DataFrames that the planner joins; spelling fixes
+and word classes of any number are passed to it as tables instead.
 The default lexicon below is our own small English vocabulary for the driver
 corpus; callers pass their own (for example a Korean notice vocabulary).
 """
@@ -27,13 +28,18 @@ class Lexicon:
     domains: dict[str, tuple[str, list[str], list[str]]] = field(default_factory=dict)
     seeds: dict[str, list[str]] = field(default_factory=dict)      # item word -> domain keys
 
-    def frames(self, spark: SparkSession) -> "LexiconFrames":
-        return LexiconFrames(self, spark)
+    def frames(self, spark: SparkSession, spelling: DataFrame | None = None, classes: DataFrame | None = None) -> "LexiconFrames":
+        """``spelling`` (src, dst, no) and ``classes`` (word, cls: generic or intent) take the place of the lists."""
+        return LexiconFrames(self, spark, spelling, classes)
 
 
 class LexiconFrames:
-    def __init__(self, lex: Lexicon, spark: SparkSession):
+    def __init__(self, lex: Lexicon, spark: SparkSession, spelling: DataFrame | None = None, classes: DataFrame | None = None):
         self.lex = lex
+        self.spelling: DataFrame = spelling if spelling is not None else literal_frame(
+            spark, [(a, b, n) for n, (a, b) in enumerate(lex.spelling)], [("src", "string"), ("dst", "string"), ("no", "bigint")])
+        self.classes: DataFrame = classes if classes is not None else literal_frame(
+            spark, [(w, "generic") for w in lex.generic] + [(w, "intent") for w in lex.intent], [("word", "string"), ("cls", "string")])
         self.synonyms: DataFrame = literal_frame(
             spark, [(g, p, t, t.lower()) for g, grp in enumerate(lex.synonym_groups) for p, t in enumerate(grp)],
             [("syn_group", "int"), ("syn_pos", "int"), ("syn_term", "string"), ("syn_lower", "string")])

@@ -58,23 +58,57 @@ def bound_searches(searches: DataFrame, limits: SearchLimits = SearchLimits()) -
     )
 
 
-def fix_spelling(text: Column, fixes: list[tuple[str, str]]) -> Column:
-    """Q3: longest fix first (list order on ties); every occurrence replaced; corrections kept.
+def _pieces(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(query_id, piece): the distinct substrings of each text that have one of the lengths."""
+    def cuts(n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda at: F.substr(F.col("text"), at, n))
+
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    return texts.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(sizes, cuts)))).alias("piece"))
 
-    A higher-order fold (``aggregate``) over a literal array of (from, to) pairs.
-    """
-    ordered = [f for _, f in sorted(enumerate(fixes), key=lambda e: (-len(e[1][0]), e[0]))]
-    init = F.struct(text.alias("text"), F.array().cast(CORR_TYPE).alias("corr"))
-    if not ordered:
-        return init
-    arr = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in ordered])
+
+def _fold_fixes(text: Column, fixes: Column) -> Column:
+    """The fixes in their order, each on all its places in the text that the ones before it left; with the texts in between."""
+    init = F.struct(text.alias("text"), F.array().cast(CORR_TYPE).alias("corr"), F.array().cast("array<string>").alias("steps"))
 
     def step(acc, f):
-        hit = F.struct(F.replace(acc["text"], f["src"], f["dst"]).alias("text"),
-                       F.concat(acc["corr"], F.array(f)).cast(CORR_TYPE).alias("corr"))
+        new = F.replace(acc["text"], f["src"], f["dst"])
+        hit = F.struct(new.alias("text"), F.concat(acc["corr"], F.array(F.struct(f["src"].alias("src"), f["dst"].alias("dst")))).cast(CORR_TYPE).alias("corr"),
+                       F.concat(acc["steps"], F.array(new)).alias("steps"))
         return F.when(acc["text"].contains(f["src"]), hit).otherwise(acc)
 
-    return F.aggregate(arr, init, step)
+    return F.aggregate(fixes, init, step)
+
+
+def fix_spelling(texts: DataFrame, fixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Q3: (query_id, text, corrections) of texts (query_id, text) under a table of fixes (src, dst, no).
+
+    Longest fix first (by ``no`` on ties); every occurrence replaced; corrections kept.  The table may be large: a text meets it by
+    an equi-join of its substrings (of the lengths that occur among the fixes, one number each), and folds only the
+    fixes that it holds.  A fix can make a place for a later one, so the texts between the steps are joined as well, until they name
+    no fix that the fold has not seen; then the fold equals one over the whole table.  Blank fixes are ignored.
+    """
+    none = F.array().cast(CORR_TYPE)
+    fixes = fixes.where(F.length("src") > 0)
+    lengths = sorted(r[0] for r in fixes.select(F.length("src")).distinct().collect())
+    if not lengths:
+        return texts.select("query_id", "text", none.alias("corrections"))
+    key = ["query_id", "no"]
+
+    def held(t: DataFrame) -> DataFrame:
+        return _pieces(t, lengths).join(fixes, F.col("piece") == F.col("src")).select("query_id", "no", "src", "dst").distinct()
+
+    seen = scratch.write(held(texts), "fixes")
+    while True:
+        per = seen.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.length("src")).alias("rank"), "no", "src", "dst"))).alias("_f"))
+        done = scratch.write(texts.join(per, "query_id").select("query_id", _fold_fixes(F.col("text"), F.col("_f")).alias("_s")).select("query_id", "_s.*"), "fixed")
+        more = held(done.select("query_id", F.explode("steps").alias("text"))).join(seen.select(*key), key, "left_anti")
+        more = scratch.write(more, "more-fixes")
+        if more.isEmpty():
+            break
+        seen = scratch.write(seen.unionByName(more), "fixes")
+    return texts.join(done.select("query_id", F.col("text").alias("_t"), "corr"), "query_id", "left").select(
+        "query_id", F.coalesce("_t", "text").alias("text"), F.coalesce("corr", none).alias("corrections"))
 
 
 def phrase_re(limits: SearchLimits) -> str:
@@ -97,16 +131,17 @@ def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames,
     scratch = Scratch(searches.sparkSession, "plan")
     quoted = phrase_re(limits)
     b = bound_searches(searches, limits)
-    spelled = fix_spelling(normalize_query(F.col("q")), lex.spelling)
-    s = b.withColumn("_sp", spelled).select(
-        "*", F.col("_sp.text").alias("normalized"), F.col("_sp.corr").alias("corrections")).drop("_sp")
+    # the Arrow NFKC step runs once
+    b = scratch.write(b.withColumn("text", normalize_query(F.col("q"))), "normalized")
+    spelled = fix_spelling(b.select("query_id", "text"), frames.spelling, scratch)
+    s = b.drop("text").join(spelled.withColumnRenamed("text", "normalized"), "query_id")
     # Q4: quoted phrases out, rest kept
     s = s.withColumn("phrases", F.filter(F.transform(F.regexp_extract_all("normalized", F.lit(quoted), 1),
                                                      lambda p: F.trim(p)), lambda p: p != ""))
     s = s.withColumn("rest", F.regexp_replace("normalized", quoted, " "))
     tokens = F.filter(F.split("rest", r"(?U)\s+"), lambda t: t != "")
     s = s.withColumn("raw_tokens", tokens if limits.max_tokens is None else F.slice(tokens, 1, limits.max_tokens))
-    # normalized searches feed every branch below: written once, so the Arrow NFKC step runs once
+    # normalized searches feed every branch below: written once
     s = scratch.write(s, "searches")
 
     # Q5: tokens with position, stem, original; first occurrence of a stem wins
@@ -117,14 +152,14 @@ def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames,
     tok = tok.withColumn("original", F.when(F.col("raw") != F.col("stem"), F.col("raw")))
 
     # Q6: intent -> generic -> 1-char non-alphanumeric -> core
-    intent = F.array(*[F.lit(t) for t in lex.intent]) if lex.intent else F.array().cast("array<string>")
-    generic = F.array(*[F.lit(t) for t in lex.generic]) if lex.generic else F.array().cast("array<string>")
+    classes = frames.classes.groupBy("word").agg(F.bool_or(F.col("cls") == "intent").alias("_intent"))
+    tok = tok.join(classes.withColumnRenamed("word", "_w"), F.col("stem") == F.col("_w"), "left").drop("_w")
     tok = tok.withColumn(
         "cls",
-        F.when(F.array_contains(intent, F.col("stem")), F.lit("intent"))
-         .when(F.array_contains(generic, F.col("stem")), F.lit("generic"))
+        F.when(F.col("_intent"), F.lit("intent"))
+         .when(F.col("_intent").isNotNull(), F.lit("generic"))
          .when((F.length("stem") < 2) & ~F.col("stem").rlike("^[A-Za-z0-9]+$"), F.lit("generic"))
-         .otherwise(F.lit("core")))
+         .otherwise(F.lit("core"))).drop("_intent")
     core = tok.where(F.col("cls") == "core").select("query_id", "pos", "stem", "original")
 
     # Q7: synonym group of the stem (case-insensitive)

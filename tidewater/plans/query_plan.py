@@ -160,12 +160,12 @@ def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames,
          .when(F.col("_intent").isNotNull(), F.lit("generic"))
          .when((F.length("stem") < 2) & ~F.col("stem").rlike("^[A-Za-z0-9]+$"), F.lit("generic"))
          .otherwise(F.lit("core"))).drop("_intent")
-    core = tok.where(F.col("cls") == "core").select("query_id", "pos", "stem", "original")
 
-    # Q7: synonym group of the stem (case-insensitive)
+    # Q7: synonym group of the stem (case-insensitive); every branch below starts from these words, so they are written
     syn = frames.synonyms
-    core = core.join(syn.select("syn_lower", "syn_group").withColumnRenamed("syn_lower", "_l"),
-                     F.lower(core.stem) == F.col("_l"), "left").drop("_l")
+    tok = tok.join(syn.select(F.col("syn_lower").alias("_l"), "syn_group"), (F.col("cls") == "core") & (F.lower("stem") == F.col("_l")), "left").drop("_l")
+    tok = scratch.write(tok.select("query_id", "pos", "stem", "original", "cls", "syn_group"), "words")
+    core = tok.where(F.col("cls") == "core").drop("cls")
 
     # alternatives of every core token (before concept dedup)
     exact = core.select("query_id", "pos", F.lit(0).alias("alt_no"), F.lit(0).alias("part_no"),
@@ -192,8 +192,8 @@ def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames,
     dropped = own_keys.join(single_alts, ["query_id", "key"]) \
         .where(F.col("pos_i") < F.col("pos_j")).select("query_id", F.col("pos_j").alias("pos")).distinct()
     kept = core.join(dropped, ["query_id", "pos"], "left_anti")
-    kept = kept.withColumn("group_no", F.row_number().over(
-        Window.partitionBy("query_id").orderBy("pos")) - 1)
+    kept = scratch.write(kept.withColumn("group_no", F.row_number().over(
+        Window.partitionBy("query_id").orderBy("pos")) - 1), "concepts")
 
     alts = exact.unionByName(orig).unionByName(syns).unionByName(comp)
     alts = alts.join(kept.select("query_id", "pos", "group_no", F.col("stem").alias("primary")),
@@ -221,7 +221,7 @@ def plan_searches(searches: DataFrame, lex: Lexicon, frames: LexiconFrames,
     phrases = s.select("query_id", F.posexplode("phrases").alias("phrase_no", "phrase"))
 
     # Q11 / Q12: plan metadata and route
-    words = tok.groupBy("query_id").agg(
+    words = tok.select("query_id", "pos", "stem", "cls").distinct().groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("cls") == "generic", F.struct("pos", "stem")))).alias("_g"),
         F.sort_array(F.collect_list(F.when(F.col("cls") == "intent", F.struct("pos", "stem")))).alias("_i"))
     words = words.select("query_id", F.transform("_g", lambda x: x["stem"]).alias("generic"),

@@ -11,7 +11,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidewater.operators import ingest as I
+from tidewater.operators.archive import RawArchive, backfill_newer
 from tidewater.registry import job
+from tidewater.scratch import Scratch
 from tidewater.sources import tables as T
 from tidewater.sources.oracle_bindings import RAW_FEED_CTE, with_ctes
 
@@ -210,6 +212,56 @@ def i8_next_since(spark, sf):
     return out.select("max_published", F.col("since").cast("date").alias("since"))
 
 
+#: Runs of the archive jobs: each takes the events of eight days of the month.
+RUN_DAYS, RUNS = 8, 4
+ARCHIVED_SQL = with_ctes(RAW_FEED_CTE, f"""
+arch AS (SELECT source_id, source_doc_id, payload, fetched_at, seq, CAST(day(fetched_at) - 1 AS INTEGER) // {RUN_DAYS} AS run
+  FROM (SELECT *, row_number() OVER (PARTITION BY source_id, source_doc_id, payload ORDER BY fetched_at, seq) AS r FROM raw_feed) WHERE r = 1)""")
+
+
+def run_batches(spark, sf):
+    """The raw feed with its run; an 'error' event has no date of publication."""
+    published = F.when(F.col("source_id") == "error", F.lit("date unknown")).otherwise(F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+    return raw_feed(spark, sf).withColumns({
+        "published_at": published, "content_hash": I.content_hash("payload"), "run": F.floor((F.dayofmonth("fetched_at") - 1) / RUN_DAYS).cast("int")})
+
+
+@job("i8_source_marks", sql=ARCHIVED_SQL + """
+SELECT source_id, count(*) AS n_rows, max(CASE WHEN source_id <> 'error' THEN CAST(fetched_at AS DATE) END) AS max_published,
+  CAST(coalesce(max(CASE WHEN source_id <> 'error' THEN CAST(fetched_at AS DATE) END) - INTERVAL 7 DAY, DATE '2024-02-01' - INTERVAL 30 DAY) AS DATE) AS since
+FROM arch GROUP BY 1""")
+def i8_source_marks(spark, sf):
+    """I8 per source after several runs: rows archived, mark and start of the next run, read from the manifest."""
+    feed = run_batches(spark, sf)
+    rows = feed.drop("run")
+    archive = RawArchive(spark, Scratch(spark, "archive").folder("raw"), rows.schema)
+    for run in range(RUNS):
+        archive.append(run, feed.where(F.col("run") == run).drop("run"))
+    return archive.since(RUN_TS.date())
+
+
+@job("i11_backfill_by_runs", sql=ARCHIVED_SQL + """,
+per AS (SELECT source_id, source_doc_id, run, arg_max(payload, (fetched_at, seq)) AS v, max(fetched_at) AS taken
+  FROM arch WHERE payload IS NOT NULL AND trim(payload) <> '' GROUP BY ALL),
+steps AS (SELECT *, lag(v) OVER (PARTITION BY source_id, source_doc_id ORDER BY run) AS was FROM per)
+SELECT k.source_id, k.source_doc_id, arg_max(v, run) AS payload, max(taken) AS payload_ts, CAST(count(*) FILTER (WHERE v IS DISTINCT FROM was) AS INTEGER) AS fills
+FROM (SELECT DISTINCT source_id, source_doc_id FROM raw_feed) k LEFT JOIN steps USING (source_id, source_doc_id) GROUP BY 1, 2""")
+def i11_backfill_by_runs(spark, sf):
+    """I11 in step with the archive: after each run the state takes newer values from the rows above its reader's marks alone."""
+    feed = run_batches(spark, sf)
+    scratch = Scratch(spark, "archive")
+    archive = RawArchive(spark, scratch.folder("raw"), feed.drop("run").schema)
+    state = feed.select(*KEYS).distinct().withColumns({
+        "payload": F.lit(None).cast("string"), "payload_ts": F.lit(None).cast("timestamp"), "payload_seq": F.lit(None).cast("long"), "fills": F.lit(0)})
+    for run in range(RUNS):
+        archive.append(run, feed.where(F.col("run") == run).drop("run"))
+        rows, marks = archive.pending("state")
+        state = backfill_newer(state, rows, KEYS, "payload", "fetched_at", "seq").withColumn("fills", F.col("fills") + F.col("backfilled").cast("int"))
+        state = scratch.write(state.drop("backfilled"), "state")
+        archive.acknowledge("state", marks)
+    return state.drop("payload_seq")
+
+
 @job("i10_new_digest", sql=FEED_SQL + """
 SELECT program_id, source_portal, period_end, created_at FROM state2
 WHERE created_at >= TIMESTAMP '2024-01-02 12:00:00'

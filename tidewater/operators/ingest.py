@@ -150,12 +150,15 @@ def run_summary(counts: DataFrame, rejects: DataFrame, run_id: str, seq: str = "
                     F.col("errors").cast("long").alias("errors"), "first_error", status.alias("status"))
 
 
+def valid_date(published: str) -> Column:
+    """The date that a text starts with, as a timestamp; NULL where it starts with none."""
+    return F.when(F.col(published).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.substring(F.col(published), 1, 10), F.lit("yyyy-MM-dd")))
+
+
 def next_since(raw: DataFrame, as_of, lookback_days=7, default_days=30,
                published="published_at") -> DataFrame:
     """I8: start of the next incremental run: max valid publication date - 7 days, else today - 30."""
-    valid = F.when(F.col(published).rlike(r"^\d{4}-\d{2}-\d{2}"),
-                   F.try_to_timestamp(F.substring(F.col(published), 1, 10), F.lit("yyyy-MM-dd")))
-    m = raw.agg(F.max(valid).alias("max_published"))
+    m = raw.agg(F.max(valid_date(published)).alias("max_published"))
     return m.select("max_published", F.coalesce(
         F.date_sub(F.to_date("max_published"), lookback_days),
         F.date_sub(F.lit(as_of), default_days)).alias("since"))

@@ -1,7 +1,8 @@
 """Normalization and landed-feed jobs (N1-N19, S1, S2, S4, S6, S8, S11) over Korean notices derived from ``documents``.
 
-The driver tables hold no Korean notices, so every document gets one of twelve notice headers of our own
-(by its id, an equi-join on a 12-row literal table) in front of its whole text.  The landed feeds are
+The driver tables hold no Korean notices, so every document gets a notice header of our own in front of its whole
+text: wording by its id (an equi-join on a 12-row literal table), while title, year, amount, period and area also depend on its
+own text (first word and length), so that the rules see hundreds of different inputs.  The landed feeds are
 those notices again as JSON envelopes of three sources.
 """
 from __future__ import annotations
@@ -41,16 +42,25 @@ def korean_feed(spark, sf):
     docs = T.load(spark, sf, "documents", ["doc_id", "text", "lang", "source"])
     heads = literal_frame(spark, [(i, *h) for i, h in enumerate(HEADERS)],
                           [("h_id", "int"), ("title", "string"), ("summary", "string"), ("lines", "string"), ("period", "string"), ("area", "string")])
+    n = F.length(F.coalesce("text", F.lit("")))
+    other = lambda part, at: F.get(F.array(*[F.lit(h[part]) for h in HEADERS]), (at % len(HEADERS)).cast("int"))
+    own_year = lambda c: F.replace(c, F.lit("2027"), (F.lit(2020) + n % 20).cast("string"))
     j = docs.join(heads, (docs.doc_id % len(HEADERS)).cast("int") == heads.h_id)
+    j = j.select("doc_id", "lang", "source", "text", F.concat_ws(" ", "title", F.nullif(F.regexp_extract("text", "^([A-Za-z]+)", 1), F.lit(""))).alias("title"), "summary",
+                 own_year(other(3, F.floor(n / 7))).alias("period"), other(4, n).alias("area"), own_year(F.col("lines")).alias("lines"),
+                 F.concat(F.lit("지원금액: "), (n % 9000 + 1).cast("string"), F.lit("만원")).alias("amount"))
     return j.select("doc_id", "lang", "source", "title", "summary", "period", "area",
-                    F.concat_ws("\n", "title", "summary", "lines", "text").alias("body"))
+                    F.concat_ws("\n", "title", "summary", "lines", "amount", "text").alias("body"))
 
 
 FEED = f"""
 heads(h_id, title, summary, lines, period, area) AS (VALUES {", ".join(f"({i}, " + ", ".join(Q.q(x) for x in h) + ")" for i, h in enumerate(HEADERS))}),
-feed AS (SELECT d.doc_id, d.lang, d.source, h.title, h.summary, h.period, h.area,
-    concat_ws(chr(10), h.title, h.summary, h.lines, d.text) AS body
-  FROM documents d JOIN heads h ON CAST(d.doc_id % {len(HEADERS)} AS INTEGER) = h.h_id)"""
+own AS (SELECT *, length(coalesce(text, '')) AS n FROM documents),
+feed AS (SELECT *, concat_ws(chr(10), title, summary, lines, '지원금액: ' || CAST(n % 9000 + 1 AS VARCHAR) || '만원', text) AS body
+  FROM (SELECT d.doc_id, d.lang, d.source, d.text, d.n, concat_ws(' ', h.title, nullif(regexp_extract(d.text, '^([A-Za-z]+)', 1), '')) AS title, h.summary,
+      replace(h.lines, '2027', CAST(2020 + d.n % 20 AS VARCHAR)) AS lines, replace(p.period, '2027', CAST(2020 + d.n % 20 AS VARCHAR)) AS period, a.area
+    FROM own d JOIN heads h ON CAST(d.doc_id % {len(HEADERS)} AS INTEGER) = h.h_id JOIN heads p ON CAST(d.n // 7 % {len(HEADERS)} AS INTEGER) = p.h_id
+      JOIN heads a ON CAST(d.n % {len(HEADERS)} AS INTEGER) = a.h_id))"""
 
 
 @job("n14_classify_feed", sql=f"""

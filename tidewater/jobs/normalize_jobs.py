@@ -15,6 +15,7 @@ from tidewater.functions import korean as K
 from tidewater.functions.korean import CATALOGUE_TEXT as C
 from tidewater.jobs import normalize_sql as Q
 from tidewater.registry import job
+from tidewater.scratch import Scratch
 from tidewater.sources import feeds
 from tidewater.sources import tables as T
 from tidewater.sources.local import literal_frame
@@ -206,6 +207,20 @@ def s11_notice_detail(spark, sf):
     return _joined(feeds.notice_detail(canonical(spark, sf), ids))
 
 
+@job("s9_export_round_trip", sql="""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 9 < 6 OR (doc_id % 9 = 8 AND regexp_matches(coalesce(text, ''), '^[=+@\\t\\r-]')) THEN chr(39) ELSE '' END
+    || coalesce(['=', '+', '-', '@', chr(9), chr(13), '"', ' '][doc_id % 9 + 1], '') || coalesce(text, '') AS note, concat_ws(' | ', lang, source, 'a"b') AS tags
+FROM documents""")
+def s9_export_round_trip(spark, sf):
+    """Whole texts behind characters that spreadsheets would run, written as guarded CSV and read again."""
+    d = T.load(spark, sf, "documents", ["doc_id", "text", "lang", "source"])
+    lead = F.get(F.array(*[F.lit(c) for c in ("=", "+", "-", "@", "\t", "\r", '"', " ", "")]), (F.col("doc_id") % 9).cast("int"))
+    rows = d.select("doc_id", F.concat(lead, F.coalesce("text", F.lit(""))).alias("note"), F.array("lang", "source", F.lit('a"b')).alias("tags"))
+    folder = Scratch(spark, "export").folder("csv")
+    feeds.export_csv(rows, folder, ["tags"], "doc_id")
+    return feeds.import_csv(spark, folder, ["doc_id", "note", "tags"])
+
+
 @job("n19_normalize_phone", sql="""
 SELECT id, CASE
   WHEN starts_with(regexp_replace(phone, '\\D', '', 'g'), '82') AND length(regexp_replace(phone, '\\D', '', 'g')) >= 11

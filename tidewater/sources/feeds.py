@@ -2,7 +2,7 @@
 (S1-S6, S8, S9, S11, N16)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import korean as K
@@ -169,10 +169,19 @@ def csv_safe(c: Column) -> Column:
     return F.when(s.rlike("^[=+\\-@\\t\\r]"), F.concat(F.lit("'"), s)).otherwise(s)
 
 
+#: Every cell quoted, quotes doubled, spaces at the ends of a cell kept.
+CSV = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_csv(df: DataFrame, path: str, array_cols=(), order_col: str | None = None) -> None:
     """Guarded CSV export, arrays joined ' | ', every cell quoted, newest first."""
     out = df if order_col is None else df.orderBy(F.col(order_col).desc())  # before cells become text
     for c in array_cols:
         out = out.withColumn(c, F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " | "))
     out = out.select(*[csv_safe(F.col(c)).alias(c) for c in out.columns])
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    out.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def import_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """An export read back; cells keep their guards, line ends and spaces.  A file with line ends in cells is read by one task."""
+    return spark.read.options(**CSV, multiLine=True).schema(", ".join(f"`{c}` string" for c in columns)).csv(path).fillna("")

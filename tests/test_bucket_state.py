@@ -170,3 +170,44 @@ def test_only_born_and_ended_signatures_are_matched_anew(spark, tmp_path):
     feed.on_profiles(profiles.where("profile_id = 1"), "4")
     feed.on_profiles(profiles.where("profile_id between 30 and 90"), "5")  # a signature that ended and came back
     assert sorted((r.program_id, r.pkey, r.match_score, r.profiles) for r in feed.matches().collect()) == got
+
+
+def copies(notices, n):
+    return notices.crossJoin(notices.sparkSession.range(n)).withColumn("program_id", F.col("program_id") + F.col("id") * 100_000).drop("id")
+
+
+def pair_totals(pairs):
+    out = {}
+    for r in pairs.collect():
+        n, best = out.get(r.program_id, (0, 0))
+        out[r.program_id] = n + r.profiles, max(best, r.match_score)
+    return out
+
+
+def test_matches_are_written_per_signature_of_notices(spark, tmp_path):
+    profiles = T.profiles_from_customer(T.load(spark, SF, "customer"))
+    notices = T.match_notices_from_part(T.load(spark, SF, "part")).where("program_id <= 40")
+    want = pair_totals(S.match_on_arrival(copies(notices, 9), profiles))
+    feed = S.MatchFeed(spark, "file://" + str(tmp_path / "m"))
+    feed.on_profiles(profiles, "1")
+    feed.on_notices(notices, "a")
+    found = lambda: spark.read.parquet(*[f"{feed.root}/{s['folder']}/matches" for s in feed._steps()]).count()
+    once = found()
+    feed.on_notices(copies(notices, 9).where("program_id >= 100000"), "b")
+    assert found() == once and want  # eight copies of each notice: no further match
+    assert {r.program_id: (r.profiles, r.best) for r in feed.totals().collect()} == want == pair_totals(feed.matches())
+
+
+def test_arrivals_are_matched_per_signature_of_notices(spark, tmp_path):
+    profiles = T.profiles_from_customer(T.load(spark, SF, "customer"))
+    notices = copies(T.match_notices_from_part(T.load(spark, SF, "part")).where("program_id <= 40"), 9).unionByName(
+        spark.createDataFrame([(None, "n", "a", "f", ["SMB"], ["예비"], None)] * 2, "program_id long, name string, agency string, field string, target_segments array<string>, target_stages array<string>, target_industries array<string>"))
+    notices.write.parquet(str(tmp_path / "in"))
+    feed = S.ArrivalFeed(spark, "file://" + str(tmp_path / "m"))
+    feed.follow(spark.readStream.schema(notices.schema).parquet(str(tmp_path / "in")), profiles, str(tmp_path / "c")).awaitTermination()
+    pairs = S.match_on_arrival(notices, profiles)
+    assert spark.read.parquet(f"{feed.root}/matches").count() * 8 < pairs.count()
+    key = lambda r: (r.program_id or 0, r.pkey, r.profiles, r.match_score, tuple(r.evidence))
+    assert sorted(map(key, feed.matches().collect())) == sorted(map(key, pairs.collect()))
+    got = {r.program_id: (r.profiles, r.best) for r in feed.totals().collect()}
+    assert got == pair_totals(pairs) and None in got

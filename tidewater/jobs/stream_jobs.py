@@ -150,10 +150,9 @@ def t4_match_on_arrival(spark, sf):
     scratch = Scratch(spark, "t4")
     notices = T.match_notices_from_part(table_stream(spark, sf, "part"))
     profiles = T.profiles_from_customer(T.load(spark, sf, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
-    out = scratch.folder("rows")
-    finish(S.match_on_arrival(notices, profiles).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.folder("checkpoint"))
-           .outputMode("append").trigger(availableNow=True).start())
-    return spark.read.parquet(out).groupBy("program_id").agg(F.sum("profiles").cast("long").alias("profiles"), F.max("match_score").alias("best"))
+    feed = S.ArrivalFeed(spark, scratch.folder("matches"))
+    finish(feed.follow(notices, profiles, scratch.folder("checkpoint")))
+    return feed.totals()
 
 
 @job("t4_changing_profiles", sql=MATCH_CTES + """
@@ -174,4 +173,4 @@ def t4_changing_profiles(spark, sf):
     landed(spark, notices.withColumn("part", (F.col("program_id") % 2).cast("int")), scratch, "part", 2, run)
     profiles.where("profile_id % 3 <> 0").write.parquet(f"{root}/v=999999")
     feed.refresh(root)
-    return feed.matches().groupBy("program_id").agg(F.sum("profiles").cast("long").alias("profiles"), F.max("match_score").alias("best"))
+    return feed.totals()

@@ -6,8 +6,8 @@
   after the bound had passed.
 * T3 ``burst_windows``: requests per client per 10-minute tumbling window above a limit, on batches, or on a
   stream in append mode, where the watermark closes the windows.
-* T4 ``match_on_arrival``: new notices scored against the profiles as they arrive; ``MatchFeed`` keeps the matches
-  current while profiles change.
+* T4 ``match_on_arrival``: new notices scored against the profiles as they arrive, in ``ArrivalFeed`` once per signature;
+  ``MatchFeed`` keeps the matches current while profiles change.
 """
 from __future__ import annotations
 
@@ -145,6 +145,56 @@ def match_on_arrival(notices_stream: DataFrame, profiles: DataFrame, as_of_year:
     return class_matches(M.notice_classes(notices_stream), pc).select("pkey", "program_id", "profiles", "match_score", "evidence")
 
 
+class ArrivalFeed:
+    """T4 as written tables: ``match_on_arrival`` of each micro-batch, with notices reduced to signatures, too.
+
+    ``root/notices/batch=<id>`` (program_id, nkey) names the signature of each notice, ``root/matches/batch=<id>`` (nkey, pkey,
+    profiles, match_score, evidence) the matches of the batch's distinct signatures: they are scored once, whatever the
+    number of notices behind them.  Folders are overwritten by a replay.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, as_of_year: int = 2026):
+        self.spark, self.root, self.as_of_year = spark, root, as_of_year
+
+    def follow(self, notices_stream: DataFrame, profiles: DataFrame, checkpoint: str):
+        def step(batch_df: DataFrame, batch_id: int):
+            rows = notice_members(batch_df)
+            one = signatures(rows).select(F.col("nkey").alias("program_id"), F.col("t_segs").alias("target_segments"),
+                                          F.col("t_stages").alias("target_stages"), F.col("t_inds").alias("target_industries"))
+            found = match_on_arrival(one, profiles, self.as_of_year).withColumnRenamed("program_id", "nkey")
+            found.write.mode("overwrite").parquet(f"{self.root}/matches/batch={batch_id}")
+            rows.select("program_id", "nkey").write.mode("overwrite").parquet(f"{self.root}/notices/batch={batch_id}")
+
+        return _in_batches(notices_stream, step, checkpoint)
+
+    def _read(self, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{kind}")
+
+    def matches(self) -> DataFrame:
+        """(pkey, program_id, profiles, match_score, evidence) of the notices so far: as many rows as there are matches."""
+        found = self._read("notices").join(self._read("matches"), ["batch", "nkey"])
+        return found.select("pkey", "program_id", "profiles", "match_score", "evidence")
+
+    def totals(self) -> DataFrame:
+        """(program_id, profiles, best) of the notices with a match, summed up per signature first."""
+        return notice_totals(self._read("notices"), self._read("matches"), ["batch", "nkey"])
+
+
+def notice_totals(notices: DataFrame, matches: DataFrame, on: list[str]) -> DataFrame:
+    """Number of matching profiles and best score per notice, from the matches of its signature."""
+    per = matches.groupBy(*on).agg(F.sum("profiles").alias("profiles"), F.max("match_score").alias("best"))
+    return notices.join(per, on).groupBy("program_id").agg(F.sum("profiles").cast("long").alias("profiles"), F.max("best").alias("best"))
+
+
+def notice_members(notices: DataFrame) -> DataFrame:
+    """Notices with the key of their signature."""
+    return M.notice_classes(notices).withColumn("nkey", F.sha2(F.to_json(F.struct("t_segs", "t_stages", "t_inds")), 256))
+
+
+def signatures(members: DataFrame) -> DataFrame:
+    return members.groupBy("nkey").agg(F.first("t_segs").alias("t_segs"), F.first("t_stages").alias("t_stages"), F.first("t_inds").alias("t_inds"))
+
+
 def class_matches(notices: DataFrame, classes: DataFrame) -> DataFrame:
     """Scored pairs of notices and signatures that share a token."""
     tokens = lambda segs, stages: F.concat(F.transform(segs, lambda s: F.concat(F.lit("seg:"), s)), F.transform(stages, lambda s: F.concat(F.lit("stage:"), s)))
@@ -161,12 +211,13 @@ def profile_members(profiles: DataFrame, as_of_year: int = 2026) -> DataFrame:
 
 
 class MatchFeed:
-    """T4 with changing profiles: matches of profile signatures and notices, kept current step by step.
+    """T4 with changing profiles: matches of profile signatures and notice signatures, kept current step by step.
 
-    A step is a batch of notices or a new snapshot of the profiles.  Notices meet the signatures of the newest snapshot.
-    A snapshot re-matches only signatures whose number of profiles goes from zero (against all notices so far) or
-    to zero (their matches end); profiles that join or leave a signature cost nothing.  Matches are appended per step, an
-    ended signature is a row that outdates its earlier matches, and a step counts once its manifest is there.
+    A step is a batch of notices or a new snapshot of the profiles.  Notice signatures that are new meet the profile signatures
+    of the newest snapshot.  A snapshot re-matches only signatures whose number of profiles goes from zero (against all notice
+    signatures so far) or to zero (their matches end); profiles that join or leave a signature, and notices of a known
+    signature, cost no match.  Matches are appended per step, an ended signature is a row that outdates its earlier
+    matches, and a step counts once its manifest is there.
     """
 
     def __init__(self, spark: SparkSession, root: str, as_of_year: int = 2026):
@@ -202,16 +253,17 @@ class MatchFeed:
         step = F.lit(len(self._steps()))
         born = new.join(old, "pkey", "left_anti")
         gone = old.join(new, "pkey", "left_anti").select("pkey", step.alias("step"))
-        found = class_matches(self._read("notices", NOTICE), born).select("pkey", "program_id", "match_score", step.alias("step"))
+        found = class_matches(self._read("signatures", SIGNATURE), born).select("pkey", "nkey", "match_score", step.alias("step"))
         self._commit(f"profiles {version}", {"classes": new.select(*[c.split()[0] for c in CLASS.split(", ")]), "matches": found, "ended": gone})
 
     def on_notices(self, notices: DataFrame, name: str) -> None:
         """Match a batch of notices; a batch that was taken is skipped."""
         if any(s["name"] == f"notices {name}" for s in self._steps()):
             return
-        rows = M.notice_classes(notices)
-        found = class_matches(rows, self._classes()).select("pkey", "program_id", "match_score", F.lit(len(self._steps())).alias("step"))
-        self._commit(f"notices {name}", {"notices": rows, "matches": found})
+        rows = notice_members(notices)
+        new = signatures(rows).join(self._read("signatures", SIGNATURE), "nkey", "left_anti")
+        found = class_matches(new, self._classes()).select("pkey", "nkey", "match_score", F.lit(len(self._steps())).alias("step"))
+        self._commit(f"notices {name}", {"notices": rows.select("program_id", "nkey"), "signatures": new, "matches": found})
 
     def follow(self, notices_stream: DataFrame, profile_root: str, checkpoint: str):
         """Run the stream; each micro-batch first takes the newest profile snapshot under ``profile_root``."""
@@ -227,16 +279,25 @@ class MatchFeed:
         if path is not None:
             self.on_profiles(self.spark.read.parquet(path), path.rsplit("/", 1)[1])
 
-    def matches(self) -> DataFrame:
-        """(program_id, pkey, match_score, profiles) of the current signatures."""
+    def signature_matches(self) -> DataFrame:
+        """(nkey, pkey, match_score, profiles) of the current signatures."""
         ended = self._read("ended", "pkey string, step int").groupBy("pkey").agg(F.max("step").alias("end"))
-        rows = self._read("matches", "pkey string, program_id long, match_score int, step int").join(ended, "pkey", "left")
+        rows = self._read("matches", "pkey string, nkey string, match_score int, step int").join(ended, "pkey", "left")
         rows = rows.where(F.col("end").isNull() | (F.col("step") >= F.col("end")))
-        return rows.join(self._classes().select("pkey", "profiles"), "pkey").select("program_id", "pkey", "match_score", "profiles")
+        return rows.join(self._classes().select("pkey", "profiles"), "pkey").select("nkey", "pkey", "match_score", "profiles")
+
+    def matches(self) -> DataFrame:
+        """(program_id, pkey, match_score, profiles) of the current signatures: as many rows as there are matches."""
+        return self._read("notices", NOTICE).join(self.signature_matches(), "nkey").select("program_id", "pkey", "match_score", "profiles")
+
+    def totals(self) -> DataFrame:
+        """(program_id, profiles, best) of the notices with a match, summed up per signature first."""
+        return notice_totals(self._read("notices", NOTICE), self.signature_matches(), ["nkey"])
 
 
 CLASS = "pkey string, p_segs array<string>, p_stages array<string>, p_ind string, profiles long"
-NOTICE = "program_id long, t_segs array<string>, t_stages array<string>, t_inds array<string>"
+NOTICE = "program_id long, nkey string"
+SIGNATURE = "nkey string, t_segs array<string>, t_stages array<string>, t_inds array<string>"
 
 
 def _empty_state(batch_df: DataFrame, keys, fields) -> DataFrame:

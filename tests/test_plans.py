@@ -112,3 +112,47 @@ def test_short_terms_and_text_ends_are_found(spark):
     got = {(r.program_id, r.lterm) for r in S.term_hits(n, terms).collect()}
     # b and ab are acronyms: no letter or digit beside them
     assert got == {(3, "b"), (1, "ab"), (2, "xyab"), (5, "울"), (3, "a b")}
+
+
+def test_index_keeps_a_text_once_and_search_sorts_none(spark):
+    from tidewater.operators.search_index import build_index
+    index = build_index(T.notices(spark, SF))
+    stored = spark.read.parquet(f"{index.scratch.base}/001-documents")
+    assert stored.where("search_blob is not null").count() == 0  # it is the fields in a row
+    blobs = {r.program_id: r.search_blob for r in T.notices(spark, SF).select("program_id", "search_blob").collect()}
+    assert {r.program_id: r.search_blob for r in index.documents.select("program_id", "search_blob").collect()} == blobs
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        txt = plan_text(S.term_hits(index, spark.createDataFrame([("license",), ("ai",)], "lterm string")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = txt.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    for i, line in enumerate(lines):
+        if " Sort [" in line:
+            for below in lines[i + 1:]:
+                if depth(below) <= depth(line):
+                    break
+                assert "l_body" not in below, below
+
+
+def test_acronyms_beside_signs_and_patterns(spark):
+    texts = ["c++x", "a c++ b", "c+++", "xc++", "a.b", "axb", "r&d", "r&dx", "ab\n", "été", "été2", "ai,", "ai2"]
+    n = spark.createDataFrame(list(enumerate(texts)), "program_id long, name string")
+    n = n.select("*", *[F.lit("").alias(c) for c in ("field", "tags_text", "summary", "agency", "body_text")]).withColumn("search_blob", F.lower("name"))
+    terms = ["c++", "a.b", "r&d", "ab", "t", "ai", "\\e(", "+"]
+    got = {(r.program_id, r.lterm) for r in S.term_hits(n, spark.createDataFrame([(t,) for t in terms], "lterm string")).collect()}
+    alone = lambda t, x: re.search("(^|[^a-z0-9])" + re.escape(t) + "([^a-z0-9]|$)", x)
+    assert got == {(i, t) for i, x in enumerate(texts) for t in terms if alone(t, x)} and len(got) > 6
+
+
+def test_piece_codes_equal_plain_pieces(spark):
+    from tidewater.operators.search_index import piece_codes
+    rnd = random.Random(5)
+    for _ in range(50):
+        texts = ["".join(rnd.choice("ab c서😀") for _ in range(rnd.choice([0, 1, 2, 3, 30]))) for _ in range(6)]
+        code = lambda p: sum(ord(c) << 42 - 21 * k for k, c in enumerate(p))
+        want = sorted({(i, code(t[at:at + n])) for i, t in enumerate(texts) for n in (1, 2, 3) for at in range(len(t))})
+        row, got = piece_codes(texts, True)
+        assert list(zip(row.tolist(), got.tolist())) == want

@@ -44,13 +44,12 @@ PHRASE_FIELDS = ["name", "summary", "field"]
 # Term hits
 # ---------------------------------------------------------------------------
 
-def _pad(c: Column) -> Column:
-    """ASCII boundary padding: every char outside [a-z0-9] becomes ' c '.
+def _bounded(c: Column) -> Column:
+    """Does the acronym ``lterm`` stand in ``c`` without touching [a-z0-9] on either side?
 
-    A boundary match of an acronym t in s (t not touching [a-z0-9] on either side)
-    is then exactly ``contains(' ' + pad(s) + ' ', ' ' + pad(t) + ' ')``.
+    The scan ends at the first such place and writes no text.
     """
-    return F.concat(F.lit(" "), F.regexp_replace(c, "([^a-z0-9])", " $1 "), F.lit(" "))
+    return c.contains(F.col("lterm")) & F.rlike(c, F.col("bterm"))
 
 
 def indexed(corpus: DataFrame | SearchIndex) -> SearchIndex:
@@ -60,7 +59,8 @@ def indexed(corpus: DataFrame | SearchIndex) -> SearchIndex:
 def verified(corpus: SearchIndex, terms: DataFrame, scratch: Scratch) -> DataFrame:
     """Documents beside the terms that their blob contains."""
     found = fetched(corpus, candidates(corpus, terms, scratch)).where(F.col("search_blob").contains(F.col("lterm")))
-    return found.withColumns({"acro": F.col("lterm").rlike(ACRONYM_RE), "pterm": _pad(F.col("lterm"))})
+    acro = F.col("lterm").rlike(ACRONYM_RE)
+    return found.withColumns({"acro": acro, "bterm": F.when(acro, F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("lterm"), F.lit(r"\E(?![a-z0-9])")))})
 
 
 def term_hits(corpus: DataFrame | SearchIndex, terms: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def term_hits(corpus: DataFrame | SearchIndex, terms: DataFrame) -> DataFrame:
     name, summary or field: the phrase rule).
     """
     c = verified(indexed(corpus), terms, Scratch(terms.sparkSession, "terms"))
-    inside = {f: F.when(F.col("acro"), _pad(F.col(f"l_{f}")).contains(F.col("pterm"))).otherwise(F.col(f"l_{f}").contains(F.col("lterm"))) for f in FIELDS}
+    inside = {f: F.when(F.col("acro"), _bounded(F.col(f"l_{f}"))).otherwise(F.col(f"l_{f}").contains(F.col("lterm"))) for f in FIELDS}
     score = sum((F.when(inside[f], F.lit(w)).otherwise(F.lit(0)) for f, w in FIELD_WEIGHTS_X10), F.lit(0))
     psf = F.lit(False)
     for f in PHRASE_FIELDS:
@@ -380,7 +380,7 @@ def prefilter(corpus: DataFrame | SearchIndex, plan: Plan) -> DataFrame:
     c = verified(indexed(corpus), asked, Scratch(asked.sparkSession, "prefilter"))
     term, phrase = F.lit(False), F.lit(False)
     for f in FIELDS:
-        term = term | _pad(F.col(f"l_{f}")).contains(F.col("pterm"))
+        term = term | _bounded(F.col(f"l_{f}"))
     for f in PHRASE_FIELDS:
         phrase = phrase | F.col(f"l_{f}").contains(F.col("lterm"))
     c = c.select("program_id", "lterm", (~F.col("acro") | term).alias("as_term"), phrase.alias("as_phrase"))
@@ -393,7 +393,7 @@ def audit_vocabulary(corpus: DataFrame | SearchIndex, vocab: DataFrame, too_comm
     c = verified(indexed(corpus), v, Scratch(v.sparkSession, "vocabulary"))
     bounded = F.lit(False)
     for f in FIELDS:
-        bounded = bounded | _pad(F.col(f"l_{f}")).contains(F.col("pterm"))
+        bounded = bounded | _bounded(F.col(f"l_{f}"))
     counts = c.select("lterm", (~F.col("acro") | bounded).alias("hit")).groupBy("lterm").agg(F.count_if("hit").alias("df"), F.count(F.lit(1)).alias("sub"))
     acronym = F.col("lterm").rlike(ACRONYM_RE)
     out = v.join(counts, "lterm", "left").fillna(0, ["df", "sub"])

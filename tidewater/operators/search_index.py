@@ -2,8 +2,8 @@
 
 * ``postings`` (piece, program_id): each document's distinct pieces of one to GRAM characters, as numbers.  Rows hold
   ids only.
-* ``documents``: blob and lower-cased fields, bucketed by program_id.  Candidates are shuffled to the documents'
-  buckets; a search never shuffles a text.
+* ``documents``: lower-cased fields, bucketed by program_id, and the blob where it is not just these fields in a row.
+  Candidates are shuffled to the documents' buckets and hashed there; a search neither shuffles nor sorts a text.
 * ``attributes``: what filters and order need.
 
 An index is built once per corpus and read by all searches of it.
@@ -26,6 +26,8 @@ GRAM = 3
 #: The rarest pieces of a term that a candidate must hold (or all, if there are fewer).
 PIECES = 3
 FIELDS = [name for name, _ in FIELD_WEIGHTS_X10]
+#: The fields in the order of the blob.
+BLOB = ["name", "field", "tags_text", "summary", "agency", "body_text"]
 ATTRIBUTES = ["program_id", "name", "region", "is_open", "period_end"]
 #: Characters that one numpy step handles (a longer single text is handled alone).
 BLOCK_CHARS = 1 << 19
@@ -41,21 +43,41 @@ def piece_codes(texts: list[str], shorter: bool) -> tuple[np.ndarray, np.ndarray
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     row = np.repeat(np.arange(len(texts)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # characters from here to the text's end
-    after = lambda k: np.where(left > k, np.append(flat, [0] * k)[k:], 0)
-    codes = [flat << 42]
-    for k in range(1, GRAM):
-        codes.append(codes[-1] | after(k) << (42 - 21 * k))
-    if shorter:
-        rows, codes = np.tile(row, GRAM), np.concatenate(codes)
-    else:
-        want = np.minimum(size, GRAM)
-        full = left >= want[row]
-        rows, codes = row[full], codes[-1][full]
-    order = np.lexsort((codes, rows))
-    rows, codes = rows[order], codes[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])
-    return rows[new], codes[new]
+    # a character's number in the block, so that a row and a piece are one number of 63 bits and sorted as one
+    met = np.zeros(0x110000, bool)
+    met[0] = True
+    met[flat] = True
+    alphabet = np.flatnonzero(met)
+    base = len(alphabet)
+    number = (np.cumsum(met) - 1)[flat]
+    if (len(texts) + 1) * base ** GRAM >= 1 << 63:
+        half = len(texts) // 2
+        if half == 0:
+            raise ValueError("a text of too many different characters")
+        first, last = piece_codes(texts[:half], shorter), piece_codes(texts[half:], shorter)
+        return np.concatenate([first[0], last[0] + half]), np.concatenate([first[1], last[1]])
+    key = row
+    for k in range(GRAM):  # zeros fill up the pieces at a text's end
+        key = key * base + np.where(left > k, np.append(number, np.zeros(k, np.int64))[k:], 0)
+    if not shorter:
+        key = key[left >= np.minimum(size, GRAM)[row]]
+    key = np.sort(key)
+    found = [_distinct(key)]
+    for k in range(1, GRAM if shorter else 1):  # the beginnings of sorted pieces are sorted
+        short = _distinct(found[0] // base ** k)
+        found.append(short * base ** k)
+    key = np.sort(np.concatenate(found)) if shorter else found[0]
+    key = _distinct(key)
+    code = np.zeros(len(key), np.int64)
+    for k in range(GRAM):
+        code |= alphabet[key // base ** k % base] << 21 * k
+    return key // base ** GRAM, code
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new]
 
 
 def pieces(texts: DataFrame, key: str, text: str, shorter: bool) -> DataFrame:
@@ -92,10 +114,12 @@ def build_index(notices: DataFrame) -> SearchIndex:
     rows = notices.where("program_id is not null")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = rows.select("program_id", "search_blob", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"l_{c}") for c in FIELDS])
+    joined = F.concat_ws(" ", *[f"l_{c}" for c in BLOB])
+    low = low.withColumn("plain", F.col("search_blob").eqNullSafe(joined)).withColumn("search_blob", F.when(~F.col("plain"), F.col("search_blob")))
     table = f"tidewater_index_{uuid.uuid4().hex}"
-    (low.repartition(buckets, "program_id").write.bucketBy(buckets, "program_id").sortBy("program_id")
+    (low.repartition(buckets, "program_id").write.bucketBy(buckets, "program_id")
         .option("path", scratch.folder("documents")).saveAsTable(table))
-    documents = spark.table(table)
+    documents = spark.table(table).withColumn("search_blob", F.when(F.col("plain"), joined).otherwise(F.col("search_blob"))).drop("plain")
     attributes = scratch.write(rows.select(*[c for c in ATTRIBUTES if c in rows.columns]), "attributes")
     postings = scratch.write(pieces(documents.select("program_id", "search_blob"), "program_id", "search_blob", True), "postings")
     return SearchIndex(postings, documents, attributes, scratch)
@@ -145,5 +169,5 @@ def candidates(index: SearchIndex, terms: DataFrame, scratch: Scratch) -> DataFr
 
 
 def fetched(index: SearchIndex, pairs: DataFrame) -> DataFrame:
-    """The pairs beside their documents: only the pairs are shuffled, to the documents' buckets."""
-    return pairs.join(index.documents, "program_id")
+    """The pairs beside their documents: only the pairs are shuffled, to the documents' buckets, and hashed; no text is sorted."""
+    return pairs.hint("shuffle_hash").join(index.documents, "program_id")

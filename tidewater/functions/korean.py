@@ -7,6 +7,7 @@ lengths that the notice catalogue keeps.
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -50,9 +51,68 @@ def cut(c: Column, chars: int | None) -> Column:
     return c if chars is None else F.substring(c, 1, chars)
 
 
+#: SPACE_CHARS one by one.
+SPACES = "".join(chr(i) for i in range(0x10000) if re.fullmatch(SP, chr(i)))
+
+
 def strip(c: Column) -> Column:
     """Without white space (SPACE_CHARS) at both ends."""
-    return F.regexp_replace(c, f"^{SP}+|{SP}+\\z", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between the bars outside its brackets."""
+    parts, depth, at = [""], 0, 0
+    while at < len(pattern):
+        step = 2 if pattern[at] == "\\" else 1
+        depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(pattern[at], 0)
+        if pattern[at] == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += pattern[at:at + step]
+        at += step
+    return parts
+
+
+def needed(part: str, caseless: bool = False) -> str:
+    """The longest run of plain characters that every match of ``part`` (one alternative) holds; '' if none is plain.
+
+    ``caseless`` leaves out runs with letters of two cases.
+    """
+    runs, depth, at = [""], 0, 0
+    while at < len(part):
+        c = part[at]
+        at += 2 if c == "\\" else 1
+        depth += c in "(["
+        if depth == 0 and c not in "\\^$.*+?{}":
+            runs[-1] += c
+        else:
+            if depth == 0 and c in "*?{":  # the character before may be absent
+                runs[-1] = runs[-1][:-1]
+            if depth == 0 and c == "{":
+                at = part.index("}", at) + 1
+            runs.append("")
+        depth -= c in ")]"
+    return max(["", *[r for r in runs if not (caseless and re.search("[A-Za-z]", r))]], key=len)
+
+
+def found(t: Column, pattern: str) -> Column:
+    """``t.rlike(pattern)``: a text is searched for an alternative only if it holds the alternative's plain characters."""
+    flag = "(?i)" if pattern.startswith("(?i)") else ""
+    out, rest = None, []
+    for part in alternatives(pattern.removeprefix("(?i)")):
+        word = needed(part, bool(flag))
+        if not word:
+            rest.append(part)
+            continue
+        hit = t.contains(word)
+        if word != part:  # a plain alternative is just its characters
+            hit = hit & t.rlike(_p(flag + part))
+        out = hit if out is None else out | hit
+    if rest:
+        hit = t.rlike(_p(flag + "|".join(rest)))
+        out = hit if out is None else out | hit
+    return out
 
 
 # --- fixed values: stage, segment, funding-type and tag rules (order matters) ---
@@ -128,7 +188,8 @@ def _money(t: Column, unit: str) -> Column:
 
 def parse_amount(c) -> Column:
     """Amount in won (BIGINT) or NULL."""
-    t = F.regexp_replace(_s(c), f"[{SPACE_CHARS},]", "")
+    t = _s(c)
+    t = F.when(t.contains("억") | t.contains("만") | t.contains("원"), F.regexp_replace(t, f"[{SPACE_CHARS},]", "")).otherwise(F.lit(""))
     eok, cm, bm, man = (_money(t, u) for u in ("억", "천만", "백만", "만"))
     won = F.when(t.contains("원"), F.regexp_extract(t, r"(\d{5,})원", 1)).otherwise(F.lit(""))
     use_man = (cm == "") & (bm == "")
@@ -200,16 +261,16 @@ def _ordered_set(items: list[Column]) -> Column:
 def infer_stages(c) -> Column:
     """Business stages from keyword rules; 'n년 이내' fills the covered buckets."""
     t = _s(c)
-    y = F.regexp_extract(t, _p(STAGE_WITHIN_RE), 1).try_cast("int")  # '' (no match) is NULL
+    y = F.when(t.contains(needed(STAGE_WITHIN_RE)), F.regexp_extract(t, _p(STAGE_WITHIN_RE), 1)).try_cast("int")  # '' (no match) is NULL
     has_y = y.isNotNull()
-    early, growth, seven = (t.rlike(_p(r)) for r in (STAGE_EARLY_RE, STAGE_GROWTH_RE, STAGE_SEVEN_RE))
+    early, growth, seven = (found(t, r) for r in (STAGE_EARLY_RE, STAGE_GROWTH_RE, STAGE_SEVEN_RE))
     return _ordered_set([
-        F.when(t.rlike(_p(STAGE_PRE_RE)), F.lit("예비")),
-        F.when(t.rlike(_p(STAGE_SMB_RE)), F.lit("소상공인")),
+        F.when(found(t, STAGE_PRE_RE), F.lit("예비")),
+        F.when(found(t, STAGE_SMB_RE), F.lit("소상공인")),
         F.when(has_y & (y >= 1), F.lit("1년미만")),
         F.when(has_y & (y >= 2), F.lit("1-3년")),
         F.when(has_y & (y >= 4), F.lit("3-7년")),
-        F.when(has_y & (y <= 3) & t.rlike("예비"), F.lit("예비")),
+        F.when(has_y & (y <= 3) & t.contains("예비"), F.lit("예비")),
         F.when(early, F.lit("1년미만")), F.when(early, F.lit("1-3년")),
         F.when(growth, F.lit("3-7년")), F.when(growth, F.lit("1-3년")),
         F.when(seven, F.lit("1년미만")), F.when(seven, F.lit("1-3년")), F.when(seven, F.lit("3-7년")),
@@ -219,13 +280,13 @@ def infer_stages(c) -> Column:
 def infer_segments(c) -> Column:
     """Segment codes by rule, fixed order."""
     t = _s(c)
-    return _ordered_set([F.when(t.rlike(_p(r)), F.lit(code)) for code, r in SEGMENT_RULES])
+    return _ordered_set([F.when(found(t, r), F.lit(code)) for code, r in SEGMENT_RULES])
 
 
 def infer_region(c) -> Column:
     """National words first, then the first region (short or long form) in list order; default national."""
     t = _s(c)
-    expr = F.when(t.rlike(_p(r"전국|전\s*지역")), F.lit(NATIONAL))
+    expr = F.when(found(t, r"전국|전\s*지역"), F.lit(NATIONAL))
     for r in REGIONS:
         cond = t.contains(r)
         for long_form in REGION_LONG.get(r, []):
@@ -239,17 +300,17 @@ def infer_funding_type(blob, title) -> Column:
     b, ti = _s(blob), _s(title)
     expr = None
     for name, r in FUNDING_RULES:
-        cond = (ti != "") & ti.rlike(_p(r))
+        cond = (ti != "") & found(ti, r)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     for name, r in FUNDING_RULES:
-        expr = expr.when(b.rlike(_p(r)), F.lit(name))
+        expr = expr.when(found(b, r), F.lit(name))
     return expr.otherwise(F.lit(OTHER_FUNDING))
 
 
 def extract_tags(c) -> Column:
     """Independent tag rules, rule order kept."""
     t = _s(c)
-    return F.array_compact(F.array(*[F.when(t.rlike(_p(r)), F.lit(tag)) for r, tag in TAG_RULES]))
+    return F.array_compact(F.array(*[F.when(found(t, r), F.lit(tag)) for r, tag in TAG_RULES]))
 
 
 def labeled_field(c, label: str, chars: int | None = None) -> Column:
@@ -295,7 +356,7 @@ def classify_frame(df, title: str, summary: str, extra: str, prefix: str = "") -
     default = F.array(*[F.lit(s) for s in ["1년미만", "1-3년", "3-7년", "소상공인"]])
     return out.select(
         *df.columns,
-        F.when((F.size("_st") == 0) & (F.size("_sg") == 0) & b.rlike(BUSINESS_RE), default)
+        F.when((F.size("_st") == 0) & (F.size("_sg") == 0) & found(b, BUSINESS_RE), default)
          .otherwise(F.col("_st")).alias(prefix + "target_stages"),
         F.col("_sg").alias(prefix + "target_segments"),
         infer_region(b).alias(prefix + "region"),

@@ -211,3 +211,12 @@ def test_arrivals_are_matched_per_signature_of_notices(spark, tmp_path):
     assert sorted(map(key, feed.matches().collect())) == sorted(map(key, pairs.collect()))
     got = {r.program_id: (r.profiles, r.best) for r in feed.totals().collect()}
     assert got == pair_totals(pairs) and None in got
+
+
+def test_arrivals_keep_null_elements(spark, tmp_path):
+    T.load(spark, SF, "part").withColumn("p_size", F.when(F.col("p_partkey") % 3 > 0, F.col("p_size"))).write.parquet(str(tmp_path / "part"))
+    part = spark.read.parquet(str(tmp_path / "part"))
+    profiles = T.profiles_from_customer(T.load(spark, SF, "customer"))
+    feed = S.ArrivalFeed(spark, "file://" + str(tmp_path / "m"))
+    feed.follow(spark.readStream.schema(part.schema).parquet(str(tmp_path / "part")), profiles, str(tmp_path / "c"), T.match_notices_from_part).awaitTermination()
+    assert {r.program_id: (r.profiles, r.best) for r in feed.totals().collect()} == pair_totals(S.match_on_arrival(T.match_notices_from_part(part), profiles))

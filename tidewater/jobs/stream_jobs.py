@@ -148,10 +148,9 @@ SELECT program_id, CAST(count(*) AS BIGINT) AS profiles, max(match_score) AS bes
 def t4_match_on_arrival(spark, sf):
     """Arriving notices with the number of profiles that they match, and the best score."""
     scratch = Scratch(spark, "t4")
-    notices = T.match_notices_from_part(table_stream(spark, sf, "part"))
     profiles = T.profiles_from_customer(T.load(spark, sf, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
     feed = S.ArrivalFeed(spark, scratch.folder("matches"))
-    finish(feed.follow(notices, profiles, scratch.folder("checkpoint")))
+    finish(feed.follow(table_stream(spark, sf, "part"), profiles, scratch.folder("checkpoint"), T.match_notices_from_part))
     return feed.totals()
 
 

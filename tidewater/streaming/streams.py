@@ -156,16 +156,18 @@ class ArrivalFeed:
     def __init__(self, spark: SparkSession, root: str, as_of_year: int = 2026):
         self.spark, self.root, self.as_of_year = spark, root, as_of_year
 
-    def follow(self, notices_stream: DataFrame, profiles: DataFrame, checkpoint: str):
+    def follow(self, rows_stream: DataFrame, profiles: DataFrame, checkpoint: str, notices_of=lambda rows: rows):
+        """Run the stream; ``notices_of`` makes notices of its rows, inside the micro-batch: arrays with null elements that
+        the stream's own plan makes do not reach the batch as they are."""
         def step(batch_df: DataFrame, batch_id: int):
-            rows = notice_members(batch_df)
+            rows = notice_members(notices_of(batch_df))
             one = signatures(rows).select(F.col("nkey").alias("program_id"), F.col("t_segs").alias("target_segments"),
                                           F.col("t_stages").alias("target_stages"), F.col("t_inds").alias("target_industries"))
             found = match_on_arrival(one, profiles, self.as_of_year).withColumnRenamed("program_id", "nkey")
             found.write.mode("overwrite").parquet(f"{self.root}/matches/batch={batch_id}")
             rows.select("program_id", "nkey").write.mode("overwrite").parquet(f"{self.root}/notices/batch={batch_id}")
 
-        return _in_batches(notices_stream, step, checkpoint)
+        return _in_batches(rows_stream, step, checkpoint)
 
     def _read(self, kind: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{kind}")

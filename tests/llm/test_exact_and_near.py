@@ -1,6 +1,7 @@
 """Exact and near-dedup, and repeated substrings, against brute force."""
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -112,6 +113,26 @@ def test_copies_of_one_text_that_link_only_beside_it(spark):
     assert sorted(got) == sorted(want) and len({c for *_, c in want}) > 2
 
 
+def test_texts_that_share_few_shingles_make_no_pairs(spark, monkeypatch):
+    """Orders of the same words share about one two-word shingle a pair, by chance."""
+    draw = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(400)]
+    rows = [(n + 1, " ".join(draw.sample(vocabulary, 400))) for n in range(100)]
+    rows.append((200, rows[0][1] + " tail"))
+    pairs, write = [], Scratch.write
+
+    def counted(self, df, tag):
+        out = write(self, df, tag)
+        if tag.startswith("pairs"):
+            pairs.append(out.count())
+        return out
+    monkeypatch.setattr(near_dup.Scratch, "write", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, words=2).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 2, 80))
+    assert sum(pairs) <= 5
+
+
 @pytest.mark.parametrize("size", [1, 16, 64])
 def test_sketch_drops_a_linked_pair_with_the_stated_probability_at_most(size):
     least = near_dup.least_shared(size, 80)

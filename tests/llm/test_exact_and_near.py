@@ -133,6 +133,37 @@ def test_texts_that_share_few_shingles_make_no_pairs(spark, monkeypatch):
     assert sum(pairs) <= 5
 
 
+def test_far_copies_of_one_text_make_few_pairs(spark, monkeypatch):
+    """Copies so changed that the sketch rules out a link to the text they share, and mostly to each other; some families are linked by their changes."""
+    draw = random.Random(11)
+    base = [f"token{i}" for i in range(150)]
+
+    def changed(words, places, name):
+        return [f"{name}x{j}" if j in places else w for j, w in enumerate(words)]
+    rows = [(1, " ".join(base))]
+    for n in range(12):
+        rows.append((2 + n, " ".join(changed(base, {draw.randrange(150)}, f"near{n}"))))
+    for n in range(150):
+        rows.append((100 + n, " ".join(changed(base, set(draw.sample(range(2, 148), 8 + n % 3)), f"far{n}"))))
+    for family in range(8):
+        common = changed(base, set(draw.sample(range(2, 148), 10)), f"family{family}")
+        for n in range(3):
+            rows.append((400 + 10 * family + n, " ".join(changed(common, {draw.randrange(150)}, f"own{family}x{n}"))))
+    pairs, write = [], Scratch.write
+
+    def counted(self, df, tag):
+        out = write(self, df, tag)
+        if tag.startswith("pairs"):
+            pairs.append(out.count())
+        return out
+    monkeypatch.setattr(near_dup.Scratch, "write", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, words=5).collect()]
+    want = brute_components(rows, 5, 80)
+    assert sorted(got) == sorted(want) and len({c for *_, c in want}) > 100
+    assert sum(pairs) <= 10 * len(rows)
+
+
 @pytest.mark.parametrize("size", [1, 16, 64])
 def test_sketch_drops_a_linked_pair_with_the_stated_probability_at_most(size):
     least = near_dup.least_shared(size, 80)

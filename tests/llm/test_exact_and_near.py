@@ -133,6 +133,44 @@ def test_texts_that_share_few_shingles_make_no_pairs(spark, monkeypatch):
     assert sum(pairs) <= 5
 
 
+def test_shingles_shared_by_chance_make_no_lists(spark, monkeypatch):
+    """Each text shares about 88 of its two-word shingles with some other one, but no two texts share neighbouring ones."""
+    draw = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(400)]
+    rows = [(n + 1, " ".join(draw.sample(vocabulary, 400))) for n in range(100)]
+    rows.append((200, rows[0][1] + " tail"))
+    entries, write = {}, Scratch.write
+
+    def counted(self, df, tag):
+        out = write(self, df, tag)
+        entries[tag] = out.count()
+        return out
+    monkeypatch.setattr(near_dup.Scratch, "write", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, words=2).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 2, 80))
+    assert entries["lists"] <= 2 * near_dup.SKETCH + 50
+
+
+@pytest.mark.parametrize("percent", [60, 75, 80, 95])
+def test_short_near_duplicates_equal_brute_force(spark, percent):
+    """Sets of 1 to 40 shingles, which the sketches hold whole: the bound on shared neighbours holds for every order of their values."""
+    draw = random.Random(percent)
+    rows = []
+    for n in range(120):
+        w = [f"w{n}x{j}" for j in range(draw.randrange(1, 20 if n % 2 else 41))]
+        rows.append((10 * n, " ".join(w)))
+        for k in range(1, 4):
+            v = list(w)
+            for _ in range(draw.randrange(1, 3)):
+                at = draw.randrange(len(v))
+                v[at:at + 1] = draw.choice([[], [f"new{n}x{k}"], [v[at], f"more{n}x{k}"]]) or [v[at]]
+            rows.append((10 * n + k, " ".join(v if k < 3 else w[:-1] or w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, words=1, percent=percent).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 1, percent))
+
+
 def test_far_copies_of_one_text_make_few_pairs(spark, monkeypatch):
     """Copies so changed that the sketch rules out a link to the text they share, and mostly to each other; some families are linked by their changes."""
     draw = random.Random(11)
@@ -171,6 +209,28 @@ def test_sketch_drops_a_linked_pair_with_the_stated_probability_at_most(size):
     assert tail[0] <= near_dup.MISS < tail[1]
 
 
+def with_neighbour(bits):
+    return (bits & (bits >> 1 | bits << 1)).bit_count()
+
+
+def test_values_with_a_neighbour_shared_by_linked_pairs(monkeypatch):
+    size, t = 14, .8
+    tail = [0.0] * (size + 2)
+    for bits in range(1 << size):
+        for cut in range(with_neighbour(bits) + 1, size + 2):
+            tail[cut] += t ** bits.bit_count() * (1 - t) ** (size - bits.bit_count())
+    for miss in (1e-2, 1e-4, 1e-6):
+        monkeypatch.setattr(near_dup, "MISS", miss)
+        least = near_dup.least_beside(size, 80)
+        assert tail[least] <= miss < tail[least + 1]
+    # sets held whole: any order of a union whose shared part is percent or more
+    for percent in (75, 80, 95):
+        for union in range(2, 15):
+            for bits in range((1 << union) - 1):
+                if 100 * bits.bit_count() >= percent * union:
+                    assert with_neighbour(bits) >= max(1, -(-(2 * percent - 100) * union // 100))
+
+
 def test_exact_groups(docs, no_docs, spark):
     rows = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in docs.collect()]
     want = []
